@@ -9,13 +9,15 @@ order of the n-grams, and each candidate pair is verified on the whole sets.
    thousands of documents stays out of their prefixes. Any order is exact; the
    counts only say which n-grams are worth putting last, and the table of them
    that is broadcast has at most ``ORDER_TERMS`` entries whatever the input.
-2. *Clusters.* Sets that agree in two min-hashes form a cluster, equal sets
-   always do. A cluster enters the index once per n-gram, with the range of its
-   members' sizes and its lowest position.
+2. *Clusters.* Sets of about one size that agree in two min-hashes form a
+   cluster, equal sets always do. A cluster enters the index once per n-gram,
+   with the ranges of its members' sizes and positions.
 3. *Index.* Posting lists are partitioned by n-gram. Within a list, entries are
    sorted by size and cut into blocks that carry their bounds on size and on
    position; block pairs whose bounds rule out the required overlap are
-   skipped whole, then single entries are.
+   skipped whole, then single entries are. A prefix is longer than it need be
+   by ``SPARE``, so that sets over the threshold share several n-grams of their
+   prefixes; a cluster pair that shares fewer is dropped.
 4. *Answers.* Each candidate cluster pair is verified where its larger cluster
    is. There the overlaps of one member, the pivot, with all sets are counted
    once; every other member's are derived from the pivot's by the n-grams in
@@ -51,6 +53,10 @@ ORDER_TERMS = 1 << 20
 LOCAL_FREQUENT = 4
 #: entries in a block of a posting list
 BLOCK = 64
+#: share of a set by which its prefix is longer than the shortest that finds every pair
+SPARE = 0.02
+#: most cluster keys in the Bloom filter that spares other sets the shuffle; beyond it all are shuffled
+BLOOM_KEYS = 1 << 25
 #: members whose sets differ from the pivot's by more than this share become pivots
 NEAR_PIVOT = 0.5
 
@@ -88,7 +94,8 @@ def _clusters(sizes: np.ndarray, tokens: np.ndarray) -> np.ndarray:
         plain = tokens & _LOW
         a = np.minimum.reduceat(mix(plain + U64(0x51ED270B)), heads)
         b = np.minimum.reduceat(mix(plain ^ U64(0x2545F4914F6CDD1D)), heads)
-        out[some] = mix(a * U64(0x9E3779B97F4A7C15) + b) | U64(1)
+        size = np.floor(np.log(sizes[some]) / np.log(1.2)).astype(U64)
+        out[some] = mix(mix(a * U64(0x9E3779B97F4A7C15) + b) + size) | U64(1)
     return out
 
 
@@ -142,7 +149,7 @@ def _postings(n: int, threshold: float, parts: int, heavy):
             for _, sizes, tokens in _ordered(*kernel.utf8(batch.column("text")), n, order):
                 c = _clusters(sizes, tokens)
                 pos = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                prefix = sizes - np.ceil(threshold * sizes - 1e-9).astype(np.int64) + 1
+                prefix = np.minimum(sizes + spare(sizes, threshold), sizes)
                 keep = pos < np.repeat(prefix, sizes)
                 rows = np.empty(int(keep.sum()), _POSTING)
                 rows["w"], rows["c"] = tokens[keep], np.repeat(c, sizes)[keep]
@@ -158,42 +165,60 @@ def _postings(n: int, threshold: float, parts: int, heavy):
     return run
 
 
-def _possible(t: float, lo_a, hi_a, i_a, lo_b, hi_b, i_b):
-    """Whether sets of sizes lo..hi whose first common n-gram is at i at the earliest can reach the threshold."""
-    reach = np.minimum(hi_a - i_a, hi_b - i_b)
-    return (lo_b * t <= hi_a + 1e-6) & (lo_a * t <= hi_b + 1e-6) & (reach >= t / (1 + t) * (lo_a + lo_b) - 1e-6)
+def spare(n, t: float):
+    """Length of the prefix of a set of n, less n: the prefixes of sets over the threshold share this many, and their overlap, at least."""
+    return 1 + np.floor(SPARE * n) - np.ceil(t * n - 1e-9)
 
 
-def candidate_pairs(rows: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct cluster pairs that share an n-gram of ``rows`` and pass the bounds on size and position."""
+def _possible(t: float, a, b):
+    """Whether sets within these bounds (sizes from, to; positions from, to) can reach the threshold where both have an n-gram.
+
+    Of the common n-grams, at most the lower position's number come before this one.
+    """
+    lo_a, hi_a, first_a, last_a = a
+    lo_b, hi_b, first_b, last_b = b
+    most = np.minimum(hi_a - first_a, hi_b - first_b) + np.minimum(last_a, last_b)
+    return (lo_b * t <= hi_a + 1e-6) & (lo_a * t <= hi_b + 1e-6) & (most >= t / (1 + t) * (lo_a + lo_b) - 1e-6)
+
+
+def candidate_pairs(rows: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Cluster pairs that share n-grams of ``rows`` within the bounds on size and position.
+
+    Returns both keys, how many n-grams they share here, and how many they must share in all.
+    """
+    none = np.zeros(0, U64), np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     if not len(rows):
-        return np.zeros(0, U64), np.zeros(0, U64)
+        return none
     rows = rows[np.lexsort((rows["c"], rows["w"]))]
     heads = np.flatnonzero(np.r_[True, (rows["w"][1:] != rows["w"][:-1]) | (rows["c"][1:] != rows["c"][:-1])])
     w, c = rows["w"][heads], rows["c"][heads]
-    lo, hi, pos = (f.reduceat(rows[k].astype(np.float64), heads) for f, k in ((np.minimum, "n"), (np.maximum, "n"), (np.minimum, "i")))
-    hi[hi == _BIG] = np.inf
+    bounds = np.stack([f.reduceat(rows[k].astype(np.float64), heads) for f, k in ((np.minimum, "n"), (np.maximum, "n"), (np.minimum, "i"), (np.maximum, "i"))])
+    bounds[1::2][bounds[1::2] == _BIG] = np.inf
+    with np.errstate(invalid="ignore"):
+        own = np.where(np.isfinite(bounds[1]), spare(bounds[1], t), -np.inf)
     list_heads = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
     lengths = np.diff(np.r_[list_heads, len(w)])
-    found_a, found_b, waiting = [], [], 0
+    found: list[tuple[np.ndarray, ...]] = []
+    waiting = 0
 
-    def keep(a, b):
+    def keep(x, y):
         nonlocal waiting
-        ok = _possible(t, lo[a], hi[a], pos[a], lo[b], hi[b], pos[b])
-        a, b = c[a[ok]], c[b[ok]]
-        found_a.append(np.minimum(a, b))
-        found_b.append(np.maximum(a, b))
+        ok = _possible(t, bounds[:, x], bounds[:, y])
+        x, y = x[ok], y[ok]
+        need = np.minimum(own[x], own[y]) + t / (1 + t) * (bounds[0, x] + bounds[0, y])
+        a, b = c[x], c[y]
+        found.append((np.minimum(a, b), np.maximum(a, b), np.ones(len(a), np.int64), np.ceil(np.maximum(need, 1) - 1e-6).astype(np.int64)))
         waiting += len(a)
-        if waiting > 4_000_000:
+        if waiting > 3_000_000:
             compact()
 
     def compact():
         nonlocal waiting
-        a, b = np.concatenate(found_a), np.concatenate(found_b)
+        a, b, shared, need = (np.concatenate(x) for x in zip(*found, strict=True))
         o = np.lexsort((b, a))
-        a, b = a[o], b[o]
-        new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])] if len(a) else np.zeros(0, bool)
-        found_a[:], found_b[:] = [a[new]], [b[new]]
+        a, b, shared, need = a[o], b[o], shared[o], need[o]
+        new = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, np.int64)
+        found[:] = [(a[new], b[new], np.add.reduceat(shared, new), np.minimum.reduceat(need, new))] if len(a) else [none]
         waiting = 0
 
     for length in np.unique(lengths):
@@ -202,30 +227,28 @@ def candidate_pairs(rows: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]
         starts = list_heads[lengths == length]
         if length <= BLOCK:
             x, y = np.triu_indices(int(length), 1)
-            step = max(1, 2_000_000 // len(x))
+            step = max(1, 1_000_000 // len(x))
             for k in range(0, len(starts), step):
                 s = starts[k : k + step, None]
                 keep((s + x).ravel(), (s + y).ravel())
             continue
         for s in starts:
-            order = s + np.lexsort((pos[s : s + length], hi[s : s + length], lo[s : s + length]))
+            here = np.arange(s, s + length)
+            here = here[np.lexsort((bounds[2, here], bounds[1, here], bounds[0, here]))]
             cut = np.arange(0, length, BLOCK)
-            b_lo, b_hi = np.minimum.reduceat(lo[order], cut), np.maximum.reduceat(hi[order], cut)
-            b_reach = np.maximum.reduceat(hi[order] - pos[order], cut)
+            block = np.stack([f.reduceat(bounds[k, here], cut) for k, f in enumerate((np.minimum, np.maximum, np.minimum, np.maximum))])
+            number = np.arange(length) // BLOCK
             for p in range(len(cut)):
-                q = np.arange(p, len(cut))
-                q = q[_possible(t, b_lo[p], b_hi[p], b_hi[p] - b_reach[p], b_lo[q], b_hi[q], b_hi[q] - b_reach[q])] if np.isfinite(b_hi).all() else q
-                if not len(q):
-                    continue
-                mine = order[p * BLOCK : (p + 1) * BLOCK]
-                other = np.concatenate([order[k * BLOCK : (k + 1) * BLOCK] for k in q])
-                a, b = np.repeat(mine, len(other)), np.tile(other, len(mine))
-                ahead = np.repeat(np.arange(len(mine)) + p * BLOCK, len(other)) < np.tile(np.concatenate([np.arange(k * BLOCK, min((k + 1) * BLOCK, length)) for k in q]), len(mine))
-                keep(a[ahead], b[ahead])
-    if not found_a:
-        return np.zeros(0, U64), np.zeros(0, U64)
+                ahead = _possible(t, block[:, p : p + 1], block)
+                ahead[:p] = False
+                other = np.flatnonzero(ahead[number])
+                mine = np.arange(p * BLOCK, min((p + 1) * BLOCK, length))
+                x, y = np.repeat(mine, len(other)), np.tile(other, len(mine))
+                keep(here[x[x < y]], here[y[x < y]])
+    if not found:
+        return none
     compact()
-    return found_a[0], found_b[0]
+    return found[0]
 
 
 def _candidates(t: float):
@@ -235,25 +258,49 @@ def _candidates(t: float):
             for part, blob in zip(batch.column("part").to_pylist(), batch.column("blob"), strict=True):
                 by_part.setdefault(part, []).append(blob.as_py())
         for part in list(by_part):
-            a, b = candidate_pairs(np.frombuffer(b"".join(by_part.pop(part)), _POSTING), t)
-            for k in range(0, len(a), 500_000):
-                yield pa.record_batch([pa.array(a[k : k + 500_000].view(np.int64)), pa.array(b[k : k + 500_000].view(np.int64))], ["a", "b"])
+            found = candidate_pairs(np.frombuffer(b"".join(by_part.pop(part)), _POSTING), t)
+            for k in range(0, len(found[0]), 300_000):
+                yield pa.record_batch([pa.array(x[k : k + 300_000].view(np.int64)) for x in found], ["a", "b", "shared", "need"])
 
     return run
 
 
-def _sets(n: int):
+def _spread(keys: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    h = mix(keys + U64(0x632BE59BD9B4E019))
+    return (h >> U64(32)) % U64(size), (h & U64(0xFFFFFFFF)) % U64(size)
+
+
+def bloom(keys: np.ndarray) -> np.ndarray | None:
+    """A filter of 16 places a key, or None for too many keys."""
+    if len(keys) > BLOOM_KEYS:
+        return None
+    size = max(64, 16 * len(keys))
+    places = np.zeros(size, bool)
+    for at in _spread(keys, size):
+        places[at] = True
+    return np.packbits(places)
+
+
+def _sets(n: int, wanted):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places = wanted.value
+        if places is not None:
+            places = np.unpackbits(places).view(bool)
         for batch in kernel.split_rows(batches, "text", 4 << 20):
-            keys, blobs = [], []
-            for _, sizes, tokens in _ordered(*kernel.utf8(batch.column("text")), n):
-                keys.append(_clusters(sizes, tokens).view(np.int64))
+            keys, ids, blobs = [], [], []
+            for i, sizes, tokens in _ordered(*kernel.utf8(batch.column("text")), n):
+                key = _clusters(sizes, tokens)
+                stay = key != 0
+                if places is not None:
+                    for at in _spread(key, len(places)):
+                        stay &= places[at]
                 ends = np.cumsum(sizes)
-                blobs += [tokens[a:b].tobytes() for a, b in zip(ends - sizes, ends, strict=True)]
-            if not keys:
-                continue
-            out = pa.record_batch([pa.array(np.concatenate(keys)), batch.column("doc_id"), pa.array(blobs, pa.binary())], ["c", "doc_id", "grams"])
-            yield out.filter(pa.compute.not_equal(out.column("c"), 0))
+                pick = np.flatnonzero(stay)
+                keys.append(key[pick].view(np.int64))
+                ids.append(i + pick)
+                blobs += [tokens[ends[k] - sizes[k] : ends[k]].tobytes() for k in pick]
+            if blobs:
+                yield pa.record_batch([pa.array(np.concatenate(keys)), batch.column("doc_id").take(pa.array(np.concatenate(ids))), pa.array(blobs, pa.binary())], ["c", "doc_id", "grams"])
 
     return run
 
@@ -373,7 +420,7 @@ def _verify(t: float, forest: bool):
     return run
 
 
-def ngram_jaccard_join(docs: DataFrame, n: int = 2, threshold: float = 0.7, forest: bool = False) -> DataFrame:
+def ngram_jaccard_join(docs: DataFrame, n: int = 3, threshold: float = 0.6, forest: bool = False) -> DataFrame:
     """All pairs (doc_a < doc_b, jaccard) at or over the threshold.
 
     With ``forest``, only enough of the pairs to connect each group of
@@ -392,8 +439,11 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 2, threshold: float = 0.7, fore
         texts.mapInArrow(_postings(n, threshold, parts, heavy), "part int, blob binary")
         .where("length(blob) > 0")
         .repartition(parts, "part")
-        .mapInArrow(_candidates(threshold), "a long, b long")
-        .distinct()
+        .mapInArrow(_candidates(threshold), "a long, b long, shared long, need long")
+        .groupBy("a", "b")
+        .agg(F.sum("shared").alias("shared"), F.min("need").alias("need"))
+        .where("shared >= need")
+        .select("a", "b")
         .checkpoint()
     )
     counts = texts.mapInArrow(_keys(n), "c long").groupBy("c").count()
@@ -407,7 +457,9 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 2, threshold: float = 0.7, fore
     homes = several.union(sized.select("home")).distinct()
     goes = sized.union(homes.select("home", F.col("home").alias("c"))).checkpoint()
 
-    sets = base.mapInArrow(_sets(n), "c long, doc_id long, grams binary")
+    keys = goes.select("c").distinct()
+    wanted = bloom(keys.toPandas()["c"].to_numpy(np.int64).view(U64)) if keys.count() <= BLOOM_KEYS else None
+    sets = base.mapInArrow(_sets(n, spark.sparkContext.broadcast(wanted)), "c long, doc_id long, grams binary")
     return (
         sets.join(goes, "c")
         .select("home", (F.col("home") == F.col("c")).alias("own"), "doc_id", "grams")

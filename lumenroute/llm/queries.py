@@ -13,20 +13,20 @@ _WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pairs of documents whose word bigram sets have Jaccard similarity of 0.7 or more."""
-    return ngram_jaccard_join(table(spark, sf_dir, "documents"), n=2, threshold=0.7)
+    """All pairs of documents whose word trigram sets have Jaccard similarity of 0.6 or more."""
+    return ngram_jaccard_join(table(spark, sf_dir, "documents"), n=3, threshold=0.6)
 
 
 _OP2 = rf"""
 WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '{_WORD}') AS ws FROM documents),
-g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) = 1 THEN ws
-        ELSE list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) END) AS gram FROM w),
+g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+        ELSE list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) END) AS gram FROM w),
 s AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
 i AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS c
       FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY ALL)
 SELECT doc_a, doc_b, c / (sa.n + sb.n - c) AS jaccard
 FROM i JOIN s sa ON sa.doc_id = doc_a JOIN s sb ON sb.doc_id = doc_b
-WHERE c / (sa.n + sb.n - c) >= 0.7 - 1e-12
+WHERE c / (sa.n + sb.n - c) >= 0.6 - 1e-12
 """
 
 

@@ -85,7 +85,7 @@ def groups(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
 class Words:
     """Words of a run of documents: hashes, byte spans [start, end), and for each document the index of its first word."""
 
-    __slots__ = ("end", "first", "hash", "start")
+    __slots__ = ("_inverse", "_prefix", "end", "first", "hash", "start")
 
     def __init__(self, raw: np.ndarray, offsets: np.ndarray):
         n = len(raw)
@@ -105,6 +105,12 @@ class Words:
         h = (prefix[self.end] - prefix[self.start]) * inverse[self.start]
         self.hash = mix(h + (self.end - self.start).astype(U64))
         self.first = np.searchsorted(self.start, offsets)
+        self._prefix, self._inverse = prefix, inverse
+
+    def head(self, size: int) -> np.ndarray:
+        """Hashes of each word's first ``size`` bytes, or of the whole word if it is shorter."""
+        stop = np.minimum(self.start + size, self.end)
+        return (self._prefix[stop] - self._prefix[self.start]) * self._inverse[self.start]
 
 
 def words(raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, Words]]:

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .cluster import table
 from .ngram_join import ngram_jaccard_join
+from .quality import quality_rules
+from .toxicity import toxicity
 
 _WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 
@@ -30,9 +32,21 @@ WHERE c / (sa.n + sb.n - c) >= 0.6 - 1e-12
 """
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its probability of being toxic; keep is false from 0.5."""
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its calibrated probability of good quality; keep is false under 0.5."""
+    return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+        "op4_toxicity": op4_toxicity,
+        "op10_quality_rules": op10_quality_rules,
     }
 
 

@@ -107,7 +107,7 @@ class Scorer:
         return p, p < self.threshold
 
 
-def train(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, prior: float | None = None, most_positive: int = 4000, most_unlabelled: int = 16000, min_z: float = 5.0, min_toxic: float = 0.7, salt: int = 4) -> Scorer:
+def train(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, prior: float | None = None, most_positive: int = 3000, most_unlabelled: int = 8000, min_z: float = 5.0, min_toxic: float = 0.7, salt: int = 4) -> Scorer:
     """Fit on at most about most_positive and most_unlabelled documents."""
     spark = docs.sparkSession
     prepare(spark)

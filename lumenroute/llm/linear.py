@@ -27,8 +27,11 @@ def share(key: Column, salt: int) -> Column:
     return (F.xxhash64(key, F.lit(salt)).bitwiseAND(F.lit((1 << 40) - 1))) / F.lit(float(1 << 40))
 
 
+_COUNTED = np.dtype([("f", "<u4"), ("n", "<u2")])
+
+
 def featured(docs: DataFrame, features: Features, kept: str) -> DataFrame:
-    """The kept columns, and ``f``: the features of each text as little-endian uint32 in binary."""
+    """The kept columns, and ``f``: the distinct features of each text and their counts, packed."""
     names = [c.split()[0] for c in kept.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -36,7 +39,11 @@ def featured(docs: DataFrame, features: Features, kept: str) -> DataFrame:
             blobs = []
             for _, sizes, f in features(batch.column("text")):
                 ends = np.cumsum(sizes)
-                blobs += [f[a:b].astype("<u4").tobytes() for a, b in zip(ends - sizes, ends, strict=True)]
+                for a, b in zip(ends - sizes, ends, strict=True):
+                    index, count = np.unique(f[a:b], return_counts=True)
+                    packed = np.empty(len(index), _COUNTED)
+                    packed["f"], packed["n"] = index, np.minimum(count, 65535)
+                    blobs.append(packed.tobytes())
             yield pa.record_batch([*(batch.column(c) for c in names), pa.array(blobs, pa.binary())], [*names, "f"])
 
     return docs.select(*names, "text").mapInArrow(run, f"{kept}, f binary")
@@ -46,12 +53,10 @@ class Rows:
     """Sparse rows of feature counts."""
 
     def __init__(self, blobs: list[bytes]):
-        per = [np.unique(np.frombuffer(b, "<u4"), return_counts=True) for b in blobs]
-        self.n = len(per)
-        self.size = np.array([len(i) for i, _ in per], np.int64)
-        self.index = np.concatenate([i for i, _ in per]).astype(np.int64) if per else np.zeros(0, np.int64)
-        self.value = np.concatenate([v for _, v in per]).astype(np.float64) if per else np.zeros(0)
-        self.row = np.repeat(np.arange(self.n), self.size)
+        packed = np.frombuffer(b"".join(blobs), _COUNTED)
+        self.n = len(blobs)
+        self.index, self.value = packed["f"].astype(np.int32), packed["n"].astype(np.float32)
+        self.row = np.repeat(np.arange(self.n, dtype=np.int32), [len(b) // _COUNTED.itemsize for b in blobs])
 
     def df(self, dims: int) -> np.ndarray:
         return np.bincount(self.index, minlength=dims)
@@ -61,14 +66,13 @@ class Rows:
         out = object.__new__(Rows)
         keep = chosen[self.index]
         out.n, out.index, out.value, out.row = self.n, self.index[keep], self.value[keep], self.row[keep]
-        out.size = np.bincount(out.row, minlength=self.n)
         return out
 
     def dot(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, w[self.index] * self.value, self.n)
+        return np.bincount(self.row, w.astype(np.float32)[self.index] * self.value, self.n)
 
     def back(self, g: np.ndarray, dims: int) -> np.ndarray:
-        return np.bincount(self.index, g[self.row] * self.value, dims)
+        return np.bincount(self.index, g.astype(np.float32)[self.row] * self.value, dims)
 
 
 class Adam:

@@ -89,7 +89,7 @@ def _averaged(rows: linear.Rows) -> linear.Rows:
     kind = rows.index >> BITS
     slot = rows.row * KINDS + kind
     total = np.bincount(slot, rows.value, rows.n * KINDS)
-    rows.value = SCALE * rows.value / total[slot]
+    rows.value = (SCALE * rows.value / total[slot]).astype(np.float32)
     return rows
 
 
@@ -146,7 +146,7 @@ class Scorer:
         return p, p >= self.threshold
 
 
-def train(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, most_labelled: int = 8000, held_out: float = 0.25, salt: int = 10) -> Scorer:
+def train(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, most_labelled: int = 3000, held_out: float = 0.25, salt: int = 10) -> Scorer:
     """Fit on about most_labelled labelled documents, a held_out share of which only calibrates."""
     spark = docs.sparkSession
     prepare(spark)

@@ -144,6 +144,26 @@ def ngrams(w: Words, n: int, whole: bool = True) -> tuple[np.ndarray, np.ndarray
     return mix(g + span.astype(U64))[keep], owner[keep]
 
 
+def windows(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all windows of n words within a document, and the index of each one's first word.
+
+    Equal to ``ngrams`` only in kind: these hashes come from prefix sums over the words.
+    """
+    m = len(w.hash)
+    if m < n:
+        return np.zeros(0, U64), np.zeros(0, np.int64)
+    power, inverse = powers(m + 1)
+    prefix = np.zeros(m + 1, U64)
+    np.cumsum(w.hash * power[:m], out=prefix[1:])
+    h = mix((prefix[n:] - prefix[:-n]) * inverse[: m + 1 - n] + U64(n))
+    crossing = np.zeros(m + 2, np.int64)  # window starts whose window runs over a document's end
+    ends = w.first[1:-1]
+    np.add.at(crossing, np.maximum(ends - n + 1, 0), 1)
+    np.add.at(crossing, ends, -1)
+    at = np.flatnonzero(np.cumsum(crossing)[: m + 1 - n] == 0)
+    return h[at], at
+
+
 def lists(values: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> pa.Array:
     """An Arrow list column from flat values and the length of each list."""
     offsets = np.zeros(len(lengths) + 1, np.int32)

@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .cluster import table
+from .decontamination import contamination
 from .ngram_join import ngram_jaccard_join
 from .quality import quality_rules
+from .sentencepiece_codec import round_trip
 from .toxicity import toxicity
 
 _WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
+_GAP = r"[^0-9A-Za-z\x{80}-\x{10FFFF}]*"
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +40,39 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its benchmark 8-gram hits, what is done about them, and the cleaned text."""
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=8, drop_share=0.5)
+
+
+_OP8 = rf"""
+WITH b AS (SELECT DISTINCT regexp_extract_all(lower(text), '{_WORD}') AS ws FROM benchmark WHERE text IS NOT NULL),
+g AS (SELECT DISTINCT unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 8 THEN [array_to_string(ws, ' ')]
+        ELSE list_transform(range(1, len(ws) - 6), lambda i: array_to_string(ws[i:i + 7], ' ')) END) AS gram FROM b),
+k AS (SELECT gram, len(string_split(gram, ' ')) AS size FROM g),
+d AS (SELECT row_number() OVER () AS r, doc_id, text, regexp_extract_all(lower(text), '{_WORD}') AS ws FROM documents),
+z AS (SELECT DISTINCT size FROM k),
+w AS (SELECT r, size, unnest(range(1, len(ws) - size + 2)) AS i, ws FROM d, z),
+h AS (SELECT w.r, w.i, w.size FROM w JOIN k ON k.gram = array_to_string(w.ws[w.i:w.i + w.size - 1], ' ') AND k.size = w.size),
+c AS (SELECT r, count(DISTINCT j) AS covered, list(DISTINCT j) AS gone
+      FROM (SELECT r, unnest(range(i, i + size)) AS j FROM h) GROUP BY r),
+n AS (SELECT r, count(*) AS hits FROM h GROUP BY r),
+a AS (SELECT doc_id, text, len(ws) AS words, coalesce(hits, 0) AS hits, coalesce(covered, 0) AS covered, gone
+      FROM d LEFT JOIN c USING (r) LEFT JOIN n USING (r)),
+x AS (SELECT *, CASE WHEN covered > 0 AND covered >= 0.5 * words THEN 'drop' WHEN hits > 0 THEN 'cut' ELSE 'keep' END AS action FROM a)
+SELECT doc_id, words, hits, covered, action, action <> 'drop' AS keep,
+  CASE action WHEN 'drop' THEN NULL WHEN 'keep' THEN text
+    ELSE regexp_extract(text, '^{_GAP}') || array_to_string(list_filter(
+      regexp_extract_all(text, '{_WORD}{_GAP}'), lambda p, i: NOT list_contains(gone, i)), '') END AS text
+FROM x
+"""
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's SentencePiece ids, and whether they decode to its text."""
+    return round_trip(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its calibrated probability of good quality; keep is false under 0.5."""
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -46,6 +82,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
         "op4_toxicity": op4_toxicity,
+        "op8_decontamination": op8_decontamination,
+        "op9_sentencepiece": op9_sentencepiece,
         "op10_quality_rules": op10_quality_rules,
     }
 
@@ -53,4 +91,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_ngram_jaccard_join": _OP2,
+        "op8_decontamination": _OP8,
     }

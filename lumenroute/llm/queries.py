@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .cluster import table
 from .decontamination import contamination
+from .langid import identify
 from .ngram_join import ngram_jaccard_join
 from .quality import quality_rules
 from .sentencepiece_codec import round_trip
@@ -17,6 +18,11 @@ _WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 _GAP = r"[^0-9A-Za-z\x{80}-\x{10FFFF}]*"
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language by character models of all documents; und and keep false where rejected."""
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs of documents whose word trigram sets have Jaccard similarity of 0.6 or more."""
     return ngram_jaccard_join(table(spark, sf_dir, "documents"), n=3, threshold=0.6)
@@ -80,6 +86,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_language_id": op1_language_id,
         "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
         "op4_toxicity": op4_toxicity,
         "op8_decontamination": op8_decontamination,

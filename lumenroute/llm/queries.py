@@ -12,6 +12,8 @@ from .langid import identify
 from .ngram_join import ngram_jaccard_join
 from .quality import quality_rules
 from .sentencepiece_codec import round_trip
+from .sharding import shard
+from .token_counts import token_counts
 from .toxicity import toxicity
 
 _WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
@@ -41,11 +43,21 @@ WHERE c / (sa.n + sb.n - c) >= 0.6 - 1e-12
 """
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, range-partitioned by source into shards of about 16 MB of text."""
+    return shard(table(spark, sf_dir, "documents"), key="source", within="doc_id", target_bytes=16 << 20)
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its probability of being toxic; keep is false from 0.5."""
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's number of byte-level BPE tokens."""
+    return token_counts(table(spark, sf_dir, "documents"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its benchmark 8-gram hits, what is done about them, and the cleaned text."""
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=8, drop_share=0.5)
@@ -88,7 +100,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
         "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+        "op3_sharding": op3_sharding,
         "op4_toxicity": op4_toxicity,
+        "op5_token_counts": op5_token_counts,
         "op8_decontamination": op8_decontamination,
         "op9_sentencepiece": op9_sentencepiece,
         "op10_quality_rules": op10_quality_rules,

@@ -154,10 +154,10 @@ def train(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, most_label
     counts = {r[0]: r[1] for r in flags.groupBy("quality").count().collect()}
     if not (counts.get(0) and counts.get(1)):
         return Scorer(None, threshold)
-    half = most_labelled / 2
+    half = most_labelled / 2  # so that what is broadcast has about most_labelled rows, whatever the input
     picked = flags.where(linear.share(F.col("doc_id"), salt) < F.when(F.col("quality") == 1, half / counts[1]).otherwise(half / counts[0]))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
-    chosen = base.join(picked, "doc_id").select("doc_id", "quality", linear.share(F.col("doc_id"), salt + 1).alias("u"), "text")
+    chosen = base.join(F.broadcast(picked), "doc_id").select("doc_id", "quality", linear.share(F.col("doc_id"), salt + 1).alias("u"), "text")
     rows = linear.featured(chosen, _labelled, "doc_id long, quality int, u double").orderBy("doc_id").toPandas()
     y, late = rows["quality"].to_numpy(np.float64), rows["u"].to_numpy() < held_out
     if min(y[~late].sum(), (1 - y[~late]).sum(), late.sum()) < 1:

@@ -121,7 +121,7 @@ def train(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, prior: flo
     if prior is None:
         prior = toxic / known[0]
     ids = linear.sampled(flags.where("toxic = 1").select("doc_id"), most_positive, toxic, salt)
-    chosen = base.join(ids, "doc_id", "left_semi").select("doc_id", "text", F.lit(1).alias("y")).unionAll(
+    chosen = base.join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", "text", F.lit(1).alias("y")).unionAll(
         linear.sampled(base, most_unlabelled, total, salt + 1).select("doc_id", "text", F.lit(0).alias("y"))
     )
     rows = linear.featured(chosen, features, "doc_id long, y int").orderBy("doc_id", "y").toPandas()

@@ -15,6 +15,7 @@ from .sentencepiece_codec import round_trip
 from .sharding import shard
 from .token_counts import token_counts
 from .toxicity import toxicity
+from .warc import audit, faulty
 
 _WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 _GAP = r"[^0-9A-Za-z\x{80}-\x{10FFFF}]*"
@@ -58,6 +59,40 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op7_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audit of the pages as WARC against a replica of them; the replica has faults at fixed ids, as the tables hold no second copy."""
+    pages = table(spark, sf_dir, "pages")
+    return audit(pages, faulty(pages))
+
+
+def _op7_level(level: int, side: str) -> str:
+    return f"""{side}{level} AS (SELECT file, node // 16 AS node, min("begin") AS "begin", max("end") AS "end",
+      sha256(string_agg(node || ':' || hash, '|' ORDER BY node)) AS hash FROM {side}{level - 1} GROUP BY file, node // 16)"""
+
+
+def _op7_side(side: str, source: str) -> str:
+    return rf"""{side}r AS (SELECT page_id, 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10)
+      || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || strlen(html) || chr(13) || chr(10) || chr(13) || chr(10)
+      || html || chr(13) || chr(10) || chr(13) || chr(10) AS record FROM {source}),
+    {side}h AS (SELECT page_id // 4096 AS file, page_id, strlen(record) AS bytes, sha256(record) AS hash FROM {side}r),
+    {side}o AS (SELECT *, sum(bytes) OVER (PARTITION BY file ORDER BY page_id, hash ROWS UNBOUNDED PRECEDING)::BIGINT AS "end" FROM {side}h),
+    {side}0 AS (SELECT file, page_id AS node, min("end" - bytes) AS "begin", max("end") AS "end", string_agg(hash, '+' ORDER BY hash) AS hash FROM {side}o GROUP BY file, page_id),
+    {", ".join(_op7_level(k, side) for k in (1, 2, 3))}"""
+
+
+# for up to 4096 page ids, whose tree has three levels above the records
+_OP7 = f"""
+WITH f AS (SELECT page_id, url, CASE WHEN page_id % 997 = 5 THEN '#' || substring(html, 2) ELSE html END AS html FROM pages WHERE page_id % 1499 <> 7
+  UNION ALL SELECT page_id + 2, url, html FROM pages WHERE page_id % 1999 = 11),
+{_op7_side("a", "pages")}, {_op7_side("b", "f")}
+{" UNION ALL ".join(f"""
+SELECT {k} AS level, coalesce(a.file, b.file) AS file, coalesce(a.node, b.node) AS node, coalesce(a."begin", -1) AS "begin", coalesce(a."end", -1) AS "end", a.hash,
+  coalesce(b."begin", -1) AS replica_begin, coalesce(b."end", -1) AS replica_end, b.hash AS replica_hash,
+  CASE WHEN b.hash IS NULL THEN 'missing' WHEN a.hash IS NULL THEN 'extra' ELSE 'damaged' END AS state
+FROM a{k} a FULL JOIN b{k} b ON a.node = b.node WHERE a.hash IS DISTINCT FROM b.hash""" for k in (3, 2, 1, 0))}
+"""
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its benchmark 8-gram hits, what is done about them, and the cleaned text."""
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=8, drop_share=0.5)
@@ -103,6 +138,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_sharding": op3_sharding,
         "op4_toxicity": op4_toxicity,
         "op5_token_counts": op5_token_counts,
+        "op7_warc_audit": op7_warc_audit,
         "op8_decontamination": op8_decontamination,
         "op9_sentencepiece": op9_sentencepiece,
         "op10_quality_rules": op10_quality_rules,
@@ -112,5 +148,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_ngram_jaccard_join": _OP2,
+        "op7_warc_audit": _OP7,
         "op8_decontamination": _OP8,
     }

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat import canonical_turns, heterogeneous
 from .cluster import table
 from .decontamination import contamination
 from .langid import identify
@@ -59,6 +60,22 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The canonical turns of all conversations, each read from a JSON record in one of six layouts."""
+    records = heterogeneous(table(spark, sf_dir, "conversations"))
+    return canonical_turns(records, "conv_id").select("conv_id", "layout", "turn", "role", "content")
+
+
+_OP6 = """
+WITH c AS (SELECT conv_id, role, coalesce(text, '') AS content, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS turn,
+  string_agg(role, ',' ORDER BY turn, role, text) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS roles
+  FROM conversations WHERE conv_id IS NOT NULL)
+SELECT conv_id, CASE WHEN conv_id % 5 = 1 THEN 'conversations' WHEN conv_id % 5 = 2 THEN 'nested' WHEN conv_id % 5 = 3 THEN 'dialogue'
+  WHEN conv_id % 5 = 4 AND roles = 'user,assistant' THEN 'prompt' WHEN conv_id % 5 = 4 AND roles = 'system,user,assistant' THEN 'instruction' ELSE 'messages' END AS layout,
+  turn, role, content FROM c
+"""
+
+
 def op7_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Audit of the pages as WARC against a replica of them; the replica has faults at fixed ids, as the tables hold no second copy."""
     pages = table(spark, sf_dir, "pages")
@@ -138,6 +155,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_sharding": op3_sharding,
         "op4_toxicity": op4_toxicity,
         "op5_token_counts": op5_token_counts,
+        "op6_chat_formatting": op6_chat_formatting,
         "op7_warc_audit": op7_warc_audit,
         "op8_decontamination": op8_decontamination,
         "op9_sentencepiece": op9_sentencepiece,
@@ -148,6 +166,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_ngram_jaccard_join": _OP2,
+        "op6_chat_formatting": _OP6,
         "op7_warc_audit": _OP7,
         "op8_decontamination": _OP8,
     }

@@ -183,8 +183,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 8, drop_share:
 
     def build(batch, cut):
         words, hits, covered, dropped, text = cut
+        if dropped.any():
+            text = pa.array([None if gone else t for t, gone in zip(text.to_pylist(), dropped, strict=True)], pa.string())
         action = pa.array(np.where(dropped, "drop", np.where(hits > 0, "cut", "keep")), pa.string())
-        return pa.record_batch([batch.column("doc_id"), pa.array(words), pa.array(hits), pa.array(covered), action, pa.array(~dropped), pc.if_else(pa.array(dropped), pa.scalar(None, pa.string()), text)], ["doc_id", "words", "hits", "covered", "action", "keep", "text"])
+        return pa.record_batch([batch.column("doc_id"), pa.array(words), pa.array(hits), pa.array(covered), action, pa.array(~dropped), text], ["doc_id", "words", "hits", "covered", "action", "keep", "text"])
 
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return _applied(base, benchmark, n, drop_share, broadcast_grams, "doc_id long, words long, hits long, covered long, action string, keep boolean, text string", build)

@@ -38,3 +38,9 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder, shared by all executors, in which the session keeps its checkpoints."""
+    prepare(spark)
+    return spark.sparkContext.getCheckpointDir()

@@ -16,10 +16,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 U64 = np.uint64
 _R = U64(0x9E3779B97F4A7C15 | 1)
 _RI = U64(pow(int(_R), -1, 1 << 64))
+#: most keys of a Bloom filter, which is 2 bytes a key; what it would spare is done without it beyond that
+BLOOM_KEYS = 1 << 25
 #: bytes of text handled at a time: the temporaries stay within the CPU caches
 GROUP_BYTES = 1 << 17
 #: documents handled at a time, so that a document's number fits 13 bits
@@ -180,3 +183,28 @@ def split_rows(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 <<
             j = min(max(int(np.searchsorted(at, at[i] + most, "right")) - 1, i + 1), n)
             yield batch.slice(i, j - i)
             i = j
+
+
+def _places(keys: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    h = mix(keys + U64(0x632BE59BD9B4E019))
+    return (h >> U64(32)) % U64(size), (h & U64(0xFFFFFFFF)) % U64(size)
+
+
+def bloom(keys: DataFrame) -> np.ndarray | None:
+    """A packed filter of the distinct integers in a table of one column, with 16 places for each; None for over BLOOM_KEYS."""
+    found = keys.toPandas().iloc[:, 0].to_numpy(np.int64).view(U64)
+    if len(found) > BLOOM_KEYS:
+        return None
+    size = max(64, 16 * len(found))
+    places = np.zeros(size, bool)
+    for at in _places(found, size):
+        places[at] = True
+    return np.packbits(places)
+
+
+def in_bloom(packed: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which keys the filter may hold; all that it does are among them."""
+    out = np.ones(len(keys), bool)
+    for at in _places(keys, 8 * len(packed)):
+        out &= (packed[(at >> U64(3)).astype(np.int64)] >> (U64(7) - (at & U64(7))).astype(np.uint8)) & 1 == 1
+    return out

@@ -18,7 +18,9 @@ order of the n-grams, and each candidate pair is verified on the whole sets.
    skipped whole, then single entries are. A prefix is longer than it need be
    by ``SPARE``, so that sets over the threshold share several n-grams of their
    prefixes; a cluster pair that shares fewer is dropped.
-4. *Answers.* Each candidate cluster pair is verified where its larger cluster
+4. *Answers.* Only sets of clusters that have a partner or several members are
+   shuffled (by a Bloom filter, if those clusters are few enough to broadcast
+   it; else all sets meet the pairs in the join). Each candidate cluster pair is verified where its larger cluster
    is. There the overlaps of one member, the pivot, with all sets are counted
    once; every other member's are derived from the pivot's by the n-grams in
    which the two differ. Members far from the pivot become pivots themselves.
@@ -55,8 +57,6 @@ LOCAL_FREQUENT = 4
 BLOCK = 64
 #: share of a set by which its prefix is longer than the shortest that finds every pair
 SPARE = 0.02
-#: most cluster keys in the Bloom filter that spares other sets the shuffle; beyond it all are shuffled
-BLOOM_KEYS = 1 << 25
 #: members whose sets differ from the pivot's by more than this share become pivots
 NEAR_PIVOT = 0.5
 
@@ -265,35 +265,15 @@ def _candidates(t: float):
     return run
 
 
-def _spread(keys: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    h = mix(keys + U64(0x632BE59BD9B4E019))
-    return (h >> U64(32)) % U64(size), (h & U64(0xFFFFFFFF)) % U64(size)
-
-
-def bloom(keys: np.ndarray) -> np.ndarray | None:
-    """A filter of 16 places a key, or None for too many keys."""
-    if len(keys) > BLOOM_KEYS:
-        return None
-    size = max(64, 16 * len(keys))
-    places = np.zeros(size, bool)
-    for at in _spread(keys, size):
-        places[at] = True
-    return np.packbits(places)
-
-
 def _sets(n: int, wanted):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places = wanted.value
-        if places is not None:
-            places = np.unpackbits(places).view(bool)
         for batch in kernel.split_rows(batches, "text", 4 << 20):
             keys, ids, blobs = [], [], []
             for i, sizes, tokens in _ordered(*kernel.utf8(batch.column("text")), n):
                 key = _clusters(sizes, tokens)
                 stay = key != 0
-                if places is not None:
-                    for at in _spread(key, len(places)):
-                        stay &= places[at]
+                if wanted.value is not None:
+                    stay &= kernel.in_bloom(wanted.value, key)
                 ends = np.cumsum(sizes)
                 pick = np.flatnonzero(stay)
                 keys.append(key[pick].view(np.int64))
@@ -457,9 +437,8 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 3, threshold: float = 0.6, fore
     homes = several.union(sized.select("home")).distinct()
     goes = sized.union(homes.select("home", F.col("home").alias("c"))).checkpoint()
 
-    keys = goes.select("c").distinct()
-    wanted = bloom(keys.toPandas()["c"].to_numpy(np.int64).view(U64)) if keys.count() <= BLOOM_KEYS else None
-    sets = base.mapInArrow(_sets(n, spark.sparkContext.broadcast(wanted)), "c long, doc_id long, grams binary")
+    wanted = spark.sparkContext.broadcast(kernel.bloom(goes.select("c").distinct().limit(kernel.BLOOM_KEYS + 1)))
+    sets = base.mapInArrow(_sets(n, wanted), "c long, doc_id long, grams binary")
     return (
         sets.join(goes, "c")
         .select("home", (F.col("home") == F.col("c")).alias("own"), "doc_id", "grams")

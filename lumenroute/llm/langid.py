@@ -28,6 +28,7 @@ whatever their names; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -259,7 +260,7 @@ class Models:
 
 
 def train(docs: DataFrame, z: float = 8.0, slack: float = 0.5, most_grams: int = MOST_GRAMS) -> Models | None:
-    """Count over all rows of (lang, text) and build the models; None without any language."""
+    """Count over all rows of (lang, text) and build the models, in one task; None without any language."""
     prepare(docs.sparkSession)
     base = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
     grams = base.mapInArrow(_count, "lang string, gram binary, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).checkpoint()
@@ -268,12 +269,19 @@ def train(docs: DataFrame, z: float = 8.0, slack: float = 0.5, most_grams: int =
         fits = spread[spread["count"].cumsum() <= most_grams]
         least = int(fits["n"].min()) if len(fits) else int(spread["n"].max()) + 1
         grams = grams.where((F.col("n") >= least) | (F.length(F.regexp_replace(F.hex("gram"), "^(0{8})+", "")) < 8 * ORDER))
-    rows = grams.toPandas()
-    counts = {}
-    for lang, part in rows.groupby("lang"):
-        flat = np.frombuffer(b"".join(part["gram"]), np.uint32).reshape(-1, ORDER)
-        counts[str(lang)] = flat, part["n"].to_numpy(np.float64)
-    return Models(counts, z, slack) if counts else None
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches), pa.schema([("lang", pa.string()), ("gram", pa.binary()), ("n", pa.int64())]))
+        counts = {}
+        for lang in pc.unique(table["lang"]).to_pylist():
+            part = table.filter(pc.equal(table["lang"], lang))
+            raw, _ = kernel.utf8(part["gram"])
+            counts[lang] = raw.tobytes(), part["n"].to_numpy().astype(np.float64)
+        if counts:
+            models = Models({k: (np.frombuffer(r, np.uint32).reshape(-1, ORDER), n) for k, (r, n) in counts.items()}, z, slack)
+            yield pa.record_batch([pa.array([pickle.dumps(models)], pa.binary())], ["model"])
+
+    found = grams.select("lang", "gram", "n").repartition(1).mapInArrow(build, "model binary").collect()
+    return pickle.loads(found[0]["model"]) if found else None
 
 
 def identify(docs: DataFrame, training: DataFrame | None = None, **params) -> DataFrame:

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel
@@ -33,20 +31,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return edges.select(F.col("v").alias("node"), F.col("u").alias("component")).unionAll(edges.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct())
 
 
-def _may_be_in(ids: DataFrame, column: Column) -> Column | None:
-    """Whether a Bloom filter of the ids, a table of one column, may hold the column; None for too many ids."""
-    packed = kernel.bloom(ids.distinct().limit(kernel.BLOOM_KEYS + 1))
-    if packed is None:
-        return None
-    known = ids.sparkSession.sparkContext.broadcast(packed)
-
-    @F.pandas_udf("boolean")
-    def hit(values: pd.Series) -> pd.Series:
-        return pd.Series(kernel.in_bloom(known.value, values.to_numpy(np.int64).view(np.uint64)))
-
-    return column.isNotNull() & hit(F.coalesce(column, F.lit(0)))
-
-
 def drop_near_duplicates(docs: DataFrame, n: int = 3, threshold: float = 0.6) -> DataFrame:
     """docs without the documents whose group holds a lower id.
 
@@ -59,7 +43,7 @@ def drop_near_duplicates(docs: DataFrame, n: int = 3, threshold: float = 0.6) ->
     groups = components(ngram_jaccard_join(docs, n, threshold, forest=True), "doc_a", "doc_b").checkpoint()
     dropped = groups.where("node <> component").select(F.col("node").alias("id"))
     repeated = docs.select(key.alias("id")).where("id IS NOT NULL").groupBy("id").count().where("count > 1").select("id").checkpoint()
-    maybe = _may_be_in(dropped.unionAll(repeated), key)
+    maybe = kernel.may_be_in(dropped.unionAll(repeated), key)
     kept = docs if maybe is None else docs.where(maybe)
     kept = kept.join(dropped, kept["doc_id"].cast("long") == dropped["id"], "left_anti")
     if not repeated.isEmpty():

@@ -15,8 +15,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 U64 = np.uint64
 _R = U64(0x9E3779B97F4A7C15 | 1)
@@ -208,3 +210,17 @@ def in_bloom(packed: np.ndarray, keys: np.ndarray) -> np.ndarray:
     for at in _places(keys, 8 * len(packed)):
         out &= (packed[(at >> U64(3)).astype(np.int64)] >> (U64(7) - (at & U64(7))).astype(np.uint8)) & 1 == 1
     return out
+
+
+def may_be_in(ids: DataFrame, column: Column) -> Column | None:
+    """Whether a Bloom filter of the ids, a table of one column, may hold the column; None for too many ids."""
+    packed = bloom(ids.distinct().limit(BLOOM_KEYS + 1))
+    if packed is None:
+        return None
+    known = ids.sparkSession.sparkContext.broadcast(packed)
+
+    @F.pandas_udf("boolean")
+    def hit(values: pd.Series) -> pd.Series:
+        return pd.Series(in_bloom(known.value, values.to_numpy(np.int64).view(np.uint64)))
+
+    return column.isNotNull() & hit(F.coalesce(column, F.lit(0)))

@@ -153,6 +153,7 @@ def token_counts(docs: DataFrame, path: str = RANKS, pattern: str = PATTERN, lon
         failed = found.where("n_tokens IS NULL").select("key")
         if failed.isEmpty():
             return result
-        left = left.join(failed, "key", "left_semi")
+        maybe = kernel.may_be_in(failed, F.col("key"))  # so that only texts that failed are shuffled
+        left = (long if maybe is None else long.where(maybe)).join(failed, "key", "left_semi")
         overlap *= 8
         size = max(size, overlap)

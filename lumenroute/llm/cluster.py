@@ -8,6 +8,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH_ROWS = 2_000
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
@@ -18,7 +19,13 @@ def prepare(spark: SparkSession) -> None:
     ``spark.checkpoint.dir``. Only a local master may fall back on a temporary
     folder; on a cluster an unset folder is an error, because a machine-local
     folder would be lost with its machine.
+
+    Arrow batches are limited to ``BATCH_ROWS`` rows, unless the session asks
+    for fewer: texts are long, and a batch is in memory several times over.
     """
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, BATCH_ROWS)
     sc = spark.sparkContext
     paths = sc.environment.get("PYTHONPATH", "").split(os.pathsep)
     if ROOT not in paths:

@@ -76,7 +76,7 @@ def hms(seconds: Column) -> Column:
 
 def smoothed(values: Column, alpha: float) -> Column:
     """Exponential moving average of an array of numbers, cut to an integer at each step; it begins at the first value."""
-    return F.aggregate(F.slice(values, 2, F.greatest(F.size(values) - 1, F.lit(0))), F.element_at(values, 1).cast("double"), lambda a, x: F.floor(F.lit(alpha) * x + F.lit(1 - alpha) * a).cast("double"))
+    return F.aggregate(F.slice(values, 2, F.greatest(F.size(values) - 1, F.lit(0))), F.try_element_at(values, F.lit(1)).cast("double"), lambda a, x: F.floor(F.lit(alpha) * x + F.lit(1 - alpha) * a).cast("double"))
 
 
 def telemetry(frame: Column) -> Column:

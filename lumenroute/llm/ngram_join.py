@@ -418,7 +418,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 3, threshold: float = 0.6, fore
     pairs = (
         texts.mapInArrow(_postings(n, threshold, parts, heavy), "part int, blob binary")
         .where("length(blob) > 0")
-        .repartition(parts, "part")
+        .repartitionById(parts, F.col("part"))
         .mapInArrow(_candidates(threshold), "a long, b long, shared long, need long")
         .groupBy("a", "b")
         .agg(F.sum("shared").alias("shared"), F.min("need").alias("need"))

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +28,7 @@ def share(key: Column, salt: int) -> Column:
     return (F.xxhash64(key, F.lit(salt)).bitwiseAND(F.lit((1 << 40) - 1))) / F.lit(float(1 << 40))
 
 
-_COUNTED = np.dtype([("f", "<u4"), ("n", "<u2")])
+COUNTED = np.dtype([("f", "<u4"), ("n", "<u2")])
 
 
 def featured(docs: DataFrame, features: Features, kept: str) -> DataFrame:
@@ -41,7 +42,7 @@ def featured(docs: DataFrame, features: Features, kept: str) -> DataFrame:
                 ends = np.cumsum(sizes)
                 for a, b in zip(ends - sizes, ends, strict=True):
                     index, count = np.unique(f[a:b], return_counts=True)
-                    packed = np.empty(len(index), _COUNTED)
+                    packed = np.empty(len(index), COUNTED)
                     packed["f"], packed["n"] = index, np.minimum(count, 65535)
                     blobs.append(packed.tobytes())
             yield pa.record_batch([*(batch.column(c) for c in names), pa.array(blobs, pa.binary())], [*names, "f"])
@@ -49,24 +50,27 @@ def featured(docs: DataFrame, features: Features, kept: str) -> DataFrame:
     return docs.select(*names, "text").mapInArrow(run, f"{kept}, f binary")
 
 
+def restricted(rows: DataFrame, chosen: Broadcast, kept: str) -> DataFrame:
+    """The rows of ``featured`` with only the chosen features, a sorted array."""
+    names = [c.split()[0] for c in kept.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packed = (np.frombuffer(b, COUNTED) for b in batch.column("f").to_pylist())
+            out = [x[np.isin(x["f"], chosen.value)].tobytes() for x in packed]
+            yield pa.record_batch([*(batch.column(c) for c in names), pa.array(out, pa.binary())], [*names, "f"])
+
+    return rows.mapInArrow(run, f"{kept}, f binary")
+
+
 class Rows:
     """Sparse rows of feature counts."""
 
     def __init__(self, blobs: list[bytes]):
-        packed = np.frombuffer(b"".join(blobs), _COUNTED)
+        packed = np.frombuffer(b"".join(blobs), COUNTED)
         self.n = len(blobs)
         self.index, self.value = packed["f"].astype(np.int32), packed["n"].astype(np.float32)
-        self.row = np.repeat(np.arange(self.n, dtype=np.int32), [len(b) // _COUNTED.itemsize for b in blobs])
-
-    def df(self, dims: int) -> np.ndarray:
-        return np.bincount(self.index, minlength=dims)
-
-    def only(self, chosen: np.ndarray) -> Rows:
-        """The rows restricted to the features of a boolean mask."""
-        out = object.__new__(Rows)
-        keep = chosen[self.index]
-        out.n, out.index, out.value, out.row = self.n, self.index[keep], self.value[keep], self.row[keep]
-        return out
+        self.row = np.repeat(np.arange(self.n, dtype=np.int32), [len(b) // COUNTED.itemsize for b in blobs])
 
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, w.astype(np.float32)[self.index] * self.value, self.n)

@@ -54,14 +54,28 @@ def features(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         yield i, np.diff(w.first) * k, f.ravel()
 
 
-def informative(positive: linear.Rows, unlabelled: linear.Rows, prior: float, min_z: float, min_toxic: float) -> np.ndarray:
-    """Features with a higher document rate p among positives than q among unlabelled, and prior * p / q of min_toxic or more."""
-    dims = 1 << BITS
-    a, b = positive.df(dims), unlabelled.df(dims)
-    p, q = a / positive.n, b / unlabelled.n
-    pooled = (a + b) / (positive.n + unlabelled.n)
-    error = np.sqrt(np.maximum(pooled * (1 - pooled), 1e-12) * (1 / positive.n + 1 / unlabelled.n))
-    return (a >= 3) & (p - q >= min_z * error) & (prior * p >= min_toxic * q)
+def informative(sample: DataFrame, positives: int, unlabelled: int, prior: float, min_z: float, min_toxic: float) -> np.ndarray:
+    """Features of (y, f) with a higher document rate p among positives than q among unlabelled, and prior * p / q of min_toxic or more.
+
+    Documents are counted where they are; only the chosen features reach the driver.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[np.ndarray]] = {0: [], 1: []}
+        for batch in batches:
+            for y, blob in zip(batch.column("y").to_pylist(), batch.column("f").to_pylist(), strict=True):
+                held[y].append(np.frombuffer(blob, linear.COUNTED)["f"])
+        for y, parts in held.items():
+            if parts:
+                f, n = np.unique(np.concatenate(parts), return_counts=True)
+                yield pa.record_batch([pa.array(f.astype(np.int32)), pa.array(n * y), pa.array(n * (1 - y))], ["feature", "a", "b"])
+
+    p, q = F.col("a") / positives, F.col("b") / unlabelled
+    pooled = (F.col("a") + F.col("b")) / (positives + unlabelled)
+    error = F.sqrt(F.greatest(pooled * (1 - pooled), F.lit(1e-12)) * (1 / positives + 1 / unlabelled))
+    sums = sample.select("y", "f").mapInArrow(count, "feature int, a long, b long").groupBy("feature").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    found = sums.where((F.col("a") >= 3) & (p - q >= min_z * error) & (prior * p >= min_toxic * q)).select("feature").toPandas()["feature"]
+    return np.sort(found.to_numpy(np.int64))
 
 
 def fit_nnpu(positive: linear.Rows, unlabelled: linear.Rows, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-5, beta: float = 0.0, gamma: float = 1.0) -> tuple[np.ndarray, float]:
@@ -107,7 +121,7 @@ class Scorer:
         return p, p < self.threshold
 
 
-def train(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, prior: float | None = None, most_positive: int = 3000, most_unlabelled: int = 8000, min_z: float = 5.0, min_toxic: float = 0.7, salt: int = 4) -> Scorer:
+def train(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, prior: float | None = None, most_positive: int = 5000, most_unlabelled: int = 20000, min_z: float = 5.0, min_toxic: float = 0.7, salt: int = 4) -> Scorer:
     """Fit on at most about most_positive and most_unlabelled documents."""
     spark = docs.sparkSession
     prepare(spark)
@@ -124,13 +138,14 @@ def train(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, prior: flo
     chosen = base.join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", "text", F.lit(1).alias("y")).unionAll(
         linear.sampled(base, most_unlabelled, total, salt + 1).select("doc_id", "text", F.lit(0).alias("y"))
     )
-    rows = linear.featured(chosen, features, "doc_id long, y int").orderBy("doc_id", "y").toPandas()
-    positive, unlabelled = (linear.Rows(list(rows.loc[rows["y"] == y, "f"])) for y in (1, 0))
-    if not positive.n or not unlabelled.n:
+    sample = linear.featured(chosen, features, "doc_id long, y int").checkpoint()
+    sizes = {r[0]: r[1] for r in sample.groupBy("y").count().collect()}
+    if not (sizes.get(0) and sizes.get(1)):
         return Scorer(None, threshold)
     prior = min(max(prior, 1e-4), 0.95)
-    mask = informative(positive, unlabelled, prior, min_z, min_toxic)
-    positive, unlabelled = positive.only(mask), unlabelled.only(mask)
+    used = spark.sparkContext.broadcast(informative(sample, sizes[1], sizes[0], prior, min_z, min_toxic))
+    rows = linear.restricted(sample, used, "doc_id long, y int").orderBy("doc_id", "y").toPandas()
+    positive, unlabelled = (linear.Rows(list(rows.loc[rows["y"] == y, "f"])) for y in (1, 0))
     positive.value[:] = unlabelled.value[:] = 1
     model = fit_nnpu(positive, unlabelled, prior)
     return Scorer(spark.sparkContext.broadcast(model), threshold)

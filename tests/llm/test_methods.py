@@ -233,7 +233,7 @@ def test_negative_part_of_the_risk_stays_non_negative():
         out = []
         for _ in range(n):
             f = sorted({int(x) for x in rng.integers(0, 50, 5)} | ({60} if rng.random() < active else set()))
-            packed = np.empty(len(f), toxicity.linear._COUNTED)
+            packed = np.empty(len(f), toxicity.linear.COUNTED)
             packed["f"], packed["n"] = f, 1
             out.append(packed.tobytes())
         return toxicity.linear.Rows(out)

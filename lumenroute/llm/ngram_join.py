@@ -40,7 +40,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,6 +59,9 @@ SPARE = 0.02
 #: members whose sets differ from the pivot's by more than this share become pivots
 NEAR_PIVOT = 0.5
 
+#: pairs that a worker holds before it hands them on
+PIECE = 200_000
+
 _H = U64(46)
 _LOW = U64((1 << 46) - 1)
 _TOKEN = U64((1 << 51) - 1)
@@ -341,61 +343,66 @@ def overlaps(home: list[np.ndarray], other: list[np.ndarray]) -> Iterator[tuple[
         yield k, answer
 
 
-def verified(frame: pd.DataFrame, t: float, forest: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The qualifying pairs at one home cluster, as ids a < b and their similarity.
+def verified(ids: list, grams: list[bytes], own: list[bool], t: float, forest: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The qualifying pairs at one home cluster in pieces, as ids a < b and their similarity.
 
     ``forest`` returns a spanning forest of those pairs instead of all.
     """
-    ids: dict[bytes, list] = {}
-    own: dict[bytes, bool] = {}
-    for doc, grams, is_home in zip(frame["doc_id"], frame["grams"], frame["own"], strict=True):
-        ids.setdefault(grams, []).append(doc)
-        own[grams] = own.get(grams, False) or bool(is_home)
-    keys = sorted(ids, key=lambda k: (not own[k], k))
-    docs = [np.unique(np.array(ids[k], np.int64)) for k in keys]
+    members: dict[bytes, list] = {}
+    home: dict[bytes, bool] = {}
+    for doc, g, here in zip(ids, grams, own, strict=True):
+        members.setdefault(g, []).append(doc)
+        home[g] = home.get(g, False) or bool(here)
+    keys = sorted(members, key=lambda k: (not home[k], k))
+    docs = [np.unique(np.array(members[k], np.int64)) for k in keys]
     sets = [np.frombuffer(k, U64) for k in keys]
-    size = np.array([len(s) for s in sets])
-    homes = sum(own[k] for k in keys)
-    out_a, out_b, out_j = [], [], []
-    parent = np.arange(len(keys))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for k in range(homes):
-        d = docs[k]
-        if len(d) > 1:
-            x, y = (np.zeros(len(d) - 1, int), np.arange(1, len(d))) if forest else np.triu_indices(len(d), 1)
-            out_a.append(d[x])
-            out_b.append(d[y])
-            out_j.append(np.ones(len(x)))
-    if homes and len(sets) > 1:
-        for k, common in overlaps(sets[:homes], sets):
-            jac = common / (size[k] + size - common)
-            jac[: k + 1] = 0
-            for q in np.flatnonzero(jac >= t - 1e-12):
-                if forest:
-                    a, b = root(k), root(q)
-                    if a == b:
-                        continue
-                    parent[a] = b
-                x, y = (docs[k][:1], docs[q][:1]) if forest else (np.repeat(docs[k], len(docs[q])), np.tile(docs[q], len(docs[k])))
-                apart = x != y
-                out_a.append(np.minimum(x, y)[apart])
-                out_b.append(np.maximum(x, y)[apart])
-                out_j.append(np.full(int(apart.sum()), jac[q]))
-    if not out_a:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    return np.concatenate(out_a), np.concatenate(out_b), np.concatenate(out_j)
+    size, copies = np.array([len(s) for s in sets]), np.array([len(d) for d in docs])
+    flat, at = np.concatenate(docs), np.cumsum(copies) - copies
+    homes = sum(home[k] for k in keys)
+    label = np.arange(len(keys))
+    for d in docs[:homes]:
+        if forest:
+            yield np.repeat(d[:1], len(d) - 1), d[1:], np.ones(len(d) - 1)
+            continue
+        step = max(1, PIECE // len(d))
+        for k in range(0, len(d) - 1, step):
+            x, y = np.meshgrid(np.arange(k, min(k + step, len(d))), np.arange(len(d)), indexing="ij")
+            keep = x < y
+            yield d[x[keep]], d[y[keep]], np.ones(int(keep.sum()))
+    if len(sets) < 2:
+        return
+    for k, common in overlaps(sets[:homes], sets) if homes else ():
+        jac = common / (size[k] + size - common)
+        jac[: k + 1] = 0
+        hit = np.flatnonzero(jac >= t - 1e-12)
+        if forest:
+            hit = hit[label[hit] != label[k]]
+            hit = hit[np.unique(label[hit], return_index=True)[1]]
+            label[np.isin(label, label[hit])] = label[k]
+            x, y, j = np.full(len(hit), docs[k][0]), flat[at[hit]], jac[hit]
+        else:
+            n = copies[hit]
+            y = flat[np.repeat(at[hit] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            x, y, j = np.repeat(docs[k], len(y)), np.tile(y, len(docs[k])), np.tile(np.repeat(jac[hit], n), len(docs[k]))
+        apart = x != y
+        yield np.minimum(x, y)[apart], np.maximum(x, y)[apart], j[apart]
 
 
 def _verify(t: float, forest: bool):
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        a, b, j = verified(frame, t, forest)
-        return pd.DataFrame({"doc_a": a, "doc_b": b, "jaccard": j})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, grams, own = [], [], []
+        for batch in batches:
+            for column, held in (("doc_id", ids), ("grams", grams), ("own", own)):
+                held += batch.column(column).to_pylist()
+        held, rows = [], 0
+        for piece in verified(ids, grams, own, t, forest):
+            held.append(piece)
+            rows += len(piece[0])
+            if rows > PIECE:
+                yield pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], ["doc_a", "doc_b", "jaccard"])
+                held, rows = [], 0
+        if rows:
+            yield pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], ["doc_a", "doc_b", "jaccard"])
 
     return run
 
@@ -443,5 +450,5 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 3, threshold: float = 0.6, fore
         sets.join(goes, "c")
         .select("home", (F.col("home") == F.col("c")).alias("own"), "doc_id", "grams")
         .groupBy("home")
-        .applyInPandas(_verify(threshold, forest), "doc_a long, doc_b long, jaccard double")
+        .applyInArrow(_verify(threshold, forest), "doc_a long, doc_b long, jaccard double")
     )

@@ -12,7 +12,7 @@ from .values import truthy
 #: words that look like set codes but are not; add the names of one's own games
 NOT_SETS = frozenset("TM TCG EN JP FOIL".split())
 #: words of rules texts that say little
-COMMON_RULES = frozenset("that this with from then your their into until target cards card player players search hand same game when where each and the for all".split())
+COMMON_RULES = frozenset("all and card cards each for from game hand into player players same search target that the their then this until when where with your".split())
 #: words of rules texts that survive recognition, strongest first
 STRONG_RULES = "library remove spell shuffles graveyard sorcery instant counter".split()
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CROP_PRESETS = {"img_3490.jpg": (0.08, 0.06, 0.92, 0.96)}
+CROP_PRESETS = {"tilted_scan.jpg": (0.08, 0.06, 0.92, 0.96)}
 
 
 def _shifted(mask: np.ndarray, grow: bool) -> np.ndarray:

@@ -41,7 +41,7 @@ def games_with_tables(spark, d):
 @query("games_indexed", "SELECT r_regionkey::BIGINT AS id, r_name AS name FROM region WHERE r_regionkey IN (1, 3)")
 def games_indexed(spark, d):
     g = read(spark, d, "region").select(F.col("r_regionkey").cast("bigint").alias("id"), F.col("r_name").alias("name"))
-    files = spark.createDataFrame([("x/phash_cards_1.db",), ("x/phash_cards_3",), ("x/other_2.db",), ("x/phash_cards_99.db",)], "path string")
+    files = spark.createDataFrame([("x/index_1.db",), ("x/index_3",), ("x/other_2.db",), ("x/index_99.db",)], "path string")
     return source.indexed_games(g, files)
 
 

@@ -118,7 +118,7 @@ def every_nth(spark, d):
 
 @query("preset_crop", """SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN round_even((100 + doc_id % 900) * 0.08::DOUBLE, 0)::BIGINT ELSE -1 END AS x1, CASE WHEN doc_id % 5 = 0 THEN round_even((100 + doc_id % 900) * 0.92::DOUBLE, 0)::BIGINT ELSE -1 END AS x2 FROM documents""")
 def preset_crop(spark, d):
-    file = F.when(F.col("doc_id") % 5 == 0, "IMG_3490.jpg").otherwise("other.jpg")
+    file = F.when(F.col("doc_id") % 5 == 0, "Tilted_Scan.jpg").otherwise("other.jpg")
     width = (F.col("doc_id") % 900 + 100).cast("int")
     rect = image.preset_crop(file, width, F.lit(1000))
     return read(spark, d, "documents").select("doc_id", F.coalesce(rect["x1"], F.lit(-1)).cast("bigint").alias("x1"), F.coalesce(rect["x2"], F.lit(-1)).cast("bigint").alias("x2"))

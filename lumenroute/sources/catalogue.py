@@ -78,9 +78,9 @@ def with_tables(game_rows: DataFrame, mapping: DataFrame | None = None) -> DataF
     return game_rows.join(F.broadcast(mapping.select(F.col("game_name").alias("name"), "table_name")), "name")
 
 
-def indexed_games(game_rows: DataFrame, files: DataFrame) -> DataFrame:
+def indexed_games(game_rows: DataFrame, files: DataFrame, pattern: str = r"index_(\d+)") -> DataFrame:
     """Games that have an index file, by the number in its name."""
-    ids = files.select(F.regexp_extract("path", r"phash_cards_(\d+)", 1).try_cast("bigint").alias("id")).where("id IS NOT NULL").distinct()
+    ids = files.select(F.regexp_extract("path", pattern, 1).try_cast("bigint").alias("id")).where("id IS NOT NULL").distinct()
     return game_rows.join(ids, "id", "left_semi")
 
 

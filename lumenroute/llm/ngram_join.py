@@ -433,7 +433,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 3, threshold: float = 0.6, fore
         .select("a", "b")
         .checkpoint()
     )
-    counts = texts.mapInArrow(_keys(n), "c long").groupBy("c").count()
+    counts = texts.mapInArrow(_keys(n), "c long").groupBy("c").count().checkpoint()
     sized = (
         pairs.join(counts.select(F.col("c").alias("a"), F.col("count").alias("na")), "a")
         .join(counts.select(F.col("c").alias("b"), F.col("count").alias("nb")), "b")

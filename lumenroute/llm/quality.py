@@ -1,8 +1,9 @@
 """Quality filter: hashed word and character n-gram logistic regression.
 
 Trained on the labelled quality rows (a sample of at most about
-``most_labelled`` documents), calibrated on held-out rows by Platt scaling, and
-scored in Arrow batches: a document stays if its calibrated probability of
+``most_labelled`` documents, the classes alike as far as there are labels),
+calibrated on held-out rows by Platt scaling, where each row weighs by the
+inverse of its class's sampling rate, and scored in Arrow batches: a document stays if its calibrated probability of
 good quality is at least ``threshold``, a fixed number.
 
 The features of a text are its byte 3-grams (case kept, so that shouting and
@@ -108,17 +109,21 @@ def fit_logistic(rows: linear.Rows, y: np.ndarray, steps: int = 300, rate: float
     return weights, float(w[m])
 
 
-def platt(z: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]:
-    """a and b of the calibrated probability sigmoid(a z + b), by Newton's method on smoothed targets."""
+def platt(z: np.ndarray, y: np.ndarray, steps: int = 50, weight: np.ndarray | None = None) -> tuple[float, float]:
+    """a and b of the calibrated probability sigmoid(a z + b), by Newton's method on smoothed targets.
+
+    ``weight`` is how many rows each one stands for, up to a factor.
+    """
+    weight = np.ones(len(y)) if weight is None else weight * (len(y) / weight.sum())
     good, bad = y.sum(), (1 - y).sum()
     t = np.where(y == 1, (good + 1) / (good + 2), 1 / (bad + 2))
     x = np.stack([z, np.ones_like(z)], 1)
     c = np.array([1.0, 0.0])
-    loss = lambda v: (np.logaddexp(0, x @ v) - t * (x @ v)).sum()
+    loss = lambda v: (weight * (np.logaddexp(0, x @ v) - t * (x @ v))).sum()
     for _ in range(steps):
         p = linear.sigmoid(x @ c)
-        grad = x.T @ (p - t)
-        hess = (x * (p * (1 - p))[:, None]).T @ x + 1e-6 * np.eye(2)
+        grad = x.T @ (weight * (p - t))
+        hess = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-6 * np.eye(2)
         move, k = np.linalg.solve(hess, grad), 1.0
         while k > 1e-6 and loss(c - k * move) > loss(c):
             k /= 2
@@ -155,7 +160,8 @@ def train(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, most_label
     if not (counts.get(0) and counts.get(1)):
         return Scorer(None, threshold)
     half = most_labelled / 2  # so that what is broadcast has about most_labelled rows, whatever the input
-    picked = flags.where(linear.share(F.col("doc_id"), salt) < F.when(F.col("quality") == 1, half / counts[1]).otherwise(half / counts[0]))
+    rate = {c: min(1.0, half / counts[c]) for c in (0, 1)}
+    picked = flags.where(linear.share(F.col("doc_id"), salt) < F.when(F.col("quality") == 1, rate[1]).otherwise(rate[0]))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
     chosen = base.join(F.broadcast(picked), "doc_id").select("doc_id", "quality", linear.share(F.col("doc_id"), salt + 1).alias("u"), "text")
     rows = linear.featured(chosen, _labelled, "doc_id long, quality int, u double").orderBy("doc_id").toPandas()
@@ -169,7 +175,8 @@ def train(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, most_label
         check, target = _averaged(linear.Rows(list(rows.loc[late, "f"]))), y[late]
     else:
         check, target = _averaged(linear.Rows(list(rows["f"]))), y
-    a, b = platt(check.dot(weights.astype(np.float64)) + bias, target)
+    # the classes are sampled at different rates, the probabilities are those of all labelled rows
+    a, b = platt(check.dot(weights.astype(np.float64)) + bias, target, weight=np.where(target == 1, 1 / rate[1], 1 / rate[0]))
     return Scorer(spark.sparkContext.broadcast((weights, bias, a, b)), threshold)
 
 

@@ -250,6 +250,23 @@ def test_quality_held_out_and_calibrated(spark):
     assert abs(got.p_good.mean() - got.quality.mean()) < 0.08
 
 
+def test_calibration_keeps_the_natural_share_of_a_balanced_sample(spark):
+    rng = random.Random(8)  # the texts say nothing about the labels, so every probability is near the share
+    rows = [(k, " ".join(rng.choice("abcdefgh") * 3 for _ in range(12)), int(k % 20 > 2)) for k in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    got = quality.quality_rules(df.select("doc_id", "text"), df.select("doc_id", "quality"), most_labelled=400).toPandas()
+    assert abs(got.p_good.mean() - 0.85) < 0.07 and got.keep.mean() > 0.95
+
+
+def test_platt_weighs_rows_by_what_they_stand_for():
+    rng = np.random.default_rng(3)
+    z = rng.normal(0, 2, 40000)
+    y = (rng.random(40000) < 1 / (1 + np.exp(-(0.7 * z + 1.5)))).astype(float)
+    kept = (y == 0) | (rng.random(40000) < 0.2)
+    a, b = quality.platt(z[kept], y[kept], weight=np.where(y[kept] == 1, 5.0, 1.0))
+    assert abs(a - 0.7) < 0.05 and abs(b - 1.5) < 0.1
+
+
 def test_platt_recovers_a_logistic_curve():
     rng = np.random.default_rng(2)
     z = rng.normal(0, 2, 20_000)

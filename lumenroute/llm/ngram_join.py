@@ -172,6 +172,18 @@ def spare(n, t: float):
     return 1 + np.floor(SPARE * n) - np.ceil(t * n - 1e-9)
 
 
+def least_spare(lo, hi, t: float):
+    """The least of spare() over the sizes lo..hi.
+
+    It falls with n but for a step up at each multiple of 1 / SPARE, and its
+    values just before the steps all rise or all fall, so the ends and the
+    first and last steps are enough.
+    """
+    steps = [np.ceil(lo * SPARE), np.floor(lo * SPARE) + 1, np.floor(hi * SPARE)]
+    near = [np.round(s / SPARE) - back for s in steps for back in (0, 1)]
+    return np.minimum.reduce([spare(np.clip(n, lo, hi), t) for n in (lo, hi, *near)])
+
+
 def _possible(t: float, a, b):
     """Whether sets within these bounds (sizes from, to; positions from, to) can reach the threshold where both have an n-gram.
 
@@ -197,7 +209,7 @@ def candidate_pairs(rows: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray,
     bounds = np.stack([f.reduceat(rows[k].astype(np.float64), heads) for f, k in ((np.minimum, "n"), (np.maximum, "n"), (np.minimum, "i"), (np.maximum, "i"))])
     bounds[1::2][bounds[1::2] == _BIG] = np.inf
     with np.errstate(invalid="ignore"):
-        own = np.where(np.isfinite(bounds[1]), spare(bounds[1], t), -np.inf)
+        own = np.where(np.isfinite(bounds[1]), np.minimum(least_spare(bounds[0], bounds[1], t), 0), -np.inf)
     list_heads = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
     lengths = np.diff(np.r_[list_heads, len(w)])
     found: list[tuple[np.ndarray, ...]] = []

@@ -172,6 +172,23 @@ def test_long_lists_are_cut_into_blocks(spark, monkeypatch):
     assert small == sorted(zip(*(x.tolist() for x in ngram_join.candidate_pairs(rows, 0.6)), strict=True)) and small
 
 
+def test_clusters_of_mixed_sizes_keep_their_pairs():
+    common = list(range(1000, 1038))
+    x, y = [*range(100, 111), *common], [*range(200, 212), *common]  # 49 and 50 n-grams, Jaccard 38 / 61
+    near = [50, 51, *x[:-1]]  # 50 n-grams, in the cluster of x; with y 37 / 63
+    rows = [(w, c, len(s), i) for s, c in ((x, 1), (near, 1), (y, 2)) for i, w in enumerate(s[: len(s) + int(ngram_join.spare(len(s), 0.6))])]
+    a, b, shared, need = ngram_join.candidate_pairs(np.array(rows, ngram_join._POSTING), 0.6)
+    assert a.tolist() == [1] and b.tolist() == [2] and shared[0] >= need[0]
+
+
+@pytest.mark.parametrize("t", [0.005, 0.02, 0.5, 0.6, 0.7, 1.0])
+def test_least_spare_over_a_range_of_sizes(t):
+    one = ngram_join.spare(np.arange(400.0), t)
+    for lo in range(1, 330, 3):
+        for hi in range(lo, min(lo + 70, 400)):
+            assert ngram_join.least_spare(np.float64(lo), np.float64(hi), t) == one[lo : hi + 1].min(), (lo, hi)
+
+
 def test_derived_answers_equal_counted_ones():
     rng = np.random.default_rng(3)
     base = np.unique(rng.integers(0, 300, 80)).astype(np.uint64)

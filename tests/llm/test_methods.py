@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lumenroute.llm import chat, components, decontamination, kernel, langid, ngram_join, quality, sentencepiece_codec, sharding, token_counts, toxicity, warc
+from lumenroute.llm import chat, components, decontamination, kernel, langid, ngram_join, quality, queries, sentencepiece_codec, sharding, token_counts, toxicity, warc
 from lumenroute.llm.cluster import table
 
 SF = "/root/testdata/sf0.001"
@@ -172,6 +172,12 @@ def test_long_lists_are_cut_into_blocks(spark, monkeypatch):
     assert small == sorted(zip(*(x.tolist() for x in ngram_join.candidate_pairs(rows, 0.6)), strict=True)) and small
 
 
+def test_query_joins_bigrams_at_seven_tenths(spark, docs):
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    got = {(r.doc_a, r.doc_b): r.jaccard for r in queries.op2_ngram_jaccard_join(spark, SF).collect()}
+    assert got == pytest.approx(brute_pairs(rows, 2, 0.7)) and got
+
+
 def test_clusters_of_mixed_sizes_keep_their_pairs():
     common = list(range(1000, 1038))
     x, y = [*range(100, 111), *common], [*range(200, 212), *common]  # 49 and 50 n-grams, Jaccard 38 / 61

@@ -13,10 +13,11 @@ It is rejected, as ``und``, where that entropy exceeds what is usual for the
 language: mean + ``slack`` + ``z`` standard errors for the text's length, with
 mean and deviation taken over all characters of the language in the corpus.
 
-Each distinct word of a batch is scored once. The arrays that are broadcast
-hold at most ``MOST_GRAMS`` n-grams: beyond that, n-grams of the lowest counts
-are cut off, the same count in all languages, as is usual for such models;
-every text is still scored by every model.
+Each distinct word of a batch is scored once. The models hold every n-gram of
+the corpus, so the task that builds them and the arrays that are broadcast
+grow with the number of distinct n-grams. Only a caller who passes
+``most_grams`` has n-grams of the lowest counts cut off beyond it, the same
+count in all languages; mean and deviation are over all characters even then.
 
 Edge cases: null and empty texts, and texts without a word, are ``und`` with a
 null entropy. Rows without a language don't train; with no language at all
@@ -43,7 +44,6 @@ from .kernel import U64, mix
 
 ORDER = 5
 DISCOUNT = 0.75
-MOST_GRAMS = 2_000_000
 _START, _STOP = 2, 3
 _B = U64(0xA24BAED4963EE407)
 _POWERS = [U64(pow(int(_B), k, 1 << 64)) for k in range(ORDER + 1)]
@@ -128,7 +128,7 @@ def _hash(rows: np.ndarray, k: int, drop: int = 0) -> np.ndarray:
 class Models:
     """Kneser-Ney models of all languages in sorted hash arrays."""
 
-    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]], z: float, slack: float):
+    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]], z: float, slack: float, cut: dict[str, tuple[np.ndarray, np.ndarray]] | None = None):
         self.langs = sorted(counts)
         n = len(self.langs)
         levels: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(ORDER + 1)]
@@ -180,6 +180,10 @@ class Models:
             for k in range(1, ORDER + 1):
                 mine = length == k
                 s[mine] = -self.logp[k][np.searchsorted(self.keys[k], _hash(rows[mine], k)), q]
+            if cut and lang in cut:
+                lost, times = cut[lang]
+                last = self.score(lost.ravel(), np.tile(np.arange(ORDER), len(lost)))[ORDER - 1 :: ORDER, q]
+                s, count = np.r_[s, -last], np.r_[count, times]
             self.mean[q] = (s * count).sum() / count.sum()
             self.deviation[q] = np.sqrt(max((s * s * count).sum() / count.sum() - self.mean[q] ** 2, 0.0))
         self.z, self.slack = z, slack
@@ -259,28 +263,34 @@ class Models:
         return length, total
 
 
-def train(docs: DataFrame, z: float = 8.0, slack: float = 0.5, most_grams: int = MOST_GRAMS) -> Models | None:
+def train(docs: DataFrame, z: float = 8.0, slack: float = 0.5, most_grams: int | None = None) -> Models | None:
     """Count over all rows of (lang, text) and build the models, in one task; None without any language."""
     prepare(docs.sparkSession)
     base = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
     grams = base.mapInArrow(_count, "lang string, gram binary, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).checkpoint()
-    if grams.count() > most_grams:
+    kept = F.lit(True)
+    if most_grams is not None and grams.count() > most_grams:
         spread = grams.groupBy("n").count().orderBy(F.desc("n")).toPandas()
         fits = spread[spread["count"].cumsum() <= most_grams]
         least = int(fits["n"].min()) if len(fits) else int(spread["n"].max()) + 1
-        grams = grams.where((F.col("n") >= least) | (F.length(F.regexp_replace(F.hex("gram"), "^(0{8})+", "")) < 8 * ORDER))
+        kept = (F.col("n") >= least) | (F.length(F.regexp_replace(F.hex("gram"), "^(0{8})+", "")) < 8 * ORDER)
+
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches), pa.schema([("lang", pa.string()), ("gram", pa.binary()), ("n", pa.int64())]))
-        counts = {}
+        arrived = list(batches)
+        if not arrived:
+            return
+        table = pa.Table.from_batches(arrived)
+        counts, cut = {}, {}
         for lang in pc.unique(table["lang"]).to_pylist():
-            part = table.filter(pc.equal(table["lang"], lang))
-            raw, _ = kernel.utf8(part["gram"])
-            counts[lang] = raw.tobytes(), part["n"].to_numpy().astype(np.float64)
+            mine = table.filter(pc.equal(table["lang"], lang))
+            for held, part in ((counts, mine.filter(mine["kept"])), (cut, mine.filter(pc.invert(mine["kept"])))):
+                if part.num_rows:
+                    raw, _ = kernel.utf8(part["gram"])
+                    held[lang] = np.frombuffer(raw.tobytes(), np.uint32).reshape(-1, ORDER), part["n"].to_numpy().astype(np.float64)
         if counts:
-            models = Models({k: (np.frombuffer(r, np.uint32).reshape(-1, ORDER), n) for k, (r, n) in counts.items()}, z, slack)
-            yield pa.record_batch([pa.array([pickle.dumps(models)], pa.binary())], ["model"])
+            yield pa.record_batch([pa.array([pickle.dumps(Models(counts, z, slack, cut))], pa.binary())], ["model"])
 
-    found = grams.select("lang", "gram", "n").repartition(1).mapInArrow(build, "model binary").collect()
+    found = grams.select("lang", "gram", "n", kept.alias("kept")).repartition(1).mapInArrow(build, "model binary").collect()
     return pickle.loads(found[0]["model"]) if found else None
 
 

@@ -1,5 +1,6 @@
 """The operators against brute force, exact round trips and held-out accuracy."""
 
+import inspect
 import math
 import random
 from collections import Counter, defaultdict
@@ -121,6 +122,19 @@ def test_least_counts_are_cut_off_beyond_the_bound(docs):
     assert 0 < sum(len(k) for k in models.keys[5:]) < 3000
 
 
+def test_nothing_is_cut_off_unless_asked():
+    assert inspect.signature(langid.train).parameters["most_grams"].default is None
+
+
+@pytest.mark.parametrize("most", [None, 3000])
+def test_usual_entropy_is_over_all_characters(docs, most):
+    models = langid.train(docs, most_grams=most)
+    for q, lang in enumerate(models.langs):
+        texts = [r.text for r in docs.where(F.col("lang") == lang).where("text IS NOT NULL").select("text").collect()]
+        length, total = models.identify(pa.array(texts))
+        assert models.mean[q] == pytest.approx(-total[:, q].sum() / length.sum(), rel=1e-4)
+
+
 # 2
 
 

@@ -23,6 +23,7 @@ replaced.
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -65,7 +66,7 @@ def quantiles(sample: pd.DataFrame, pieces: int, columns: list[str]) -> list[tup
     return list(rows.itertuples(index=False, name=None))
 
 
-def find_splitters(rows: DataFrame, target_bytes: int, full: float, samples: int, rounds: int, salt: int) -> Splitters:
+def find_splitters(rows: DataFrame, target_bytes: int, full: float, samples: int, salt: int) -> Splitters:
     """rows: (k string, w long, size long)."""
     spark = rows.sparkSession
     total = rows.agg(F.sum("size")).first()[0] or 0
@@ -80,7 +81,7 @@ def find_splitters(rows: DataFrame, target_bytes: int, full: float, samples: int
     first = drawn(rows, total, salt) if pieces > 1 else pd.DataFrame(columns=["k", "w", "size", "weight"])
     splitters = Splitters([(k, LEAST) for (k,) in quantiles(first, pieces, ["k"]) if k != first["k"].iloc[0]])
     stuck: set[tuple] = set()
-    for turn in range(1, rounds + 1):
+    for turn in count(1):  # ends: each turn adds a splitter within a range, or marks the range as stuck
         known = spark.sparkContext.broadcast(splitters)
         number = F.pandas_udf(lambda k, w: known.value.ranges(k, w), "long")  # noqa: B023
         placed = rows.withColumn("r", number("k", "w"))
@@ -106,14 +107,14 @@ def find_splitters(rows: DataFrame, target_bytes: int, full: float, samples: int
     return splitters
 
 
-def shard(docs: DataFrame, key: str = "source", within: str = "doc_id", content: str = "text", target_bytes: int = 16 << 20, full: float = 1.25, samples: int = 50_000, rounds: int = 4, salt: int = 3, column: str = "shard") -> DataFrame:
+def shard(docs: DataFrame, key: str = "source", within: str = "doc_id", content: str = "text", target_bytes: int = 16 << 20, full: float = 1.25, samples: int = 50_000, salt: int = 3, column: str = "shard") -> DataFrame:
     """docs with the number of each record's shard, one partition a shard."""
     spark = docs.sparkSession
     prepare(spark)
     k = F.coalesce(F.col(key).cast("string"), F.lit(""))
     w = F.coalesce(F.col(within).cast("long"), F.lit(LEAST))
     rows = docs.select(k.alias("k"), w.alias("w"), F.coalesce(F.octet_length(F.col(content)), F.lit(0)).cast("long").alias("size")).checkpoint()
-    splitters = find_splitters(rows, target_bytes, full, samples, rounds, salt)
+    splitters = find_splitters(rows, target_bytes, full, samples, salt)
     known = spark.sparkContext.broadcast(splitters)
     number = F.pandas_udf(lambda a, b: known.value.ranges(a, b), "long")
     out = docs.withColumn(column, number(k, w).cast("int"))

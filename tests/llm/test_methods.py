@@ -252,6 +252,14 @@ def test_shards_are_ordered_full_and_whole(spark):
     assert sum(x.lo.source == "hot" == x.hi.source for x in s) > 5
 
 
+def test_subdivision_goes_on_until_none_is_overfull(spark, monkeypatch):
+    middle = lambda sample, pieces, columns: [tuple(sample[columns].iloc[len(sample) // 2])] if pieces > 1 and len(sample) else []
+    monkeypatch.setattr(sharding, "quantiles", middle)  # halves, so that 64 shards need six rounds and more
+    docs = spark.range(256).select(F.col("id").alias("doc_id"), F.lit("one").alias("source"), F.lit("x" * 100).alias("text"))
+    sizes = [r["b"] for r in sharding.shard(docs, target_bytes=400).groupBy("shard").agg(F.sum(F.octet_length("text")).alias("b")).collect()]
+    assert max(sizes) <= 500 and sum(sizes) == 25_600
+
+
 # 4, 10
 
 

@@ -61,7 +61,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The canonical turns of all conversations, each read from a JSON record in one of six layouts."""
+    """The canonical turns of all conversations, each read from a JSON record in one of six layouts.
+
+    Turns with a null conv_id belong to no conversation and are left out, as in the SQL.
+    """
     records = heterogeneous(table(spark, sf_dir, "conversations"))
     return canonical_turns(records, "conv_id").select("conv_id", "layout", "turn", "role", "content")
 

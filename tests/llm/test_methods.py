@@ -341,6 +341,13 @@ def test_overlaps_widen_where_nothing_aligns(spark):
 # 6
 
 
+def test_turns_of_no_conversation_are_left_out(spark, tmp_path):
+    rows = [(None, 0, "user", "lost"), (1, 0, "user", "hello"), (1, 1, "assistant", None)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = queries.op6_chat_formatting(spark, str(tmp_path)).select("conv_id", "turn", "role", "content").collect()
+    assert sorted(map(tuple, got)) == [(1, 0, "user", "hello"), (1, 1, "assistant", "")]
+
+
 def test_paths_and_fingerprints():
     a = "OBJECT<messages: ARRAY<OBJECT<content: STRING, role: STRING>>>"
     assert chat.field_paths(a) == ("messages[].content", "messages[].role")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernel
@@ -17,16 +17,16 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Nulls and loops are left out.
     """
     edges = edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where("u < v").distinct().checkpoint()
+    now = None
     while True:
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("m").alias("u"), "v").where("u < v").distinct()
         lower = large.select(F.col("v").alias("n"), F.col("u").alias("to"))
         roots = lower.groupBy("n").agg(F.min("to").alias("m"))
-        small = lower.join(roots, "n").select(F.col("m").alias("u"), F.explode(F.array("n", "to")).alias("v")).where("u < v").distinct().checkpoint()
-        change = small.exceptAll(edges).limit(1).count() + edges.exceptAll(small).limit(1).count()
-        edges = small
-        if not change:
+        edges = lower.join(roots, "n").select(F.col("m").alias("u"), F.explode(F.array("n", "to")).alias("v")).where("u < v").distinct().checkpoint()
+        before, now = now, edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == before:
             break
     return edges.select(F.col("v").alias("node"), F.col("u").alias("component")).unionAll(edges.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct())
 
@@ -34,19 +34,22 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, n: int = 3, threshold: float = 0.6) -> DataFrame:
     """docs without the documents whose group holds a lower id.
 
-    Of repeated rows, the same id and text, one stays; rows of one id with
-    different texts stay or go together. Rows with a null id all stay, and
-    empty texts, which have no n-gram, are no one's copies. Only rows that may
-    be concerned are shuffled.
+    Of repeated rows, the same id and text, one stays, the first by its other
+    columns as JSON; rows of one id with different texts stay or go together.
+    Rows with a null id all stay, and empty texts and nulls, which have no
+    n-gram, are no one's copies. Long texts are compared whole. Other columns
+    pass through, whatever their names; an empty table stays empty. Only rows
+    that may be concerned are shuffled.
     """
     key = F.col("doc_id").cast("long")
-    groups = components(ngram_jaccard_join(docs, n, threshold, forest=True), "doc_a", "doc_b").checkpoint()
-    dropped = groups.where("node <> component").select(F.col("node").alias("id"))
+    groups = components(ngram_jaccard_join(docs, n, threshold, forest=True), "doc_a", "doc_b")
+    dropped = groups.where("node <> component").select(F.col("node").alias("id")).distinct().checkpoint()
     repeated = docs.select(key.alias("id")).where("id IS NOT NULL").groupBy("id").count().where("count > 1").select("id").checkpoint()
+    names = docs.columns
     maybe = kernel.may_be_in(dropped.unionAll(repeated), key)
-    kept = docs if maybe is None else docs.where(maybe)
-    kept = kept.join(dropped, kept["doc_id"].cast("long") == dropped["id"], "left_anti")
+    kept = docs.where(maybe).select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), key.alias("id")).join(dropped, "id", "left_anti")
     if not repeated.isEmpty():
-        once = kept.join(repeated, kept["doc_id"].cast("long") == repeated["id"], "left_semi").dropDuplicates(["doc_id", "text"])
-        kept = kept.join(repeated, kept["doc_id"].cast("long") == repeated["id"], "left_anti").unionAll(once)
-    return kept if maybe is None else docs.where(~maybe).unionAll(kept)
+        order = Window.partitionBy("id", "row.text").orderBy(F.to_json("row"))
+        once = kept.join(repeated, "id", "left_semi").withColumn("place", F.row_number().over(order)).where("place = 1").drop("place")
+        kept = kept.join(repeated, "id", "left_anti").unionAll(once)
+    return docs.where(~maybe).unionAll(kept.select("row.*"))

@@ -2,9 +2,11 @@
 
 Everything works on the UTF-8 bytes of a whole Arrow batch with numpy, so no
 Python string is made per word. Words are maximal runs of ASCII letters and
-digits and of any non-ASCII character; the SQL form of the same rule is the
-regular expression ``[0-9A-Za-z\\x{80}-\\x{10FFFF}]+``. Callers lower-case in
-Spark first where case must not matter.
+digits and of any non-ASCII character. ``normalised`` first brings texts to the
+form in which words are compared: NFKC, lower case, without invisible joiners,
+every other non-ASCII character a letter, digit or mark, and every ideograph or
+kana a word of its own. After it, words are the matches of
+``[\\p{L}\\p{N}\\p{M}]+``.
 
 A word's hash is a polynomial over its bytes modulo 2**64, read off prefix
 sums, and then mixed.
@@ -12,19 +14,23 @@ sums, and then mixed.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 U64 = np.uint64
 _R = U64(0x9E3779B97F4A7C15 | 1)
 _RI = U64(pow(int(_R), -1, 1 << 64))
-#: most keys of a Bloom filter, which is 2 bytes a key; what it would spare is done without it beyond that
-BLOOM_KEYS = 1 << 25
+#: most bits of a Bloom filter, 64 MB; more keys than a sixteenth of them only let more pass
+BLOOM_BITS = 1 << 29
+#: bits of the part of a filter that one task fills
+BLOOM_PART = 1 << 20
 #: bytes of text handled at a time: the temporaries stay within the CPU caches
 GROUP_BYTES = 1 << 17
 #: documents handled at a time, so that a document's number fits 13 bits
@@ -77,6 +83,30 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
+_JOINERS = r"[\x{AD}\x{200B}-\x{200D}\x{2060}\x{FEFF}]"
+_NO_WORD = r"[^\p{L}\p{N}\p{M}\x{0}-\x{7F}]+"
+_ALONE = r"([\p{Han}\p{Hiragana}\p{Katakana}])"
+
+
+def unusual(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Rows with characters besides ASCII and the accented letters up to U+00FF, whose normal form is more than lower case."""
+    odd = (raw >= 0xC4) | (raw == 0xC2)
+    odd[1:] |= (raw[:-1] == 0xC3) & ((raw[1:] == 0x97) | (raw[1:] == 0xB7))
+    return np.diff(np.r_[0, np.cumsum(odd)][at]) > 0
+
+
+def normalised(column: pa.Array) -> pa.Array:
+    """The texts in the form in which words are compared; nulls stay null."""
+    low = pc.utf8_lower(column)
+    rows = unusual(*utf8(column))
+    if not rows.any():
+        return low
+    joined = pc.replace_substring_regex(column.filter(pa.array(rows)), _JOINERS, "")
+    text = pc.utf8_lower(pa.array([unicodedata.normalize("NFKC", t) for t in joined.to_pylist()], column.type))  # Arrow's normal forms don't compose
+    text = pc.replace_substring_regex(pc.replace_substring_regex(text, _NO_WORD, " "), _ALONE, r" \1 ")
+    return pc.replace_with_mask(low, pa.array(rows), text)
+
+
 def groups(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
     """Runs of documents [i, j) of about GROUP_BYTES; a longer document is a run of its own."""
     i, n = 0, len(offsets) - 1
@@ -187,40 +217,65 @@ def split_rows(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 <<
             i = j
 
 
-def _places(keys: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+def _places(keys: np.ndarray, parts: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each key's part of a filter and its two places in it."""
     h = mix(keys + U64(0x632BE59BD9B4E019))
-    return (h >> U64(32)) % U64(size), (h & U64(0xFFFFFFFF)) % U64(size)
+    part = ((h >> U64(32)) * U64(parts)) >> U64(32)
+    g = mix(h)
+    return part.astype(np.int64), (g >> U64(32)) % U64(size), (g & U64(0xFFFFFFFF)) % U64(size)
 
 
-def bloom(keys: DataFrame) -> np.ndarray | None:
-    """A packed filter of the distinct integers in a table of one column, with 16 places for each; None for over BLOOM_KEYS."""
-    found = keys.toPandas().iloc[:, 0].to_numpy(np.int64).view(U64)
-    if len(found) > BLOOM_KEYS:
-        return None
-    size = max(64, 16 * len(found))
-    places = np.zeros(size, bool)
-    for at in _places(found, size):
-        places[at] = True
-    return np.packbits(places)
+class Bloom:
+    """A filter of integers in equal parts; a key is looked up in one of them."""
 
+    def __init__(self, parts: np.ndarray):
+        self.parts = parts  # bytes of packed bits, a row for each part
 
-def in_bloom(packed: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Which keys the filter may hold; all that it does are among them."""
-    out = np.ones(len(keys), bool)
-    for at in _places(keys, 8 * len(packed)):
-        out &= (packed[(at >> U64(3)).astype(np.int64)] >> (U64(7) - (at & U64(7))).astype(np.uint8)) & 1 == 1
-    return out
+    def may_hold(self, keys: np.ndarray) -> np.ndarray:
+        """Which keys the filter may hold; all that it does are among them."""
+        part, *places = _places(keys, len(self.parts), 8 * self.parts.shape[1])
+        out = np.ones(len(keys), bool)
+        for at in places:
+            out &= (self.parts[part, (at >> U64(3)).astype(np.int64)] >> (U64(7) - (at & U64(7))).astype(np.uint8)) & 1 == 1
+        return out
 
 
-def may_be_in(ids: DataFrame, column: Column) -> Column | None:
-    """Whether a Bloom filter of the ids, a table of one column, may hold the column; None for too many ids."""
-    packed = bloom(ids.distinct().limit(BLOOM_KEYS + 1))
-    if packed is None:
-        return None
-    known = ids.sparkSession.sparkContext.broadcast(packed)
+def bloom(keys: DataFrame, most_bits: int | None = None) -> Bloom:
+    """A filter of the integers in a table of one column, with 16 bits for each row up to ``most_bits`` in all.
+
+    The parts are filled where the keys are shuffled to; the driver only puts them together.
+    """
+    most_bits = BLOOM_BITS if most_bits is None else most_bits
+    (name,) = keys.columns
+    bits = max(64, min(16 * keys.count(), most_bits))
+    parts = -(-bits // BLOOM_PART)
+    size = 8 * -(-bits // (8 * parts))
+    number = F.pandas_udf(lambda k: pd.Series(_places(k.to_numpy(np.int64).view(U64), parts, size)[0].astype(np.int32)), "int")
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            part, *places = _places(batch.column("k").to_numpy().view(U64), parts, size)
+            for p in np.unique(part):
+                mine = held.setdefault(int(p), np.zeros(size, bool))
+                for at in places:
+                    mine[at[part == p]] = True
+        if held:
+            yield pa.record_batch([pa.array(list(held), pa.int32()), pa.array([np.packbits(x).tobytes() for x in held.values()], pa.binary())], ["part", "bits"])
+
+    out = np.zeros((parts, size // 8), np.uint8)
+    keyed = keys.where(F.col(name).isNotNull()).select(F.col(name).cast("long").alias("k"))
+    for row in keyed.repartitionById(parts, number("k")).mapInArrow(fill, "part int, bits binary").toLocalIterator():
+        out[row["part"]] = np.frombuffer(row["bits"], np.uint8)
+    return Bloom(out)
+
+
+def may_be_in(ids: DataFrame, column: Column) -> Column:
+    """Whether a filter of the ids, a table of one column, may hold the column."""
+    known = ids.sparkSession.sparkContext.broadcast(bloom(ids))
 
     @F.pandas_udf("boolean")
     def hit(values: pd.Series) -> pd.Series:
-        return pd.Series(in_bloom(known.value, values.to_numpy(np.int64).view(np.uint64)))
+        return pd.Series(known.value.may_hold(values.to_numpy(np.int64).view(U64)))
 
     return column.isNotNull() & hit(F.coalesce(column, F.lit(0)))

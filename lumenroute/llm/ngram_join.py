@@ -1,32 +1,39 @@
 """N-gram Jaccard self-join with set-relation skipping.
 
-Every document is the set of its distinct word n-grams (lower case); the join
-returns all pairs of documents whose sets have Jaccard similarity of at least
-``threshold``. It is exact: candidates come from prefix filtering over a total
-order of the n-grams, and each candidate pair is verified on the whole sets.
+Every document is the set of its distinct word n-grams, of words in normal form
+(see ``kernel.normalised``); the join returns all pairs of documents whose sets
+have Jaccard similarity of at least ``threshold``. Candidates come from prefix
+filtering over a total order of the n-grams, which loses no pair, and each
+candidate pair is verified on the whole sets. n-grams are told apart by hashes
+of 46 bits: among two sets of a thousand, the chance that a hash stands for
+two n-grams is about 10^-8. Equal sets are told apart by 128 bits.
 
 1. *Order.* n-grams that are frequent are put last, so that a passage shared by
-   thousands of documents stays out of their prefixes. Any order is exact; the
+   thousands of documents stays out of their prefixes. Any order will do; the
    counts only say which n-grams are worth putting last, and the table of them
    that is broadcast has at most ``ORDER_TERMS`` entries whatever the input.
 2. *Clusters.* Sets of about one size that agree in two min-hashes form a
    cluster, equal sets always do. A cluster enters the index once per n-gram,
    with the ranges of its members' sizes and positions.
-3. *Index.* Posting lists are partitioned by n-gram. Within a list, entries are
+3. *Index.* Posting lists are partitioned by n-gram, in as many parts as they
+   fill. Within a list, entries are
    sorted by size and cut into blocks that carry their bounds on size and on
    position; block pairs whose bounds rule out the required overlap are
    skipped whole, then single entries are. A prefix is longer than it need be
    by ``SPARE``, so that sets over the threshold share several n-grams of their
    prefixes; a cluster pair that shares fewer is dropped.
-4. *Answers.* Only sets of clusters that have a partner or several members are
-   shuffled (by a Bloom filter, if those clusters are few enough to broadcast
-   it; else all sets meet the pairs in the join). Each candidate cluster pair is verified where its larger cluster
-   is. There the overlaps of one member, the pivot, with all sets are counted
-   once; every other member's are derived from the pivot's by the n-grams in
-   which the two differ. Members far from the pivot become pivots themselves.
+4. *Answers.* Of equal sets one is shuffled, with the ids of all, and only if its
+   cluster has a partner or other sets (by a Bloom filter). Each candidate
+   cluster pair is verified where its larger cluster is, in blocks of
+   ``Sizes.home`` bytes; the sets that a block is compared with pass by it in a
+   stream, so a worker's memory depends on the size of neither cluster.
+   The overlaps of one set of the block, the pivot, with those passing are counted
+   once; every other one's are derived from the pivot's by the n-grams in
+   which the two differ. Sets far from the pivot become pivots themselves.
 
 Edge cases: null and empty texts, and texts without a word, are empty sets and
 pair with nothing. A text of fewer than n words has one n-gram, all its words.
+Very long texts are sets like any other, of all their n-grams.
 Repeated rows (the same id and text twice) count as one document; an id with
 several texts pairs with other ids by each of them, a row for each qualifying
 pair of texts, and never with itself. Rows with a null id are left out. Ties need no rule, as every pair at
@@ -38,9 +45,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,8 +68,22 @@ SPARE = 0.02
 #: members whose sets differ from the pivot's by more than this share become pivots
 NEAR_PIVOT = 0.5
 
-#: pairs that a worker holds before it hands them on
-PIECE = 200_000
+
+@dataclass(frozen=True)
+class Sizes:
+    """How the work is cut; the result doesn't depend on it."""
+
+    #: bytes of postings in a part of the index
+    part: int = 32 << 20
+    #: bytes of sets in a block of a home cluster
+    home: int = 8 << 20
+    #: bytes of sets that are compared with such a block at once
+    passing: int = 4 << 20
+    #: pairs that a worker holds before it hands them on
+    pairs: int = 200_000
+    #: ids of a set whose pairs with the ids after them one row makes
+    copies: int = 4096
+
 
 _H = U64(46)
 _LOW = U64((1 << 46) - 1)
@@ -101,9 +124,16 @@ def _clusters(sizes: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     return out
 
 
-def _frequent(n: int):
+def _set_keys(sizes: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each set."""
+    heads = np.cumsum(sizes) - sizes
+    total = np.r_[U64(0), np.cumsum(mix(tokens & _LOW) + U64(0x5851F42D4C957F2D))]
+    return mix(total[heads + sizes] - total[heads] + sizes.astype(U64))
+
+
+def _frequent(n: int, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, size, postings = [], 0, 0
 
         def flush():
             token, count = np.unique(np.concatenate(held), return_counts=True)
@@ -111,48 +141,59 @@ def _frequent(n: int):
             return pa.record_batch([pa.array(token[often].view(np.int64)), pa.array(count[often])], ["w", "df"])
 
         for batch in kernel.split_rows(batches, "text"):
-            for _, _, tokens in _ordered(*kernel.utf8(batch.column("text")), n):
+            for _, sizes, tokens in _ordered(*kernel.utf8(kernel.normalised(batch.column("text"))), n):
                 held.append(tokens)
                 size += len(tokens)
+                postings += int(_prefix(sizes, threshold).sum())
             if size > 4_000_000:
                 yield flush()
                 held, size = [], 0
         if held:
             yield flush()
+        yield pa.record_batch([pa.array([-1]), pa.array([postings])], ["w", "df"])
 
     return run
 
 
-def frequent_grams(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent n-grams over all documents and their classes 1..31, by hash."""
+def frequent_grams(docs: DataFrame, n: int, threshold: float) -> tuple[tuple[np.ndarray, np.ndarray], int]:
+    """The most frequent n-grams over all documents and their classes 1..31, by hash; and the number of all postings."""
     top = (
-        docs.mapInArrow(_frequent(n), "w long, df long").groupBy("w").agg(F.sum("df").alias("df"))
-        .orderBy(F.desc("df"), "w").limit(ORDER_TERMS).toPandas()
+        docs.mapInArrow(_frequent(n, threshold), "w long, df long").groupBy("w").agg(F.sum("df").alias("df"))
+        .orderBy(F.col("w") >= 0, F.desc("df"), "w").limit(ORDER_TERMS + 1).toPandas()
     )
+    postings = int(top.loc[top["w"] < 0, "df"].sum())
+    top = top[top["w"] >= 0]
     token = top["w"].to_numpy(np.int64).view(U64)
     level = np.minimum(1 + 2 * np.log2(np.maximum(top["df"].to_numpy(np.float64), 1)), 31).astype(U64)
     order = np.argsort(token)
-    return token[order], level[order]
+    return (token[order], level[order]), postings
 
 
 def _postings(n: int, threshold: float, parts: int, heavy):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, order = [], 0, heavy.value
+        seen: set[int] = set()
 
         def flush():
             rows = np.concatenate(held)
             part = (mix(rows["w"]) >> U64(40)) % U64(parts)
             rows = rows[np.lexsort((rows["w"], part))]
             ends = np.cumsum(np.bincount(part.astype(np.int64), minlength=parts))
-            blobs = [rows[a:b].tobytes() for a, b in zip(np.r_[0, ends[:-1]], ends, strict=True)]
-            return pa.record_batch([pa.array(np.arange(parts, dtype=np.int32)), pa.array(blobs, pa.binary())], ["part", "blob"])
+            begins = np.r_[0, ends[:-1]]
+            some = np.flatnonzero(ends > begins)
+            blobs = [rows[begins[k] : ends[k]].tobytes() for k in some]
+            return pa.record_batch([pa.array(some.astype(np.int32)), pa.array(blobs, pa.binary())], ["part", "blob"])
 
         for batch in kernel.split_rows(batches, "text"):
-            for _, sizes, tokens in _ordered(*kernel.utf8(batch.column("text")), n, order):
+            for _, sizes, tokens in _ordered(*kernel.utf8(kernel.normalised(batch.column("text"))), n, order):
                 c = _clusters(sizes, tokens)
+                new = np.zeros(len(sizes), bool)  # sets equal to one before in this task have the same postings
+                for k, key in enumerate(_set_keys(sizes, tokens).tolist()):
+                    if key not in seen:
+                        seen.add(key)
+                        new[k] = True
                 pos = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                prefix = np.minimum(sizes + spare(sizes, threshold), sizes)
-                keep = pos < np.repeat(prefix, sizes)
+                keep = pos < np.repeat(np.where(new, _prefix(sizes, threshold), 0), sizes)
                 rows = np.empty(int(keep.sum()), _POSTING)
                 rows["w"], rows["c"] = tokens[keep], np.repeat(c, sizes)[keep]
                 rows["n"], rows["i"] = np.minimum(np.repeat(sizes, sizes)[keep], _BIG), np.minimum(pos[keep], _BIG)
@@ -172,6 +213,10 @@ def spare(n, t: float):
     return 1 + np.floor(SPARE * n) - np.ceil(t * n - 1e-9)
 
 
+def _prefix(sizes: np.ndarray, t: float) -> np.ndarray:
+    return np.minimum(sizes + spare(sizes, t), sizes)
+
+
 def least_spare(lo, hi, t: float):
     """The least of spare() over the sizes lo..hi.
 
@@ -279,33 +324,34 @@ def _candidates(t: float):
     return run
 
 
-def _sets(n: int, wanted):
+def _members(n: int):
+    """(c, s, size, doc_id) of every set: cluster, hash of the set, number of n-grams."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in kernel.split_rows(batches, "text", 4 << 20):
-            keys, ids, blobs = [], [], []
-            for i, sizes, tokens in _ordered(*kernel.utf8(batch.column("text")), n):
-                key = _clusters(sizes, tokens)
-                stay = key != 0
-                if wanted.value is not None:
-                    stay &= kernel.in_bloom(wanted.value, key)
-                ends = np.cumsum(sizes)
-                pick = np.flatnonzero(stay)
-                keys.append(key[pick].view(np.int64))
-                ids.append(i + pick)
-                blobs += [tokens[ends[k] - sizes[k] : ends[k]].tobytes() for k in pick]
-            if blobs:
-                yield pa.record_batch([pa.array(np.concatenate(keys)), batch.column("doc_id").take(pa.array(np.concatenate(ids))), pa.array(blobs, pa.binary())], ["c", "doc_id", "grams"])
+        for batch in kernel.split_rows(batches, "text"):
+            for i, sizes, tokens in _ordered(*kernel.utf8(kernel.normalised(batch.column("text"))), n):
+                some = np.flatnonzero(sizes)
+                yield pa.record_batch([
+                    pa.array(_clusters(sizes, tokens)[some].view(np.int64)), pa.array(_set_keys(sizes, tokens)[some].view(np.int64)),
+                    pa.array(sizes[some].astype(np.int64)), batch.column("doc_id").take(pa.array(i + some)),
+                ], ["c", "s", "size", "doc_id"])
 
     return run
 
 
-def _keys(n: int):
+def _sets(n: int, wanted):
+    """(c, s, doc_id, grams) of the sets that the filter may hold."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in kernel.split_rows(batches, "text"):
-            keys = [_clusters(s, x).view(np.int64) for _, s, x in _ordered(*kernel.utf8(batch.column("text")), n)]
-            if keys:
-                out = np.concatenate(keys)
-                yield pa.record_batch([pa.array(out[out != 0])], ["c"])
+        for batch in kernel.split_rows(batches, "text", 4 << 20):
+            ids = batch.column("doc_id").to_numpy()
+            for i, sizes, tokens in _ordered(*kernel.utf8(kernel.normalised(batch.column("text"))), n):
+                key = _set_keys(sizes, tokens)
+                pick = np.flatnonzero(wanted.value.may_hold(key ^ ids[i : i + len(sizes)].view(U64)) & (sizes > 0))
+                if len(pick):
+                    ends = np.cumsum(sizes)
+                    blobs = [tokens[ends[k] - sizes[k] : ends[k]].tobytes() for k in pick]
+                    yield pa.record_batch([pa.array(_clusters(sizes, tokens)[pick].view(np.int64)), pa.array(key[pick].view(np.int64)), pa.array(ids[i + pick]), pa.array(blobs, pa.binary())], ["c", "s", "doc_id", "grams"])
 
     return run
 
@@ -355,71 +401,147 @@ def overlaps(home: list[np.ndarray], other: list[np.ndarray]) -> Iterator[tuple[
         yield k, answer
 
 
-def verified(ids: list, grams: list[bytes], own: list[bool], t: float, forest: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """The qualifying pairs at one home cluster in pieces, as ids a < b and their similarity.
+Pairs = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def _products(x: np.ndarray, y: np.ndarray, j: np.ndarray, piece: int) -> Iterator[Pairs]:
+    """Every id of x with every id of y, in pieces, as a < b with y's similarity; an id doesn't pair with itself."""
+    for b in range(0, len(y), piece):
+        part, jac = y[b : b + piece], j[b : b + piece]
+        step = max(1, piece // len(part))
+        for a in range(0, len(x), step):
+            left = np.repeat(x[a : a + step], len(part))
+            right, value = np.tile(part, len(left) // len(part)), np.tile(jac, len(left) // len(part))
+            apart = left != right
+            yield np.minimum(left, right)[apart], np.maximum(left, right)[apart], value[apart]
+
+
+class Home:
+    """A block of a home cluster: its own sets, and the qualifying pairs of them and of those that pass by.
 
     ``forest`` returns a spanning forest of those pairs instead of all.
     """
-    members: dict[bytes, list] = {}
-    home: dict[bytes, bool] = {}
-    for doc, g, here in zip(ids, grams, own, strict=True):
-        members.setdefault(g, []).append(doc)
-        home[g] = home.get(g, False) or bool(here)
-    keys = sorted(members, key=lambda k: (not home[k], k))
-    docs = [np.unique(np.array(members[k], np.int64)) for k in keys]
-    sets = [np.frombuffer(k, U64) for k in keys]
-    size, copies = np.array([len(s) for s in sets]), np.array([len(d) for d in docs])
-    flat, at = np.concatenate(docs), np.cumsum(copies) - copies
-    homes = sum(home[k] for k in keys)
-    label = np.arange(len(keys))
-    for d in docs[:homes]:
-        if forest:
-            yield np.repeat(d[:1], len(d) - 1), d[1:], np.ones(len(d) - 1)
-            continue
-        step = max(1, PIECE // len(d))
-        for k in range(0, len(d) - 1, step):
-            x, y = np.meshgrid(np.arange(k, min(k + step, len(d))), np.arange(len(d)), indexing="ij")
-            keep = x < y
-            yield d[x[keep]], d[y[keep]], np.ones(int(keep.sum()))
-    if len(sets) < 2:
-        return
-    for k, common in overlaps(sets[:homes], sets) if homes else ():
-        jac = common / (size[k] + size - common)
-        jac[: k + 1] = 0
-        hit = np.flatnonzero(jac >= t - 1e-12)
-        if forest:
-            hit = hit[label[hit] != label[k]]
-            hit = hit[np.unique(label[hit], return_index=True)[1]]
-            label[np.isin(label, label[hit])] = label[k]
-            x, y, j = np.full(len(hit), docs[k][0]), flat[at[hit]], jac[hit]
-        else:
-            n = copies[hit]
-            y = flat[np.repeat(at[hit] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-            x, y, j = np.repeat(docs[k], len(y)), np.tile(y, len(docs[k])), np.tile(np.repeat(jac[hit], n), len(docs[k]))
-        apart = x != y
-        yield np.minimum(x, y)[apart], np.maximum(x, y)[apart], j[apart]
-
-
-def _verify(t: float, forest: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, grams, own = [], [], []
+
+    def __init__(self, sets: list[bytes], docs: list[np.ndarray], t: float, forest: bool, piece: int):
+        order = sorted(range(len(sets)), key=sets.__getitem__)
+        self.sets, self.docs = [np.frombuffer(sets[k], U64) for k in order], [docs[k] for k in order]
+        self.t, self.forest, self.piece = t, forest, piece
+        self.label = np.arange(len(order))
+        self.alone = True
+
+    def meet(self, sets: list[bytes], docs: list[np.ndarray]) -> Iterator[Pairs]:
+        """The pairs with these sets, and, the first time, those within the block."""
+        other, ids = [np.frombuffer(x, U64) for x in sets], list(docs)
+        own = len(self.sets) if self.alone else 0
+        self.alone = False
+        if own:
+            other, ids = self.sets + other, self.docs + ids
+        if not other or (own == 1 and len(other) == 1):
+            return
+        size, copies = np.array([len(x) for x in other]), np.array([len(d) for d in ids])
+        flat, at = np.concatenate(ids), np.cumsum(copies) - copies
+        m = len(self.sets)
+        label = np.r_[self.label, m + np.arange(len(other) - own)]  # of the block's sets and those passing by
+        place = np.r_[np.arange(own), np.arange(m, m + len(other) - own)]
+        for k, common in overlaps(self.sets, other):
+            jac = common / (len(self.sets[k]) + size - common)
+            if own:
+                jac[: k + 1] = 0
+            hit = np.flatnonzero(jac >= self.t - 1e-12)
+            if self.forest:
+                hit = hit[label[place[hit]] != label[k]]
+                hit = hit[np.unique(label[place[hit]], return_index=True)[1]]
+                label[np.isin(label, label[place[hit]])] = label[k]
+            if len(hit):
+                n = copies[hit]
+                y = flat[np.repeat(at[hit] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+                yield from _products(self.docs[k], y, np.repeat(jac[hit], n), self.piece)
+        self.label = label[:m]
+
+
+def _verify(t: float, forest: bool, sizes: Sizes):
+    """Pairs from sets sorted by home and block, a block's own sets first."""
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[Pairs]:
+        key = home = last = None
+        sets: list[bytes] = []
+        docs: list[np.ndarray] = []
+        waiting, filling = 0, True
+
+        def settle():
+            nonlocal home, sets, docs, waiting
+            if filling:
+                home = Home(sets, docs, t, forest, sizes.pairs)
+                sets, docs = [], []
+            yield from home.meet(sets, docs)
+            sets, docs, waiting = [], [], 0
+
         for batch in batches:
-            for column, held in (("doc_id", ids), ("grams", grams), ("own", own)):
-                held += batch.column(column).to_pylist()
+            ids = batch.column("ids")
+            flat, at = ids.flatten().to_numpy(), np.r_[0, np.cumsum(pc.list_value_length(ids).to_numpy())]
+            grams = batch.column("grams")
+            for k, (h, i, own, s) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("home", "i", "own", "s")), strict=True)):
+                if last == (h, i, own, s):  # of a repeated row
+                    continue
+                last = h, i, own, s
+                if key != (h, i):
+                    if key is not None:
+                        yield from settle()
+                    key, filling = (h, i), True
+                if filling and not own:
+                    home, filling = Home(sets, docs, t, forest, sizes.pairs), False
+                    sets, docs, waiting = [], [], 0
+                sets.append(grams[k].as_py())
+                docs.append(flat[at[k] : at[k + 1]].copy())
+                waiting += len(sets[-1])
+                if not filling and waiting > sizes.passing:
+                    yield from settle()
+        if key is not None:
+            yield from settle()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = [], 0
-        for piece in verified(ids, grams, own, t, forest):
+        for piece in pieces(batches):
             held.append(piece)
             rows += len(piece[0])
-            if rows > PIECE:
-                yield pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], ["doc_a", "doc_b", "jaccard"])
+            if rows > sizes.pairs:
+                yield _pairs(held)
                 held, rows = [], 0
         if rows:
-            yield pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], ["doc_a", "doc_b", "jaccard"])
+            yield _pairs(held)
 
     return run
 
 
-def ngram_jaccard_join(docs: DataFrame, n: int = 3, threshold: float = 0.6, forest: bool = False) -> DataFrame:
+def _pairs(held: list[Pairs]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], ["doc_a", "doc_b", "jaccard"])
+
+
+def _copies(size: int, piece: int):
+    """The pairs of ids of equal sets: each of ``size`` ids from ``first`` on with all after it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held, rows = [], 0
+            for ids, first in zip(batch.column("ids"), batch.column("first").to_pylist(), strict=True):
+                d = np.sort(ids.values.to_numpy())
+                stop = min(first + size, len(d))
+                step = max(1, piece // len(d))
+                for k in range(first, stop, step):
+                    x, y = np.meshgrid(np.arange(k, min(k + step, stop)), np.arange(k + 1, len(d)), indexing="ij")
+                    keep = x < y
+                    held.append((d[x[keep]], d[y[keep]], np.ones(int(keep.sum()))))
+                    rows += len(held[-1][0])
+                    if rows > piece:
+                        yield _pairs(held)
+                        held, rows = [], 0
+            if rows:
+                yield _pairs(held)
+
+    return run
+
+
+def ngram_jaccard_join(docs: DataFrame, n: int = 3, threshold: float = 0.6, forest: bool = False, cut: Sizes = Sizes()) -> DataFrame:
     """All pairs (doc_a < doc_b, jaccard) at or over the threshold.
 
     With ``forest``, only enough of the pairs to connect each group of
@@ -429,14 +551,15 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 3, threshold: float = 0.6, fore
         raise ValueError("threshold must be in (0, 1] and n at least 1")
     spark: SparkSession = docs.sparkSession
     prepare(spark)
-    parts = shuffle_partitions(spark)
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
+    least = shuffle_partitions(spark)
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
     texts = base.select("text")
 
-    heavy = spark.sparkContext.broadcast(frequent_grams(texts, n))
+    heavy, postings = frequent_grams(texts, n, threshold)
+    heavy = spark.sparkContext.broadcast(heavy)
+    parts = max(least, -(-postings * _POSTING.itemsize // cut.part))
     pairs = (
         texts.mapInArrow(_postings(n, threshold, parts, heavy), "part int, blob binary")
-        .where("length(blob) > 0")
         .repartitionById(parts, F.col("part"))
         .mapInArrow(_candidates(threshold), "a long, b long, shared long, need long")
         .groupBy("a", "b")
@@ -445,22 +568,43 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 3, threshold: float = 0.6, fore
         .select("a", "b")
         .checkpoint()
     )
-    counts = texts.mapInArrow(_keys(n), "c long").groupBy("c").count().checkpoint()
+    members = base.mapInArrow(_members(n), "c long, s long, size long, doc_id long").checkpoint()
+    # a forest needs one id of equal sets, and is spared the list of all of them
+    ids = F.array(F.min("doc_id")) if forest else F.collect_set("doc_id")
+    sets = members.groupBy("c", "s").agg(F.min("size").alias("size"), F.min("doc_id").alias("least"), ids.alias("ids")).checkpoint()
+    if forest:
+        equal = members.join(sets.select("c", "s", "least"), ["c", "s"]).where("doc_id > least").select(F.col("least").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard")).distinct()
+    else:
+        several = sets.where("size(ids) > 1").select("ids")
+        many = several.where(F.size("ids") > cut.copies).select("ids", F.explode(F.sequence(F.lit(0), F.size("ids") - 1, F.lit(cut.copies))).alias("first")).repartition("first", "ids")
+        equal = several.where(F.size("ids") <= cut.copies).select("ids", F.lit(0).alias("first")).unionAll(many).mapInArrow(_copies(cut.copies, cut.pairs), "doc_a long, doc_b long, jaccard double")
+
+    clusters = sets.groupBy("c").agg(F.count("*").alias("k"), F.sum("size").alias("size"))
     sized = (
-        pairs.join(counts.select(F.col("c").alias("a"), F.col("count").alias("na")), "a")
-        .join(counts.select(F.col("c").alias("b"), F.col("count").alias("nb")), "b")
+        pairs.join(clusters.select(F.col("c").alias("a"), F.col("size").alias("na")), "a")
+        .join(clusters.select(F.col("c").alias("b"), F.col("size").alias("nb")), "b")
         .select(F.when(F.expr("na >= nb"), F.struct("a", "b")).otherwise(F.struct(F.col("b").alias("a"), F.col("a").alias("b"))).alias("p"))
         .select(F.col("p.a").alias("home"), F.col("p.b").alias("c"))
     )
-    several = counts.where("count > 1").select(F.col("c").alias("home"))
-    homes = several.union(sized.select("home")).distinct()
-    goes = sized.union(homes.select("home", F.col("home").alias("c"))).checkpoint()
-
-    wanted = spark.sparkContext.broadcast(kernel.bloom(goes.select("c").distinct().limit(kernel.BLOOM_KEYS + 1)))
-    sets = base.mapInArrow(_sets(n, wanted), "c long, doc_id long, grams binary")
-    return (
-        sets.join(goes, "c")
-        .select("home", (F.col("home") == F.col("c")).alias("own"), "doc_id", "grams")
-        .groupBy("home")
-        .applyInArrow(_verify(threshold, forest), "doc_a long, doc_b long, jaccard double")
-    )
+    homes = clusters.where("k > 1").select(F.col("c").alias("home")).union(sized.select("home")).distinct()
+    blocks = homes.join(clusters.select(F.col("c").alias("home"), F.ceil(F.col("size") * 8 / cut.home).cast("int").alias("blocks")), "home")
+    goes = sized.unionAll(homes.select("home", F.col("home").alias("c"))).join(blocks, "home")
+    # a set goes to all blocks of another cluster's home; of its own cluster's, to its own block and those before it
+    block = F.pmod("s", "blocks").cast("int")
+    shipped = (
+        goes.join(sets, "c").withColumn("own", F.col("home") == F.col("c"))
+        .withColumn("i", F.explode(F.sequence(F.lit(0), F.when(F.col("own"), block).otherwise(F.col("blocks") - 1))))
+        .select("c", "s", "least", "size", "ids", "home", "i", (F.col("own") & (F.col("i") == block)).alias("own"))
+        .checkpoint()
+    )
+    wanted = spark.sparkContext.broadcast(kernel.bloom(shipped.select(F.col("s").bitwiseXOR(F.col("least")).alias("k")).distinct().checkpoint()))
+    total = shipped.agg(F.sum("size")).first()[0] or 0
+    found = (
+        base.mapInArrow(_sets(n, wanted), "c long, s long, doc_id long, grams binary")
+        .join(shipped.withColumnRenamed("least", "doc_id"), ["c", "s", "doc_id"])
+        .repartition(max(least, -(-total * 8 // cut.part)), "home", "i")
+        .sortWithinPartitions("home", "i", F.desc("own"), "s")
+        .select("home", "i", "own", "s", "ids", "grams")
+        .mapInArrow(_verify(threshold, forest, cut), "doc_a long, doc_b long, jaccard double")
+    )
+    return found.unionAll(equal)

@@ -18,8 +18,14 @@ from .token_counts import token_counts
 from .toxicity import toxicity
 from .warc import audit, faulty
 
-_WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
-_GAP = r"[^0-9A-Za-z\x{80}-\x{10FFFF}]*"
+_WORD = r"[\p{L}\p{N}\p{M}]+"
+_GAP = r"[^\p{L}\p{N}\p{M}]*"
+
+
+def _words(text: str) -> str:
+    """The words of a text in normal form. DuckDB has no NFKC, so compatibility characters are only tested against brute force."""
+    joined = rf"nfc_normalize(regexp_replace({text}, '[\x{{AD}}\x{{200B}}-\x{{200D}}\x{{2060}}\x{{FEFF}}]', '', 'g'))"
+    return rf"regexp_extract_all(regexp_replace(lower({joined}), '([\p{{Han}}\p{{Hiragana}}\p{{Katakana}}])', ' \1 ', 'g'), '{_WORD}')"
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,7 +39,7 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _OP2 = rf"""
-WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '{_WORD}') AS ws FROM documents),
+WITH w AS (SELECT doc_id, {_words('text')} AS ws FROM documents),
 g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) = 1 THEN ws
         ELSE list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) END) AS gram FROM w),
 s AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
@@ -119,11 +125,11 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _OP8 = rf"""
-WITH b AS (SELECT DISTINCT regexp_extract_all(lower(text), '{_WORD}') AS ws FROM benchmark WHERE text IS NOT NULL),
+WITH b AS (SELECT DISTINCT {_words('text')} AS ws FROM benchmark WHERE text IS NOT NULL),
 g AS (SELECT DISTINCT unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 8 THEN [array_to_string(ws, ' ')]
         ELSE list_transform(range(1, len(ws) - 6), lambda i: array_to_string(ws[i:i + 7], ' ')) END) AS gram FROM b),
 k AS (SELECT gram, len(string_split(gram, ' ')) AS size FROM g),
-d AS (SELECT row_number() OVER () AS r, doc_id, text, regexp_extract_all(lower(text), '{_WORD}') AS ws FROM documents),
+d AS (SELECT row_number() OVER () AS r, doc_id, text, {_words('text')} AS ws FROM documents),
 z AS (SELECT DISTINCT size FROM k),
 w AS (SELECT r, size, unnest(range(1, len(ws) - size + 2)) AS i, ws FROM d, z),
 h AS (SELECT w.r, w.i, w.size FROM w JOIN k ON k.gram = array_to_string(w.ws[w.i:w.i + w.size - 1], ' ') AND k.size = w.size),

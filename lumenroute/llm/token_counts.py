@@ -154,6 +154,6 @@ def token_counts(docs: DataFrame, path: str = RANKS, pattern: str = PATTERN, lon
         if failed.isEmpty():
             return result
         maybe = kernel.may_be_in(failed, F.col("key"))  # so that only texts that failed are shuffled
-        left = (long if maybe is None else long.where(maybe)).join(failed, "key", "left_semi")
+        left = long.where(maybe).join(failed, "key", "left_semi")
         overlap *= 8
         size = max(size, overlap)

@@ -24,7 +24,7 @@ def odd(spark):
         (10, text(10, 40_000), "de", "c", 1), (11, "x" * 120_000, "de", "c", 1), (12, "éß漢字 İK \U0001f600 " * 4, None, "c", 1),
     ]
     base = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    for name in ("keep", "ids", "shard", "p_toxic", "a", "b", "c", "home", "id", "file", "node", "hash", "_dropped", "count"):
+    for name in ("keep", "ids", "shard", "p_toxic", "a", "b", "c", "home", "id", "file", "node", "hash", "_dropped", "count", "_hits", "_row", "hits", "row", "p", "q", "size", "decoded", "i", "own", "s", "least", "n_ids", "exact", "place"):
         base = base.withColumn(name, F.lit("clash"))
     return base
 
@@ -124,6 +124,8 @@ def test_decontamination(odd, bench):
     assert len(got) == odd.select("doc_id").distinct().count()
     assert got[4].text is None and got[4].action == "keep" and got[5].text == "" and got[3].hits > 0
     assert decontamination.decontaminate(odd, bench).columns == odd.columns
+    same = [sorted(map(str, decontamination.decontaminate(odd, bench, broadcast_grams=bound).collect())) for bound in (1000, 0)]
+    assert same[0] == same[1] and "clash" in same[0][0]
     assert decontamination.contamination(odd, bench.limit(0)).where("action <> 'keep'").count() == 0
     assert decontamination.contamination(odd.limit(0), bench).count() == 0
     joined = decontamination.contamination(odd, bench, broadcast_grams=0)  # beyond the broadcast bound

@@ -3,6 +3,7 @@
 import inspect
 import math
 import random
+import unicodedata
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -18,9 +19,17 @@ SF2 = "/root/testdata/sf0.01"
 
 
 def words(t):
-    import re
-
-    return re.findall("[0-9A-Za-z\u0080-\U0010ffff]+", (t or "").lower())
+    """Words of the normal form, character by character in plain Python."""
+    out, word = [], ""
+    for c in unicodedata.normalize("NFKC", "".join(c for c in t or "" if c not in "\xad\u200b\u200c\u200d\u2060\ufeff")).lower():
+        alone = any(unicodedata.name(c, "").startswith(s) for s in ("CJK UNIFIED IDEOGRAPH", "HIRAGANA LETTER", "KATAKANA LETTER"))
+        if alone or unicodedata.category(c)[0] not in "LNM":
+            out, word = out + [word], ""
+        if alone:
+            out.append(c)
+        elif unicodedata.category(c)[0] in "LNM":
+            word += c
+    return [w for w in [*out, word] if w]
 
 
 @pytest.fixture(scope="module")
@@ -33,8 +42,8 @@ def docs(spark):
 
 def test_words_and_ngrams_agree_with_plain_python():
     rng = random.Random(5)
-    texts = ["".join(rng.choice("ab é漢 .\n-X9") for _ in range(rng.randrange(60))) for _ in range(400)] + ["", None, "end"]
-    raw, at = kernel.utf8(pa.array([None if t is None else t.lower() for t in texts]))
+    texts = ["".join(rng.choice("ab é漢 .\n-X9ÉÑ×’\u00a0Ｑｖ\u0301\u00ad½ßカ") for _ in range(rng.randrange(60))) for _ in range(400)] + ["", None, "end"]
+    raw, at = kernel.utf8(kernel.normalised(pa.array(texts)))
     seen = {}
     for i, j, w in kernel.words(raw, at):
         for k in range(i, j):
@@ -55,12 +64,16 @@ def test_words_and_ngrams_agree_with_plain_python():
     assert len(set(seen.values())) == len(seen)
 
 
-def test_bloom_filter_holds_its_keys(spark):
+def test_bloom_filter_holds_its_keys(spark, monkeypatch):
     ids = spark.range(1000).select((F.col("id") * 7919).alias("id"))
-    packed = kernel.bloom(ids)
     keys = (np.arange(1000) * 7919).view(np.uint64)
-    assert kernel.in_bloom(packed, keys).all()
-    assert kernel.in_bloom(packed, keys + np.uint64(1)).mean() < 0.1
+    packed = kernel.bloom(ids)
+    assert packed.may_hold(keys).all() and packed.may_hold(keys + np.uint64(1)).mean() < 0.1
+    assert kernel.bloom(ids, most_bits=128).may_hold(keys).all()  # too small a filter lets more pass, and loses nothing
+    monkeypatch.setattr(kernel, "BLOOM_PART", 1 << 10)
+    cut = kernel.bloom(ids)
+    assert len(cut.parts) == 16 and cut.may_hold(keys).all() and cut.may_hold(keys + np.uint64(1)).mean() < 0.1
+    assert not kernel.bloom(ids.limit(0)).may_hold(keys).any()
 
 
 # 1
@@ -175,6 +188,42 @@ def test_join_is_exact(spark, n, t):
     assert got == pytest.approx(brute_pairs(rows, n, t))
 
 
+@pytest.mark.parametrize("forest", [False, True])
+def test_join_in_small_blocks_and_pieces_is_the_same(spark, forest):
+    rows = varied(7) + [(1000 + k, varied(7)[0][1]) for k in range(30)]
+    df = spark.createDataFrame(rows + rows[:40], "doc_id long, text string")
+    small = ngram_join.Sizes(part=5000, home=600, passing=900, pairs=7, copies=8)
+    got = [(r.doc_a, r.doc_b, r.jaccard) for r in ngram_join.ngram_jaccard_join(df, 2, 0.5, forest, small).collect()]
+    want = brute_pairs(rows, 2, 0.5)
+    if not forest:
+        assert len(got) == len(want) and {g[:2]: g[2] for g in got} == pytest.approx(want)
+        return
+    assert all(want[a, b] == pytest.approx(j) for a, b, j in got)
+    group = {d: d for d, _ in rows}
+
+    def root(x):
+        while group[x] != x:
+            x = group[x]
+        return x
+
+    for a, b, _ in got:
+        group[root(a)] = root(b)
+    assert all(root(a) == root(b) for a, b in want)
+
+
+def test_thousands_of_equal_documents_stay_in_bounds(spark):
+    """100,000 equal documents: one set is shuffled, and the forest has one pair less than there are documents."""
+    df = spark.range(100_000).select(F.col("id").alias("doc_id"), F.lit(" ".join(f"w{k}" for k in range(300))).alias("text"))
+    assert ngram_join.ngram_jaccard_join(df, forest=True).agg(F.count("*"), F.min("doc_a"), F.max("doc_a"), F.countDistinct("doc_b")).first() == (99_999, 0, 0, 99_999)
+
+
+def test_normal_forms_pair(spark):
+    plain = "the quick brown fox’s tail—was caught by élan in café №9 and 漢字 テスト"
+    other = unicodedata.normalize("NFD", plain.upper().replace(" ", "\u00a0").replace("’", "'").replace("fox", "f\u00adox".upper()).replace("№", "No")).replace("TAIL", "ＴＡＩＬ")
+    df = spark.createDataFrame([(1, plain), (2, other)], "doc_id long, text string")
+    assert [tuple(r) for r in ngram_join.ngram_jaccard_join(df).collect()] == [(1, 2, 1.0)]
+
+
 def test_long_lists_are_cut_into_blocks(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK", 4)
     rows = np.zeros(60, ngram_join._POSTING)
@@ -409,6 +458,18 @@ def test_spans_against_brute_force(spark):
             assert got[k].text == t
 
 
+def test_normal_forms_are_hit_and_cut(spark):
+    item = "one two three don't four café five six seven eight ½ nine"
+    said = unicodedata.normalize("NFD", "ONE\u00a0two—three “don’t” ｆｏｕｒ café five\u00ad six seven eight ½ nine")
+    filler = " ".join(f"x{k}" for k in range(40))
+    docs = [(1, f"{filler} {said} end"), (2, said), (3, f"{filler} 一二三四五六七八九十 end"), (4, filler)]
+    bench = [(item,), ("零 一二三 四五六 七八九",)]
+    for bound in (1000, 0):
+        got = {r.doc_id: r for r in decontamination.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "text string"), broadcast_grams=bound).collect()}
+        assert [got[k].action for k in (1, 2, 3, 4)] == ["cut", "drop", "cut", "keep"]
+        assert got[1].text == f"{filler} end" and got[3].text == f"{filler} 十 end"
+
+
 # 9
 
 

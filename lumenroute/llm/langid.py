@@ -1,26 +1,30 @@
 """Language identification by interpolated Kneser-Ney character language models.
 
 One model for each language of the labelled documents, of order 5, over the
-characters of lower-case words with a mark before and after each. n-grams are
+characters of words in normal form (see ``kernel.normalised``) with a mark before and after each. n-grams are
 counted over all documents that have a language. A lower order counts in how
 many contexts an n-gram continues another one; n-grams at a word's start,
-which nothing precedes, keep their raw counts there. Probabilities of all
-languages lie in sorted arrays of n-gram hashes, with the interpolated value
-worked out for every language, so one search serves all.
+which nothing precedes, keep their raw counts there. Each order's discount is
+estimated from its numbers of n-grams that occur once and twice. The
+probabilities of a language, interpolated, lie in sorted arrays of the hashes of
+its own n-grams, so a language costs memory for its n-grams only; each is built
+in a task of its own.
 
 A text's language is the one with the lowest cross-entropy a character (nats).
 It is rejected, as ``und``, where that entropy exceeds what is usual for the
-language: mean + ``slack`` + ``z`` standard errors for the text's length, with
-mean and deviation taken over all characters of the language in the corpus.
+language: mean + ``slack`` + ``z`` standard errors for the text's length. Mean
+and deviation are those of the characters of held-out documents, a
+``held_out`` share by a hash of the text, under a model of the others; the
+model that scores is of all. A language without documents on both sides is
+calibrated on all it has.
 
-Each distinct word of a batch is scored once. The models hold every n-gram of
-the corpus, so the task that builds them and the arrays that are broadcast
-grow with the number of distinct n-grams. Only a caller who passes
-``most_grams`` has n-grams of the lowest counts cut off beyond it, the same
-count in all languages; mean and deviation are over all characters even then.
+A worker keeps a table of the distinct words it has met with their scores; it
+is emptied beyond ``TABLE_WORDS``, which costs time but changes no result. The models hold every n-gram of
+the corpus, so the tasks that build them and what is broadcast
+grow with the number of distinct n-grams.
 
 Edge cases: null and empty texts, and texts without a word, are ``und`` with a
-null entropy. Rows without a language don't train; with no language at all
+null entropy; very long texts are scored whole. Rows without a language don't train; with no language at all
 every row is ``und``. Of equal entropies the language first in the alphabet
 wins, with a margin of 0; with one language the margin is null. Repeated rows
 count as often as they occur and are scored alike. Other columns are ignored,
@@ -34,16 +38,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel
 from .cluster import prepare
 from .kernel import U64, mix
+from .linear import share
 
 ORDER = 5
-DISCOUNT = 0.75
+#: words in a worker's table, about 12 bytes each and 4 for each language
+TABLE_WORDS = 1_000_000
 _START, _STOP = 2, 3
 _B = U64(0xA24BAED4963EE407)
 _POWERS = [U64(pow(int(_B), k, 1 << 64)) for k in range(ORDER + 1)]
@@ -71,34 +76,34 @@ def _distinct(w: kernel.Words, salt: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+    """(lang, gram, n, n_late) from (lang, late, text): occurrences in all documents and in held-out ones."""
+    held: dict[tuple[str, bool], list[tuple[np.ndarray, np.ndarray]]] = {}
     waiting = 0
 
     def merge(parts):
         rows = np.concatenate([r for r, _ in parts])
-        keys = rows.view([("", rows.dtype)] * ORDER).ravel()
         acc = sum(rows[:, k].astype(U64) * _POWERS[k] for k in range(ORDER))
         _, first, code = np.unique(mix(acc), return_index=True, return_inverse=True)
-        return keys[first].view(rows.dtype).reshape(-1, ORDER), np.bincount(code, np.concatenate([c for _, c in parts]))
+        return rows[first], np.bincount(code, np.concatenate([c for _, c in parts]))
 
     def flush():
-        for lang, parts in held.items():
+        for (lang, late), parts in held.items():
             rows, count = merge(parts)
             blobs = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * ORDER), len(rows), [None, pa.py_buffer(np.ascontiguousarray(rows).tobytes())])
-            yield pa.record_batch([pa.array([lang] * len(rows), pa.string()), blobs.cast(pa.binary()), pa.array(count.astype(np.int64))], ["lang", "gram", "n"])
+            n = count.astype(np.int64)
+            yield pa.record_batch([pa.array([lang] * len(rows), pa.string()), blobs.cast(pa.binary()), pa.array(n), pa.array(n * late)], ["lang", "gram", "n", "n_late"])
 
     for batch in kernel.split_rows(batches, "text"):
-        raw, at = kernel.utf8(pc.utf8_lower(batch.column("text")))
-        langs = batch.column("lang").to_pylist()
-        for lang in sorted(set(langs)):
-            mine = pc.filter(pc.utf8_lower(batch.column("text")), pa.array([x == lang for x in langs])) if len(set(langs)) > 1 else None
-            r, a = (raw, at) if mine is None else kernel.utf8(mine)
-            parts = held.setdefault(lang, [])
-            for i, j, w in kernel.words(r, a):
+        text = kernel.normalised(batch.column("text"))
+        kinds = list(zip(batch.column("lang").to_pylist(), batch.column("late").to_pylist(), strict=True))
+        for kind in sorted(set(kinds)):
+            raw, at = kernel.utf8(text.filter(pa.array([x == kind for x in kinds])))
+            parts = held.setdefault(kind, [])
+            for i, j, w in kernel.words(raw, at):
                 if not len(w.hash):
                     continue
                 first, _, count = _distinct(w, U64(0))
-                points, place = spelled(r[a[i] : a[j]], w.start[first], w.end[first])
+                points, place = spelled(raw[at[i] : at[j]], w.start[first], w.end[first])
                 rows = np.zeros((len(points), ORDER), np.uint32)
                 for k in range(ORDER):
                     have = np.flatnonzero(place >= k)
@@ -125,95 +130,67 @@ def _hash(rows: np.ndarray, k: int, drop: int = 0) -> np.ndarray:
     return mix(acc)
 
 
-class Models:
-    """Kneser-Ney models of all languages in sorted hash arrays."""
-
-    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]], z: float, slack: float, cut: dict[str, tuple[np.ndarray, np.ndarray]] | None = None):
-        self.langs = sorted(counts)
-        n = len(self.langs)
-        levels: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(ORDER + 1)]
-        for lang in self.langs:
-            rows, count = counts[lang]
-            length = (rows != 0).sum(1)
-            full = length == ORDER
-            level = rows[full], count[full]
-            levels[ORDER].append(level)
-            for k in range(ORDER - 1, 0, -1):
-                shorter = level[0].copy()
-                shorter[:, : ORDER - k] = 0
-                _, first, times = np.unique(_hash(shorter, k), return_index=True, return_counts=True)
-                raw = length == k
-                level = np.concatenate([shorter[first], rows[raw]]), np.concatenate([times.astype(np.float64), count[raw]])
-                levels[k].append(level)
-        alphabet = np.unique(np.concatenate([rows[:, -1] for rows, _ in levels[1]]))
-        self.unseen = np.log(1.0 / (len(alphabet) + 1))
-        self.keys, self.logp, self.contexts, self.back = [None], [None], [None], [None]
-        for k in range(1, ORDER + 1):
-            every = np.concatenate([r for r, _ in levels[k]])
-            keys, first = np.unique(_hash(every, k), return_index=True)
-            grams = every[first]
+class Model:
+    """The Kneser-Ney model of one language in sorted hash arrays."""
+
+    def __init__(self, rows: np.ndarray, count: np.ndarray, unseen: float):
+        self.unseen = unseen
+        length = (rows != 0).sum(1)
+        full = length == ORDER
+        level = rows[full], count[full]
+        levels = [level]
+        for k in range(ORDER - 1, 0, -1):
+            shorter = level[0].copy()
+            shorter[:, : ORDER - k] = 0
+            _, first, times = np.unique(_hash(shorter, k), return_index=True, return_counts=True)
+            raw = length == k
+            level = np.concatenate([shorter[first], rows[raw]]), np.concatenate([times.astype(np.float64), count[raw]])
+            levels.append(level)
+        self.keys, self.logp, self.contexts, self.back, self.discount = [None], [None], [None], [None], [None]
+        for k, (grams, c) in enumerate(reversed(levels), 1):
+            key = _hash(grams, k)
+            order = np.argsort(key)
+            grams, c, key = grams[order], c[order], key[order]
             before = _hash(grams, k - 1, 1)
-            contexts = np.unique(before)
-            at = np.searchsorted(contexts, before)
+            contexts, at = np.unique(before, return_inverse=True)
             if k > 1:
                 lower = self.logp[k - 1][np.searchsorted(self.keys[k - 1], _hash(grams, k - 1))]
             else:
-                lower = np.full((len(grams), n), self.unseen)
-            logp, back = np.empty((len(grams), n), np.float32), np.zeros((len(contexts), n), np.float32)
-            for q, (rows, count) in enumerate(levels[k]):
-                c = np.zeros(len(keys))
-                c[np.searchsorted(keys, _hash(rows, k))] = count
-                total = np.bincount(at, c, len(contexts))
-                kinds = np.bincount(at, c > 0, len(contexts))
-                left = np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1e-300), 1.0)
-                own = np.maximum(c - DISCOUNT, 0) / np.maximum(total, 1e-300)[at]
-                logp[:, q] = np.log(own + left[at] * np.exp(lower[:, q]))
-                back[:, q] = np.log(left)
-            self.keys.append(keys)
-            self.logp.append(logp)
+                lower = np.full(len(grams), unseen)
+            once, twice = (c == 1).sum(), (c == 2).sum()
+            discount = once / (once + 2 * twice) if once and twice else 0.75
+            total = np.bincount(at, c, len(contexts))
+            left = discount * np.bincount(at, minlength=len(contexts)) / total
+            self.keys.append(key)
+            self.logp.append(np.log((c - discount) / total[at] + left[at] * np.exp(lower)).astype(np.float32))
             self.contexts.append(contexts)
-            self.back.append(back)
-        self.mean, self.deviation = np.zeros(n), np.zeros(n)
-        for q, lang in enumerate(self.langs):
-            rows, count = counts[lang]
-            length, s = (rows != 0).sum(1), np.zeros(len(rows))
-            for k in range(1, ORDER + 1):
-                mine = length == k
-                s[mine] = -self.logp[k][np.searchsorted(self.keys[k], _hash(rows[mine], k)), q]
-            if cut and lang in cut:
-                lost, times = cut[lang]
-                last = self.score(lost.ravel(), np.tile(np.arange(ORDER), len(lost)))[ORDER - 1 :: ORDER, q]
-                s, count = np.r_[s, -last], np.r_[count, times]
-            self.mean[q] = (s * count).sum() / count.sum()
-            self.deviation[q] = np.sqrt(max((s * s * count).sum() / count.sum() - self.mean[q] ** 2, 0.0))
-        self.z, self.slack = z, slack
+            self.back.append(np.log(left).astype(np.float32))
+            self.discount.append(float(discount))
 
     def score(self, points: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """Log-probabilities, by language, of every character after its context; 0 for the marks before words."""
+        """The log-probability of every character after its context; 0 for the marks before words."""
         m = len(points)
         acc = [np.zeros(m, U64)]
         for k in range(ORDER):
             shifted = np.zeros(m, U64)
             shifted[k:] = points[: max(m - k, 0)]
             acc.append(acc[-1] + shifted * _POWERS[k])
-        out = np.full((m, len(self.langs)), self.unseen, np.float32)
+        out = np.full(m, self.unseen, np.float32)
         out[place == 0] = 0
         level = np.zeros(m, np.int64)
         todo = np.flatnonzero(place > 0)
         top = np.minimum(place + 1, ORDER)
         for k in range(ORDER, 0, -1):
-            if not len(todo):
-                break
             ask = todo[top[todo] >= k]
+            if not len(ask) or not len(self.keys[k]):
+                continue
             key = mix(acc[k][ask])
             at = np.searchsorted(self.keys[k], key)
             at[at == len(self.keys[k])] = 0
-            hit = self.keys[k][at] == key if len(self.keys[k]) else np.zeros(len(ask), bool)
+            hit = self.keys[k][at] == key
             out[ask[hit]] = self.logp[k][at[hit]]
             level[ask[hit]] = k
-            done = np.zeros(m, bool)
-            done[ask[hit]] = True
-            todo = todo[~done[todo]]
+            todo = todo[level[todo] == 0]
         for k in range(1, ORDER + 1):
             ask = np.flatnonzero((place > 0) & (level < k) & (top >= k))
             if not len(ask) or not len(self.contexts[k]):
@@ -225,22 +202,73 @@ class Models:
             out[ask[hit]] += self.back[k][at[hit]]
         return out
 
-    def identify(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def usual(self, rows: np.ndarray, count: np.ndarray) -> tuple[float, float]:
+        """Mean and deviation of the entropy of characters that end these n-grams."""
+        points, place = rows.ravel(), np.tile(np.arange(ORDER), len(rows))
+        length = np.repeat((rows != 0).sum(1), ORDER)
+        s = -self.score(points, np.maximum(place - (ORDER - length), 0))[ORDER - 1 :: ORDER].astype(np.float64)
+        mean = (s * count).sum() / count.sum()
+        return mean, np.sqrt(max((s * s * count).sum() / count.sum() - mean**2, 0.0))
+
+
+def fitted(rows: np.ndarray, n: np.ndarray, late: np.ndarray, unseen: float) -> Model:
+    """The model of a language with its calibration, from its n-grams and their counts in all and in held-out documents."""
+    model = Model(rows, n, unseen)
+    early = n > late
+    if early.any() and late.any():
+        model.mean, model.deviation = Model(rows[early], (n - late)[early], unseen).usual(rows[late > 0], late[late > 0])
+    else:
+        model.mean, model.deviation = model.usual(rows, n)
+    return model
+
+
+class Models:
+    """The models of all languages, and a table of the words they have scored."""
+
+    def __init__(self, models: dict[str, Model], z: float, slack: float):
+        self.langs = sorted(models)
+        self.models = [models[x] for x in self.langs]
+        self.z, self.slack = z, slack
+        self.mean, self.deviation = (np.array([getattr(m, x) for m in self.models]) for x in ("mean", "deviation"))
+        self._empty()
+
+    def _empty(self) -> None:
+        self.word, self.chars, self.scores = np.zeros(0, U64), np.zeros(0, np.int32), np.zeros((0, len(self.langs)), np.float32)
+
+    def score(self, points: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """``Model.score`` by language."""
+        return np.stack([m.score(points, place) for m in self.models], 1)
+
+    def _learn(self, hashes: np.ndarray, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+        """Score the words that aren't in the table."""
+        points, place = spelled(raw, start, end)
+        heads = np.flatnonzero(place == 0)
+        word = np.concatenate([self.word, hashes])
+        order = np.argsort(word, kind="stable")
+        self.word = word[order]
+        self.chars = np.concatenate([self.chars, (np.diff(np.r_[heads, len(points)]) - 1).astype(np.int32)])[order]
+        self.scores = np.concatenate([self.scores, np.add.reduceat(self.score(points, place), heads, axis=0)])[order]
+
+    def identify(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """For each text: the number of its characters and their log-probability by language."""
-        raw, at = kernel.utf8(pc.utf8_lower(column))
+        raw, at = kernel.utf8(kernel.normalised(column))
         length, total = np.zeros(len(column), np.int64), np.zeros((len(column), len(self.langs)))
         pending: list = []
         size = 0
 
         def work():
             hashes = np.concatenate([w.hash for _, _, w, _ in pending])
-            _, first, code = np.unique(hashes, return_index=True, return_inverse=True)
-            starts = np.concatenate([w.start + base for _, _, w, base in pending])[first]
-            ends = np.concatenate([w.end + base for _, _, w, base in pending])[first]
-            points, place = spelled(raw, starts, ends)
-            heads = np.flatnonzero(place == 0)
-            by_word = np.add.reduceat(self.score(points, place), heads, axis=0)
-            chars = np.diff(np.r_[heads, len(points)]) - 1
+            distinct, first, code = np.unique(hashes, return_index=True, return_inverse=True)
+            if len(self.word) > TABLE_WORDS:
+                self._empty()
+            known = np.minimum(np.searchsorted(self.word, distinct), max(len(self.word) - 1, 0))
+            new = np.flatnonzero(self.word[known] != distinct) if len(self.word) else np.arange(len(distinct))
+            if len(new):
+                starts = np.concatenate([w.start + base for _, _, w, base in pending])[first[new]]
+                ends = np.concatenate([w.end + base for _, _, w, base in pending])[first[new]]
+                self._learn(distinct[new], raw, starts, ends)
+            row = np.searchsorted(self.word, distinct)
+            by_word, chars = self.scores[row], self.chars[row]
             seen = 0
             for i, j, w, _ in pending:
                 mine = code[seen : seen + len(w.hash)]
@@ -262,36 +290,32 @@ class Models:
             work()
         return length, total
 
+    def __getstate__(self):
+        return self.langs, self.models, self.z, self.slack, self.mean, self.deviation
+
+    def __setstate__(self, state):
+        self.langs, self.models, self.z, self.slack, self.mean, self.deviation = state
+        self._empty()
+
 
-def train(docs: DataFrame, z: float = 8.0, slack: float = 0.5, most_grams: int | None = None) -> Models | None:
-    """Count over all rows of (lang, text) and build the models, in one task; None without any language."""
+def train(docs: DataFrame, z: float = 8.0, slack: float = 0.5, held_out: float = 0.1, salt: int = 1) -> Models | None:
+    """Count over all rows of (lang, text) and build the models, a task for each language; None without any language."""
     prepare(docs.sparkSession)
     base = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
-    grams = base.mapInArrow(_count, "lang string, gram binary, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).checkpoint()
-    kept = F.lit(True)
-    if most_grams is not None and grams.count() > most_grams:
-        spread = grams.groupBy("n").count().orderBy(F.desc("n")).toPandas()
-        fits = spread[spread["count"].cumsum() <= most_grams]
-        least = int(fits["n"].min()) if len(fits) else int(spread["n"].max()) + 1
-        kept = (F.col("n") >= least) | (F.length(F.regexp_replace(F.hex("gram"), "^(0{8})+", "")) < 8 * ORDER)
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        arrived = list(batches)
-        if not arrived:
-            return
-        table = pa.Table.from_batches(arrived)
-        counts, cut = {}, {}
-        for lang in pc.unique(table["lang"]).to_pylist():
-            mine = table.filter(pc.equal(table["lang"], lang))
-            for held, part in ((counts, mine.filter(mine["kept"])), (cut, mine.filter(pc.invert(mine["kept"])))):
-                if part.num_rows:
-                    raw, _ = kernel.utf8(part["gram"])
-                    held[lang] = np.frombuffer(raw.tobytes(), np.uint32).reshape(-1, ORDER), part["n"].to_numpy().astype(np.float64)
-        if counts:
-            yield pa.record_batch([pa.array([pickle.dumps(Models(counts, z, slack, cut))], pa.binary())], ["model"])
-
-    found = grams.select("lang", "gram", "n", kept.alias("kept")).repartition(1).mapInArrow(build, "model binary").collect()
-    return pickle.loads(found[0]["model"]) if found else None
+    flagged = base.select("lang", (share(F.col("text"), salt) < held_out).alias("late"), "text")
+    grams = flagged.mapInArrow(_count, "lang string, gram binary, n long, n_late long").groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.sum("n_late").alias("n_late")).checkpoint()
+    alphabet = grams.select(F.expr(f"substring(gram, {4 * ORDER - 3}, 4)").alias("c")).distinct().count()
+    unseen = float(np.log(1.0 / (alphabet + 1)))
+
+    def build(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
+        raw, _ = kernel.utf8(table["gram"])
+        rows = np.frombuffer(raw.tobytes(), np.uint32).reshape(-1, ORDER)
+        model = fitted(rows, *(table[c].to_numpy().astype(np.float64) for c in ("n", "n_late")), unseen)
+        yield pa.record_batch([pa.array([key[0].as_py()], pa.string()), pa.array([pickle.dumps(model)], pa.binary())], ["lang", "model"])
+
+    found = grams.groupBy("lang").applyInArrow(build, "lang string, model binary").collect()
+    return Models({r["lang"]: pickle.loads(r["model"]) for r in found}, z, slack) if found else None
 
 
 def identify(docs: DataFrame, training: DataFrame | None = None, **params) -> DataFrame:

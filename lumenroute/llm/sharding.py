@@ -1,20 +1,22 @@
 """Range sharding by sampled splitters.
 
-Records are ordered by (key, within). A sample of them, each drawn with a
-probability in proportion to its size in bytes, gives key quantiles, and these
-split the order into ranges of about ``target_bytes``; a key is not split at
-first. Then the exact size of every range is summed. A range of more than
-``full`` times the target, such as that of a hot key, is subdivided at
-quantiles of (key, within) from a sample drawn in it alone, and so on until
+Records are ordered by (key, within). In rounds, every range of more than
+``full`` times ``target_bytes``, at first the whole table, is divided: a sample
+of its records, each drawn with a probability in proportion to its size in
+bytes, gives quantiles of the order, which split the range into pieces of about
+the target, ``FAN`` of them at most. A splitter lies at the beginning of a key
+where that is within the range, so a key is split only where it fills a range,
+such as a hot one. Then the exact size of every range is summed, and so on until
 none is overfull or the overfull ones can't be divided. Shards are numbered in
 the order of their ranges, and the result has one partition for each, sorted.
 
-What reaches the driver is one sample a round, of about ``samples`` records or
-20 a shard if that is more, and one size for each range; splitters are broadcast, some dozen bytes a shard.
+The samples of the ranges, ``SAMPLES`` records a piece, are drawn and cut by
+the executors, a task a range. What reaches the driver is splitters and one size
+for each range; splitters are broadcast, some dozen bytes a shard.
 
 Edge cases: a null key sorts as the empty string and a null ``within`` before
 all others. Records equal in both stay together, so a range of nothing but
-ties, or one record over the target, remains overfull. Null texts have size 0;
+ties or repeated rows, or one very long record over the target, remains overfull. Null and empty texts have size 0;
 a table without any text is one shard. An empty table gives an empty result.
 Further columns are kept; one that already has the name of the shard column is
 replaced.
@@ -34,6 +36,10 @@ from .cluster import prepare
 from .linear import share
 
 LEAST = -(1 << 63)
+#: pieces into which a round divides a range at most
+FAN = 256
+#: records in the sample of a range for each of its pieces
+SAMPLES = 200
 
 
 class Splitters:
@@ -56,65 +62,67 @@ class Splitters:
         return pd.Series(out)
 
 
-def quantiles(sample: pd.DataFrame, pieces: int, columns: list[str]) -> list[tuple]:
-    """The values of the columns at which a weighted sample, sorted by them, passes each share of 1/pieces."""
+def quantiles(sample: pd.DataFrame, pieces: int) -> list[tuple[str, int]]:
+    """The (k, w) at which a weighted sample, sorted by them, passes each share of 1/pieces."""
     if pieces < 2 or not len(sample):
         return []
     passed = np.cumsum(sample["weight"].to_numpy(np.float64))
     at = np.searchsorted(passed, passed[-1] * np.arange(1, pieces) / pieces, "right")
-    rows = sample[columns].iloc[np.unique(np.minimum(at, len(sample) - 1))]
-    return list(rows.itertuples(index=False, name=None))
+    rows = sample[["k", "w"]].iloc[np.unique(np.minimum(at, len(sample) - 1))]
+    return [(str(k), int(w)) for k, w in rows.itertuples(index=False, name=None)]
 
 
-def find_splitters(rows: DataFrame, target_bytes: int, full: float, samples: int, salt: int) -> Splitters:
-    """rows: (k string, w long, size long)."""
-    spark = rows.sparkSession
-    total = rows.agg(F.sum("size")).first()[0] or 0
-    pieces = max(1, -(-total // target_bytes))
-    samples = max(samples, 20 * pieces)
+def splitters_of(sample: pd.DataFrame, pieces: int, first: tuple[str, int]) -> list[tuple[str, int]]:
+    """Splitters within a range whose first record is ``first``: quantiles, moved to the beginning of their key if that is past the first."""
+    moved = ((k, LEAST) if (k, LEAST) > first else (k, w) for k, w in quantiles(sample.sort_values(["k", "w"]), pieces))
+    return sorted({s for s in moved if s > first})
 
-    def drawn(of: DataFrame, size: int, seed: int) -> pd.DataFrame:
-        chance = F.least(F.lit(1.0), F.col("size") * F.lit(samples / max(size, 1)))
-        picked = of.where((share(F.struct("k", "w"), seed) < chance) & (F.col("size") > 0)).withColumn("weight", F.col("size") / chance)
-        return picked.toPandas().sort_values(["k", "w"])
 
-    first = drawn(rows, total, salt) if pieces > 1 else pd.DataFrame(columns=["k", "w", "size", "weight"])
-    splitters = Splitters([(k, LEAST) for (k,) in quantiles(first, pieces, ["k"]) if k != first["k"].iloc[0]])
+def find_splitters(rows: DataFrame, target_bytes: int, full: float, fan: int, samples: int, salt: int) -> Splitters:
+    """rows: (k string, w long, size long)."""
+    spark = rows.sparkSession
+    splitters = Splitters([])
     stuck: set[tuple] = set()
-    for turn in count(1):  # ends: each turn adds a splitter within a range, or marks the range as stuck
+    for turn in count():  # ends: each turn adds a splitter within a range, or marks the range as stuck
         known = spark.sparkContext.broadcast(splitters)
         number = F.pandas_udf(lambda k, w: known.value.ranges(k, w), "long")  # noqa: B023
         placed = rows.withColumn("r", number("k", "w"))
-        sizes = placed.groupBy("r").agg(F.sum("size").alias("size"), F.min(F.struct("k", "w")).alias("a"), F.max(F.struct("k", "w")).alias("b")).collect()
-        over = {}
-        for x in sizes:
-            if x["size"] > full * target_bytes and x["a"] != x["b"] and (tuple(x["a"]), tuple(x["b"])) not in stuck:
-                over[x["r"]] = x
+        sizes = placed.groupBy("r").agg(F.sum("size").alias("size"), F.min(F.struct("k", "w")).alias("a"), F.max(F.struct("k", "w")).alias("b")).where(F.col("size") > full * target_bytes).collect()
+        over = {x["r"]: x for x in sizes if x["a"] != x["b"] and (tuple(x["a"]), tuple(x["b"])) not in stuck}
         if not over:
-            break
-        dense = drawn(placed.where(F.col("r").isin([int(r) for r in over])) if len(over) < 1000 else placed, sum(x["size"] for x in over.values()), salt + turn)
-        more = []
-        for r, part in dense.groupby("r"):
-            if r in over:
-                x = over[r]
-                more += [s for s in quantiles(part, int(-(-x["size"] // target_bytes)), ["k", "w"]) if s > tuple(x["a"])]
+            return splitters
+        # of each overfull range, by its number: pieces, chance of drawing a byte, first record
+        pieces = {r: min(fan, int(-(-x["size"] // target_bytes))) for r, x in over.items()}
+        chance = {r: samples * pieces[r] / x["size"] for r, x in over.items()}
+        first = {r: tuple(x["a"]) for r, x in over.items()}
+        plan = spark.sparkContext.broadcast((pieces, chance, first))
+        rate = F.pandas_udf(lambda r: r.map(plan.value[1]).fillna(0.0).astype("float64"), "double")  # noqa: B023
+
+        def divide(sample: pd.DataFrame) -> pd.DataFrame:
+            pieces, _, first = plan.value  # noqa: B023
+            r = int(sample["r"].iloc[0])
+            return pd.DataFrame(splitters_of(sample, pieces[r], first[r]), columns=["k", "w"])
+
+        drawn = placed.withColumn("chance", F.least(F.lit(1.0), F.col("size") * rate("r"))).where(share(F.struct("k", "w"), salt + turn) < F.col("chance"))
+        sample = drawn.select("r", "k", "w", (F.col("size") / F.col("chance")).alias("weight"))
+        more = [(r["k"], r["w"]) for r in sample.groupBy("r").applyInPandas(divide, "k string, w long").collect()]
+        new = Splitters(splitters.at + more)
         for x in over.values():
-            if not any(tuple(x["a"]) < s <= tuple(x["b"]) for s in more):
-                stuck.add((tuple(x["a"]), tuple(x["b"])))
-        if not more:
-            continue
-        splitters = Splitters(splitters.at + more)
-    return splitters
+            a, b = tuple(x["a"]), tuple(x["b"])
+            if not bisect_right(new.at, b) - bisect_right(new.at, a):
+                stuck.add((a, b))
+        splitters = new
+    raise AssertionError
 
 
-def shard(docs: DataFrame, key: str = "source", within: str = "doc_id", content: str = "text", target_bytes: int = 16 << 20, full: float = 1.25, samples: int = 50_000, salt: int = 3, column: str = "shard") -> DataFrame:
+def shard(docs: DataFrame, key: str = "source", within: str = "doc_id", content: str = "text", target_bytes: int = 16 << 20, full: float = 1.25, fan: int = FAN, samples: int = SAMPLES, salt: int = 3, column: str = "shard") -> DataFrame:
     """docs with the number of each record's shard, one partition a shard."""
     spark = docs.sparkSession
     prepare(spark)
     k = F.coalesce(F.col(key).cast("string"), F.lit(""))
     w = F.coalesce(F.col(within).cast("long"), F.lit(LEAST))
     rows = docs.select(k.alias("k"), w.alias("w"), F.coalesce(F.octet_length(F.col(content)), F.lit(0)).cast("long").alias("size")).checkpoint()
-    splitters = find_splitters(rows, target_bytes, full, samples, salt)
+    splitters = find_splitters(rows, target_bytes, full, fan, samples, salt)
     known = spark.sparkContext.broadcast(splitters)
     number = F.pandas_udf(lambda a, b: known.value.ranges(a, b), "long")
     out = docs.withColumn(column, number(k, w).cast("int"))

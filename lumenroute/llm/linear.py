@@ -28,11 +28,13 @@ def share(key: Column, salt: int) -> Column:
     return (F.xxhash64(key, F.lit(salt)).bitwiseAND(F.lit((1 << 40) - 1))) / F.lit(float(1 << 40))
 
 
-COUNTED = np.dtype([("f", "<u4"), ("n", "<u2")])
+PACKED = np.dtype([("f", "<u4"), ("v", "<f4")])
+#: entries worked on at a time, so that what a step of a fit needs besides the rows is small
+_CHUNK = 1 << 20
 
 
-def featured(docs: DataFrame, features: Features, kept: str) -> DataFrame:
-    """The kept columns, and ``f``: the distinct features of each text and their counts, packed."""
+def featured(docs: DataFrame, features: Features, kept: str, value: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """The kept columns, and ``f``: the distinct features of each text with the values worked out from them and their counts, packed."""
     names = [c.split()[0] for c in kept.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -42,41 +44,72 @@ def featured(docs: DataFrame, features: Features, kept: str) -> DataFrame:
                 ends = np.cumsum(sizes)
                 for a, b in zip(ends - sizes, ends, strict=True):
                     index, count = np.unique(f[a:b], return_counts=True)
-                    packed = np.empty(len(index), COUNTED)
-                    packed["f"], packed["n"] = index, np.minimum(count, 65535)
+                    packed = np.empty(len(index), PACKED)
+                    packed["f"], packed["v"] = index, value(index, count)
                     blobs.append(packed.tobytes())
             yield pa.record_batch([*(batch.column(c) for c in names), pa.array(blobs, pa.binary())], [*names, "f"])
 
     return docs.select(*names, "text").mapInArrow(run, f"{kept}, f binary")
 
 
+def document_counts(rows: DataFrame, least: int) -> np.ndarray:
+    """(feature, documents) of the features that at least so many rows of ``featured`` have, in order; counted on the executors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.frombuffer(b, PACKED)["f"] for batch in batches for b in batch.column("f").to_pylist()]
+        if held:
+            f, n = np.unique(np.concatenate(held), return_counts=True)
+            yield pa.record_batch([pa.array(f.astype(np.int32)), pa.array(n.astype(np.int64))], ["feature", "n"])
+
+    found = rows.select("f").mapInArrow(run, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toPandas()
+    return found.sort_values("feature").to_numpy(np.int64)
+
+
 def restricted(rows: DataFrame, chosen: Broadcast, kept: str) -> DataFrame:
-    """The rows of ``featured`` with only the chosen features, a sorted array."""
+    """The rows of ``featured`` with only the chosen features, a sorted array, by their numbers in it."""
     names = [c.split()[0] for c in kept.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            packed = (np.frombuffer(b, COUNTED) for b in batch.column("f").to_pylist())
-            out = [x[np.isin(x["f"], chosen.value)].tobytes() for x in packed]
+            out = []
+            for b in batch.column("f").to_pylist():
+                packed = np.frombuffer(b, PACKED).copy()
+                packed = packed[np.isin(packed["f"], chosen.value)]
+                packed["f"] = np.searchsorted(chosen.value, packed["f"])
+                out.append(packed.tobytes())
             yield pa.record_batch([*(batch.column(c) for c in names), pa.array(out, pa.binary())], [*names, "f"])
 
     return rows.mapInArrow(run, f"{kept}, f binary")
 
 
 class Rows:
-    """Sparse rows of feature counts."""
+    """Sparse rows of feature values."""
 
     def __init__(self, blobs: list[bytes]):
-        packed = np.frombuffer(b"".join(blobs), COUNTED)
         self.n = len(blobs)
-        self.index, self.value = packed["f"].astype(np.int32), packed["n"].astype(np.float32)
-        self.row = np.repeat(np.arange(self.n, dtype=np.int32), [len(b) // COUNTED.itemsize for b in blobs])
+        self.ends = np.cumsum([0, *(len(b) // PACKED.itemsize for b in blobs)])
+        packed = np.frombuffer(b"".join(blobs), PACKED)
+        self.index, self.value = packed["f"].astype(np.int32), packed["v"].copy()
+
+    def _chunks(self) -> Iterator[tuple[int, int, slice]]:
+        i = 0
+        while i < self.n:
+            j = max(i + 1, int(np.searchsorted(self.ends, self.ends[i] + _CHUNK, "right")) - 1)
+            yield i, j, slice(self.ends[i], self.ends[j])
+            i = j
 
     def dot(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, w.astype(np.float32)[self.index] * self.value, self.n)
+        out = np.empty(self.n)
+        for i, j, at in self._chunks():
+            row = np.repeat(np.arange(j - i), np.diff(self.ends[i : j + 1]))
+            out[i:j] = np.bincount(row, w[self.index[at]] * self.value[at], j - i)
+        return out
 
     def back(self, g: np.ndarray, dims: int) -> np.ndarray:
-        return np.bincount(self.index, g.astype(np.float32)[self.row] * self.value, dims)
+        out = np.zeros(dims)
+        for i, j, at in self._chunks():
+            out += np.bincount(self.index[at], np.repeat(g[i:j], np.diff(self.ends[i : j + 1])) * self.value[at], dims)
+        return out
 
 
 class Adam:

@@ -6,17 +6,18 @@ calibrated on held-out rows by Platt scaling, where each row weighs by the
 inverse of its class's sampling rate, and scored in Arrow batches: a document stays if its calibrated probability of
 good quality is at least ``threshold``, a fixed number.
 
-The features of a text are its byte 3-grams (case kept, so that shouting and
+The features of a text are its character 3-grams (case kept, so that shouting and
 symbol noise show), its words, and its word 2-grams with a mark for a word that
 repeats the one before. Each kind is averaged over the text, so the score
-doesn't depend on the length.
+doesn't depend on the length. Features of fewer than ``least_documents`` documents
+of the sample get no weight, so that the driver needn't hold them.
 
 Edge cases: a null or empty text has no features and gets the calibrated
-probability of the bias alone; training balances the classes so that this is
-the labelled share of good rows. With no labels, or one class only, there is
+probability of the bias alone. A very long text is scored whole. With no labels, or one class only, there is
 no model: every probability is 1 and every row is kept. Labels without a
 document or with a null flag are ignored; an id with several flags counts by
-their lowest. Repeated rows are scored alike, each. Other columns pass through
+their lowest. Repeated rows are scored alike, each; a probability at the
+threshold keeps its row. An empty table stays empty. Other columns pass through
 ``keep_good`` untouched, whatever their names.
 """
 
@@ -44,18 +45,18 @@ def features(column: pa.Array) -> Iterator[tuple[int, list[np.ndarray], list[np.
     shift = U64(64 - BITS)
     for i, j, w in kernel.words(raw, at):
         sizes, found = [], []
-        local = at[i : j + 1] - at[i]
-        text = raw[at[i] : at[j]].astype(np.uint32)
+        said = raw[at[i] : at[j]]
+        text = np.frombuffer(said.tobytes().decode().encode("utf-32-le"), np.uint32).astype(U64)
+        local = np.r_[0, np.cumsum((said & 0xC0) != 0x80)][at[i : j + 1] - at[i]]  # where each text begins, in characters
         n = len(text)
-        gram = np.zeros(max(n - 2, 0), np.uint32)
+        gram = np.zeros(max(n - 2, 0), U64)
         if n > 2:
-            gram = (text[:-2] << 16) | (text[1:-1] << 8) | text[2:]
-        length = np.diff(local)
+            gram = (text[:-2] << U64(42)) | (text[1:-1] << U64(21)) | text[2:]
         inside = np.ones(len(gram), bool)
         for back in (1, 2):  # grams that would run over a document's end
             cut = local[1:-1] - back
             inside[cut[(cut >= 0) & (cut < len(inside))]] = False
-        found.append(mix(gram[inside].astype(U64) + U64(1 << 40)) >> shift)
+        found.append(mix(gram[inside] | U64(1 << 63)) >> shift)
         bounds = np.r_[0, np.cumsum(inside)]
         sizes.append(np.diff(bounds[np.minimum(local, len(inside))]))
         found.append(w.hash >> shift)
@@ -69,7 +70,6 @@ def features(column: pa.Array) -> Iterator[tuple[int, list[np.ndarray], list[np.
         pair[same] = U64(0xABCDEF0123456789)
         found.append(pair[~owner_change] >> shift)
         sizes.append(np.maximum(np.diff(w.first) - 1, 0))
-        assert len(length) == j - i
         yield i, sizes, found
 
 
@@ -86,27 +86,20 @@ def _labelled(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         yield i, total, out
 
 
-def _averaged(rows: linear.Rows) -> linear.Rows:
-    kind = rows.index >> BITS
-    slot = rows.row * KINDS + kind
-    total = np.bincount(slot, rows.value, rows.n * KINDS)
-    rows.value = (SCALE * rows.value / total[slot]).astype(np.float32)
-    return rows
+def _averages(index: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The share of each feature among those of its kind in the text."""
+    kind = index >> BITS
+    return SCALE * count / np.bincount(kind, count, KINDS)[kind]
 
 
-def fit_logistic(rows: linear.Rows, y: np.ndarray, steps: int = 300, rate: float = 0.1, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+def fit_logistic(rows: linear.Rows, y: np.ndarray, dims: int, steps: int = 300, rate: float = 0.1, decay: float = 1e-4) -> tuple[np.ndarray, float]:
     """Weights and bias by full-batch Adam, with the classes weighing alike."""
-    used, code = np.unique(rows.index, return_inverse=True)
-    m = len(used)
-    w, adam = np.zeros(m + 1), linear.Adam(m + 1, rate)
+    w, adam = np.zeros(dims + 1), linear.Adam(dims + 1, rate)
     weight = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
-    rows.index = code
     for _ in range(steps):
-        g = weight * (linear.sigmoid(rows.dot(w) + w[m]) - y)
-        w -= adam.step(np.r_[rows.back(g, m) + decay * w[:m], g.sum()])
-    weights = np.zeros(KINDS << BITS, np.float32)
-    weights[used] = w[:m]
-    return weights, float(w[m])
+        g = weight * (linear.sigmoid(rows.dot(w) + w[dims]) - y)
+        w -= adam.step(np.r_[rows.back(g, dims) + decay * w[:dims], g.sum()])
+    return w[:dims], float(w[dims])
 
 
 def platt(z: np.ndarray, y: np.ndarray, steps: int = 50, weight: np.ndarray | None = None) -> tuple[float, float]:
@@ -151,7 +144,7 @@ class Scorer:
         return p, p >= self.threshold
 
 
-def train(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, most_labelled: int = 3000, held_out: float = 0.25, salt: int = 10) -> Scorer:
+def train(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, most_labelled: int = 8000, least_documents: int = 2, held_out: float = 0.25, salt: int = 10) -> Scorer:
     """Fit on about most_labelled labelled documents, a held_out share of which only calibrates."""
     spark = docs.sparkSession
     prepare(spark)
@@ -164,19 +157,22 @@ def train(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, most_label
     picked = flags.where(linear.share(F.col("doc_id"), salt) < F.when(F.col("quality") == 1, rate[1]).otherwise(rate[0]))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
     chosen = base.join(F.broadcast(picked), "doc_id").select("doc_id", "quality", linear.share(F.col("doc_id"), salt + 1).alias("u"), "text")
-    rows = linear.featured(chosen, _labelled, "doc_id long, quality int, u double").orderBy("doc_id").toPandas()
+    sample = linear.featured(chosen, _labelled, "doc_id long, quality int, u double", _averages).checkpoint()
+    used = linear.document_counts(sample, least_documents)[:, 0].astype(np.uint32)
+    known = spark.sparkContext.broadcast(used)
+    rows = linear.restricted(sample, known, "doc_id long, quality int, u double").orderBy("doc_id").toPandas()
     y, late = rows["quality"].to_numpy(np.float64), rows["u"].to_numpy() < held_out
     if min(y[~late].sum(), (1 - y[~late]).sum(), late.sum()) < 1:
         late = np.zeros(len(y), bool)
     if min(y[~late].sum(), (1 - y[~late]).sum()) < 1:
         return Scorer(None, threshold)
-    weights, bias = fit_logistic(_averaged(linear.Rows(list(rows.loc[~late, "f"]))), y[~late])
-    if late.any() and 0 < y[late].sum() < late.sum():
-        check, target = _averaged(linear.Rows(list(rows.loc[late, "f"]))), y[late]
-    else:
-        check, target = _averaged(linear.Rows(list(rows["f"]))), y
+    w, bias = fit_logistic(linear.Rows(list(rows.loc[~late, "f"])), y[~late], len(used))
+    if not (late.any() and 0 < y[late].sum() < late.sum()):
+        late = np.ones(len(y), bool)
     # the classes are sampled at different rates, the probabilities are those of all labelled rows
-    a, b = platt(check.dot(weights.astype(np.float64)) + bias, target, weight=np.where(target == 1, 1 / rate[1], 1 / rate[0]))
+    a, b = platt(linear.Rows(list(rows.loc[late, "f"])).dot(w) + bias, y[late], weight=np.where(y[late] == 1, 1 / rate[1], 1 / rate[0]))
+    weights = np.zeros(KINDS << BITS, np.float32)
+    weights[used] = w
     return Scorer(spark.sparkContext.broadcast((weights, bias, a, b)), threshold)
 
 

@@ -3,7 +3,7 @@
 A record is a JSON text. Its schema, read off by Spark, is reduced to its set
 of nested field paths, such as ``messages[].role``; the hash of the sorted
 paths is the record's fingerprint. The fingerprint selects the first declared
-mapping whose required paths are all there, and the mapping says where the
+mapping one of whose sets of required paths is all there, and the mapping says where the
 turns, their roles and their contents lie. Records of one fingerprint have one
 mapping, so the choice is worked out once for each fingerprint in a worker; the
 conversion itself is a Spark expression for each mapping.
@@ -13,8 +13,11 @@ whose paths no mapping covers one row of layout ``unknown``, each with turn -1
 and no role or content. A turn without content has the empty string; a turn
 without a role has the role ``unknown``. Fields of one record that are null or
 empty give no turn in the prompt layouts. Fields beyond the required ones are
-ignored. Repeated records are converted alike, each. An empty table gives an
-empty result.
+ignored. Content may be a list of parts, as in multimodal messages: the texts of
+its parts, strings or objects with ``text``, are joined by line feeds, and parts
+of other kinds are left out. Repeated records are converted alike, each, in the order of their turns, so ties
+need no rule; very long texts are converted whole. The result has only the columns
+named, whatever others the table has. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -49,13 +52,13 @@ class Listed:
     content: str
 
     @property
-    def required(self) -> frozenset[str]:
+    def required(self) -> tuple[frozenset[str], ...]:
         inner = lambda p: f"{self.turns}[].{p}".replace("[0]", "[]")
-        return frozenset({inner(self.role), inner(self.content)})
+        return tuple(frozenset({inner(self.role), inner(self.content) + parts}) for parts in ("", "[]", "[].text"))
 
     def convert(self, v: Column) -> Column:
         turns = F.try_variant_get(v, f"$.{self.turns}", "array<variant>")
-        return F.transform(turns, lambda m: _turn(F.try_variant_get(m, f"$.{self.role}", "string"), F.try_variant_get(m, f"$.{self.content}", "string")))
+        return F.transform(turns, lambda m: _turn(F.try_variant_get(m, f"$.{self.role}", "string"), _content(F.try_variant_get(m, f"$.{self.content}", "variant"))))
 
 
 @dataclass(frozen=True)
@@ -67,8 +70,8 @@ class Fields:
     optional: frozenset[str] = field(default_factory=frozenset)
 
     @property
-    def required(self) -> frozenset[str]:
-        return frozenset(p for _, paths in self.turns for p in paths) - self.optional
+    def required(self) -> tuple[frozenset[str], ...]:
+        return (frozenset(p for _, paths in self.turns for p in paths) - self.optional,)
 
     def convert(self, v: Column) -> Column:
         said = [F.struct(F.lit(role).alias("role"), F.array_join(F.filter(F.array(*(F.try_variant_get(v, f"$.{p}", "string") for p in paths)), lambda t: t != ""), "\n\n").alias("content")) for role, paths in self.turns]
@@ -87,6 +90,13 @@ MAPPINGS = (
 )
 
 
+def _content(v: Column) -> Column:
+    """A string as it is; of a list, the texts of its parts, a line each."""
+    plain = lambda x: F.when(F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "string"))
+    parts = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x: F.coalesce(plain(x), F.try_variant_get(x, "$.text", "string")))
+    return F.coalesce(F.array_join(parts, "\n"), F.try_variant_get(v, "$", "string"))
+
+
 def _turn(role: Column, content: Column) -> Column:
     low = F.lower(F.trim(role))
     name = F.coalesce(*(F.when(low.isin(*names), canonical) for canonical, names in ROLES.items()), F.nullif(low, F.lit("")), F.lit("unknown"))
@@ -132,7 +142,7 @@ def selected(schema: str) -> tuple[int, str]:
     paths = field_paths(re.sub(r"DECIMAL\(\d+,\s*\d+\)", "DECIMAL", schema))
     print_ = int.from_bytes(hashlib.blake2b("\n".join(paths).encode(), digest_size=8).digest(), "big", signed=True)
     have = frozenset(paths)
-    return print_, next((m.name for m in MAPPINGS if m.required <= have), "unknown")
+    return print_, next((m.name for m in MAPPINGS if any(paths <= have for paths in m.required)), "unknown")
 
 
 def canonical_turns(records: DataFrame, key: str, payload: str = "payload") -> DataFrame:

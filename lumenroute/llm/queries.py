@@ -93,12 +93,13 @@ def op7_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _op7_level(level: int, side: str) -> str:
     return f"""{side}{level} AS (SELECT file, node // 16 AS node, min("begin") AS "begin", max("end") AS "end",
-      sha256(string_agg(node || ':' || hash, '|' ORDER BY node)) AS hash FROM {side}{level - 1} GROUP BY file, node // 16)"""
+      sha256(string_agg(node || ':' || ("begin" - b) || '-' || ("end" - b) || ':' || hash, '|' ORDER BY node)) AS hash
+      FROM (SELECT *, min("begin") OVER (PARTITION BY file, node // 16) AS b FROM {side}{level - 1}) GROUP BY file, node // 16)"""
 
 
 def _op7_side(side: str, source: str) -> str:
     return rf"""{side}r AS (SELECT page_id, 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10)
-      || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || strlen(html) || chr(13) || chr(10) || chr(13) || chr(10)
+      || 'WARC-Date: 1970-01-01T00:00:00Z' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || strlen(html) || chr(13) || chr(10) || chr(13) || chr(10)
       || html || chr(13) || chr(10) || chr(13) || chr(10) AS record FROM {source}),
     {side}h AS (SELECT page_id // 4096 AS file, page_id, strlen(record) AS bytes, sha256(record) AS hash FROM {side}r),
     {side}o AS (SELECT *, sum(bytes) OVER (PARTITION BY file ORDER BY page_id, hash ROWS UNBOUNDED PRECEDING)::BIGINT AS "end" FROM {side}h),
@@ -106,7 +107,7 @@ def _op7_side(side: str, source: str) -> str:
     {", ".join(_op7_level(k, side) for k in (1, 2, 3))}"""
 
 
-# for up to 4096 page ids, whose tree has three levels above the records
+# for up to 4096 page ids, whose tree has three levels above the records; these lie end to end, so none is only shifted
 _OP7 = f"""
 WITH f AS (SELECT page_id, url, CASE WHEN page_id % 997 = 5 THEN '#' || substring(html, 2) ELSE html END AS html FROM pages WHERE page_id % 1499 <> 7
   UNION ALL SELECT page_id + 2, url, html FROM pages WHERE page_id % 1999 = 11),

@@ -4,10 +4,11 @@
 returns a DataFrame, which is written as Parquet and read again as the next
 one's docs. ``run`` applies them to the table documents.
 
-Rows pass through untouched but for the texts that decontamination cuts; nulls,
-empty and very long texts, repeated rows and further columns are treated as
+Rows pass through untouched but for the texts that decontamination cuts, and the
+last stage adds n_ids, ids and exact, in place of columns of these names; nulls,
+empty and very long texts, ties, repeated rows and further columns are treated as
 the operators say. Rows with a null id can't be told apart by the near-duplicate
-stage, which keeps them all.
+stage, which keeps them all. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from lumenroute.llm import decontamination as decontamination_op
 from lumenroute.llm import quality, sentencepiece_codec, toxicity
-from lumenroute.llm.cluster import prepare, shared_folder, table
+from lumenroute.llm.cluster import delete, prepare, shared_folder, table
 from lumenroute.llm.components import drop_near_duplicates
 
 
@@ -44,8 +45,8 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' SentencePiece ids, and whether they decode to the text."""
-    return sentencepiece_codec.round_trip(docs)
+    """The documents with their SentencePiece ids, and whether these decode to the text."""
+    return sentencepiece_codec.with_ids(docs)
 
 
 STAGES = [
@@ -63,7 +64,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The result of all stages over the table documents of sf_dir.
 
-    The stages' outputs are kept in the session's shared folder.
+    The stages' outputs are in the session's shared folder; each is deleted
+    when the next one is written, and the last one stays.
     """
     prepare(spark)
     folder = f"{shared_folder(spark)}/corpus-pipeline-{uuid.uuid4()}"
@@ -72,4 +74,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = f"{folder}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if k:
+            delete(spark, f"{folder}/{k - 1}-{STAGES[k - 1][0]}")
     return docs.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -51,3 +51,9 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder, shared by all executors, in which the session keeps its checkpoints."""
     prepare(spark)
     return spark.sparkContext.getCheckpointDir()
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder that is no longer read."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -15,8 +15,9 @@ ids. A text that
 contains the marker character itself decodes to a space there, as in the
 library, so ``exact`` is false for it. Unknown characters fall back on bytes if
 the vocabulary has them; otherwise they decode to the library's unknown sign.
-Repeated rows, ties and other columns need no rule: rows are encoded one by
-one and only the columns named are read. An empty table gives an empty result.
+Very long texts are encoded whole. Repeated rows and ties need no rule: rows are
+encoded one by one. Other columns pass through ``encode``, ``decode`` and
+``with_ids``; one that has the name of a new column is replaced. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -130,26 +131,39 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
+def _replaced(docs: DataFrame, fields: list[T.StructField]) -> tuple[list[str], T.StructType]:
+    """The columns that stay beside the new ones, and the schema of all."""
+    new = {f.name.lower() for f in fields}
+    kept = [f for f in docs.schema.fields if f.name.lower() not in new]
+    return [f.name for f in kept], T.StructType([*kept, *fields])
+
+
+def _found(column: pa.Array, table: Codec) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """The ids of all texts, their number for each, and the list column of them."""
+    ids, count = table.encode(column.to_pylist())
+    out = kernel.lists(ids, count, pa.int32())
+    return ids, count, pa.compute.if_else(column.is_valid(), out, pa.scalar(None, out.type)) if column.null_count else out
+
+
 def encode(docs: DataFrame, model: str = MODEL, ids: str = "ids") -> DataFrame:
-    """docs with the ids of ``text`` in a further column; docs must not have one of that name."""
+    """docs with the ids of ``text`` in a further column."""
     prepare(docs.sparkSession)
+    if ids.lower() == "text":
+        raise ValueError("the ids can't take the place of the text")
+    names, schema = _replaced(docs, [T.StructField(ids, T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = codec(model)
         for batch in kernel.split_rows(batches, "text", 1 << 20):
-            column = batch.column("text")
-            found, count = table.encode(column.to_pylist())
-            out = kernel.lists(found, count, pa.int32())
-            if column.null_count:
-                out = pa.compute.if_else(column.is_valid(), out, pa.scalar(None, out.type))
-            yield pa.record_batch([*batch.columns, out], [*batch.schema.names, ids])
+            yield pa.record_batch([*(batch.column(c) for c in names), _found(batch.column("text"), table)[2]], [*names, ids])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
+    return docs.mapInArrow(run, schema)
 
 
 def decode(rows: DataFrame, model: str = MODEL, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """rows with the text of ``ids`` in a further column."""
     prepare(rows.sparkSession)
+    names, schema = _replaced(rows, [T.StructField(text, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = codec(model)
@@ -164,28 +178,32 @@ def decode(rows: DataFrame, model: str = MODEL, ids: str = "ids", text: str = "d
                 raw = data.tobytes()
                 said = [raw[a:b].decode("utf-8", "replace") for a, b in zip(at[:-1], at[1:], strict=True)]
                 out += [t if ok else None for t, ok in zip(said, part.is_valid().to_pylist(), strict=True)]
-            yield pa.record_batch([*batch.columns, pa.array(out, pa.string())], [*batch.schema.names, text])
+            yield pa.record_batch([*(batch.column(c) for c in names), pa.array(out, pa.string())], [*names, text])
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(text, T.StringType())]))
+    return rows.mapInArrow(run, schema)
 
 
-def round_trip(docs: DataFrame, model: str = MODEL) -> DataFrame:
-    """(doc_id, n_ids, ids, exact) for every row: exact says that the ids decode to the text."""
+def with_ids(docs: DataFrame, model: str = MODEL) -> DataFrame:
+    """docs with n_ids, ids and exact: exact says that the ids decode to the text."""
     prepare(docs.sparkSession)
+    new = [T.StructField("n_ids", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("exact", T.BooleanType())]
+    names, schema = _replaced(docs, new)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = codec(model)
         for batch in kernel.split_rows(batches, "text", 1 << 20):
             column = batch.column("text")
-            valid = column.is_valid().to_numpy(zero_copy_only=False)
-            ids, count = table.encode(column.to_pylist())
+            ids, count, found = _found(column, table)
             data, at = table.decode(ids, count)
             raw, want = kernel.utf8(column)
             exact = [data[a:b].tobytes() == raw[c:d].tobytes() for a, b, c, d in zip(at, at[1:], want, want[1:], strict=False)]
-            found = kernel.lists(ids, count, pa.int32())
-            if not valid.all():
-                found = pa.compute.if_else(pa.array(valid), found, pa.scalar(None, found.type))
-            yield pa.record_batch([batch.column("doc_id"), pa.array(np.where(valid, count, -1)), found, pa.array(exact)], ["doc_id", "n_ids", "ids", "exact"])
+            n = np.where(column.is_valid().to_numpy(zero_copy_only=False), count, -1)
+            yield pa.record_batch([*(batch.column(c) for c in names), pa.array(n), found, pa.array(exact, pa.bool_())], schema.names)
+
+    return docs.mapInArrow(run, schema)
 
+
+def round_trip(docs: DataFrame, model: str = MODEL) -> DataFrame:
+    """(doc_id, n_ids, ids, exact) for every row."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return base.mapInArrow(run, "doc_id long, n_ids long, ids array<int>, exact boolean")
+    return with_ids(base, model).select("doc_id", "n_ids", "ids", "exact")

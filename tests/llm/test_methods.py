@@ -1,10 +1,11 @@
 """The operators against brute force, exact round trips and held-out accuracy."""
 
-import inspect
 import math
 import random
+import re
 import unicodedata
 from collections import Counter, defaultdict
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -103,16 +104,22 @@ def test_kneser_ney_against_dictionaries(docs):
                 total[k][g[:-1]] += n
                 kinds[k][g[:-1]] += 1
 
+        d = [None]
+        for k in range(1, 6):
+            once, twice = (sum(n == v for n in count[k].values()) for v in (1, 2))
+            d.append(once / (once + 2 * twice) if once and twice else 0.75)
+
         def p(g):
             if not g:
-                return math.exp(models.unseen)
+                return math.exp(models.models[0].unseen)
             k, c = len(g), g[:-1]
             lower = p(g[1:])
             if not total[k][c]:
                 return lower
-            return (max(count[k][g] - 0.75, 0) + 0.75 * kinds[k][c] * lower) / total[k][c]
+            return (max(count[k][g] - d[k], 0) + d[k] * kinds[k][c] * lower) / total[k][c]
 
         q = models.langs.index(lang)
+        assert d[1:] == pytest.approx(models.models[q].discount[1:])
         for word in ("the", "zebra", "schön", "xqj", "9"):
             s = "\x02" + word + "\x03"
             got = models.score(np.array([ord(x) for x in s], np.uint32), np.arange(len(s)))[:, q]
@@ -130,22 +137,85 @@ def test_language_held_out(spark):
     assert langid.identify(junk, train).first().lang_id == "und"
 
 
-def test_least_counts_are_cut_off_beyond_the_bound(docs):
-    models = langid.train(docs, most_grams=3000)
-    assert 0 < sum(len(k) for k in models.keys[5:]) < 3000
-
+def test_identify_against_plain_python(spark):
+    """The query's language, entropy, margin and rejection, by dictionaries of the same counts."""
+    docs = spark.createDataFrame(table(spark, SF, "documents").limit(60).collect())
+    rows = docs.withColumn("late", langid.share(F.col("text"), 1) < 0.1).collect()
 
-def test_nothing_is_cut_off_unless_asked():
-    assert inspect.signature(langid.train).parameters["most_grams"].default is None
+    def counted(texts):
+        raw = Counter()
+        for t in texts:
+            for w in words(t):
+                s = "\x02" + w + "\x03"
+                raw.update(s[max(0, p - 4) : p + 1] for p in range(1, len(s)))
+        return raw
 
+    def model(raw, unseen):
+        count = [Counter() for _ in range(6)]
+        for g, n in raw.items():
+            count[len(g)][g] += n
+        for k in range(4, 0, -1):
+            for g in list(count[k + 1]):
+                count[k][g[1:]] += 1
+        total, kinds, d = [Counter() for _ in range(6)], [Counter() for _ in range(6)], [0]
+        for k in range(1, 6):
+            for g, n in count[k].items():
+                total[k][g[:-1]] += n
+                kinds[k][g[:-1]] += 1
+            once, twice = (sum(n == v for n in count[k].values()) for v in (1, 2))
+            d.append(once / (once + 2 * twice) if once and twice else 0.75)
 
-@pytest.mark.parametrize("most", [None, 3000])
-def test_usual_entropy_is_over_all_characters(docs, most):
-    models = langid.train(docs, most_grams=most)
-    for q, lang in enumerate(models.langs):
+        def p(g):
+            if not g:
+                return unseen
+            k, c = len(g), g[:-1]
+            return (max(count[k][g] - d[k], 0) + d[k] * kinds[k][c] * p(g[1:])) / total[k][c] if total[k][c] else p(g[1:])
+
+        return lru_cache(None)(lambda g: -math.log(p(g)))
+
+    langs = sorted({r.lang for r in rows if r.lang and r.text})
+    of = {x: [r for r in rows if r.lang == x and r.text] for x in langs}
+    unseen = 1 / (len({g[-1] for x in langs for g in counted(r.text for r in of[x])}) + 1)
+    models = {x: model(counted(r.text for r in of[x]), unseen) for x in langs}
+    bound = {}
+    for x in langs:
+        late = counted(r.text for r in of[x] if r.late)
+        early, check = (model(counted(r.text for r in of[x] if not r.late), unseen), late) if late and len(of[x]) > sum(r.late for r in of[x]) else (models[x], counted(r.text for r in of[x]))
+        n = sum(check.values())
+        mean = sum(early(g) * c for g, c in check.items()) / n
+        bound[x] = mean, math.sqrt(max(sum(early(g) ** 2 * c for g, c in check.items()) / n - mean**2, 0))
+    got = {r.doc_id: r for r in langid.identify(docs).collect()}
+    for r in rows:
+        grams = counted([r.text])
+        n = sum(grams.values())
+        if not n:
+            assert (got[r.doc_id].lang_id, got[r.doc_id].cross_entropy) == ("und", None)
+            continue
+        h = {x: sum(models[x](g) * c for g, c in grams.items()) / n for x in langs}
+        best = min(langs, key=h.get)
+        assert got[r.doc_id].nearest == best and got[r.doc_id].cross_entropy == pytest.approx(h[best], rel=1e-4)
+        assert got[r.doc_id].margin == pytest.approx(sorted(h.values())[1] - h[best], abs=1e-3)
+        limit = bound[best][0] + 0.5 + 8 * bound[best][1] / math.sqrt(n)
+        assert abs(h[best] - limit) < 1e-3 or got[r.doc_id].keep == (h[best] <= limit)
+
+
+def test_calibration_is_on_held_out_documents(docs):
+    models, all_of_it = langid.train(docs), langid.train(docs, held_out=0.0)
+    assert (models.mean > all_of_it.mean).all()  # what a model has not seen surprises it more
+    for q, lang in enumerate(all_of_it.langs):
         texts = [r.text for r in docs.where(F.col("lang") == lang).where("text IS NOT NULL").select("text").collect()]
-        length, total = models.identify(pa.array(texts))
-        assert models.mean[q] == pytest.approx(-total[:, q].sum() / length.sum(), rel=1e-4)
+        length, total = all_of_it.identify(pa.array(texts))
+        assert all_of_it.mean[q] == pytest.approx(-total[:, q].sum() / length.sum(), rel=1e-4)
+
+
+def test_a_full_table_of_words_is_emptied(docs, monkeypatch):
+    models = langid.train(docs.limit(40))
+    texts = pa.array([r.text for r in docs.limit(60).select("text").collect()])
+    want = models.identify(texts)
+    monkeypatch.setattr(langid, "TABLE_WORDS", 10)
+    for k in range(0, 60, 7):
+        got = models.identify(texts.slice(k, 7))
+        assert (got[0] == want[0][k : k + 7]).all() and np.allclose(got[1], want[1][k : k + 7])
 
 
 # 2
@@ -301,12 +371,35 @@ def test_shards_are_ordered_full_and_whole(spark):
     assert sum(x.lo.source == "hot" == x.hi.source for x in s) > 5
 
 
-def test_subdivision_goes_on_until_none_is_overfull(spark, monkeypatch):
-    middle = lambda sample, pieces, columns: [tuple(sample[columns].iloc[len(sample) // 2])] if pieces > 1 and len(sample) else []
-    monkeypatch.setattr(sharding, "quantiles", middle)  # halves, so that 64 shards need six rounds and more
+def test_subdivision_goes_on_until_none_is_overfull(spark):
     docs = spark.range(256).select(F.col("id").alias("doc_id"), F.lit("one").alias("source"), F.lit("x" * 100).alias("text"))
-    sizes = [r["b"] for r in sharding.shard(docs, target_bytes=400).groupBy("shard").agg(F.sum(F.octet_length("text")).alias("b")).collect()]
-    assert max(sizes) <= 500 and sum(sizes) == 25_600
+    for fan in (2, 256):  # halves, so that 64 shards need six rounds and more
+        sizes = [r["b"] for r in sharding.shard(docs, target_bytes=400, fan=fan).groupBy("shard").agg(F.sum(F.octet_length("text")).alias("b")).collect()]
+        assert max(sizes) <= 500 and sum(sizes) == 25_600
+
+
+def test_splitters_against_sequential_quantiles(spark):
+    """With every record in the sample, the ranges are those of walking through the sorted records."""
+    rng = random.Random(11)
+    rows = [(k, rng.choice("abcdefghijklm") * 2, "x" * rng.randrange(1, 200)) for k in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = {r.doc_id: r.shard for r in sharding.shard(docs, target_bytes=2500, samples=10**9).collect()}
+
+    def divided(part):
+        total = sum(len(t) for *_, t in part)
+        if total <= 1.25 * 2500 or part[0][:2] == part[-1][:2]:
+            return [part]
+        pieces, first, passed, at = min(256, -(-total // 2500)), part[0][:2], 0, []
+        for s, d, t in part:
+            before, passed = passed, passed + len(t)
+            if any(before <= total * q / pieces < passed for q in range(1, pieces)):
+                at.append((s, -(1 << 63)) if (s, -(1 << 63)) > first else (s, d))
+        at = sorted({x for x in at if x > first})
+        out = [[r for r in part if sum(x <= r[:2] for x in at) == q] for q in range(len(at) + 1)]
+        return [x for o in out for x in divided(o)]
+
+    want = {d: q for q, part in enumerate(divided(sorted((s, d, t) for d, s, t in rows))) for _, d, _ in part}
+    assert got == want
 
 
 # 4, 10
@@ -320,20 +413,132 @@ def test_toxicity_held_out(spark):
     assert got.keep[got.toxic == 0].mean() > 0.98
 
 
+def packed_rows(sets):
+    out = []
+    for f in sets:
+        packed = np.empty(len(f), toxicity.linear.PACKED)
+        packed["f"], packed["v"] = sorted(f), 1
+        out.append(packed.tobytes())
+    return toxicity.linear.Rows(out)
+
+
 def test_negative_part_of_the_risk_stays_non_negative():
     rng = np.random.default_rng(1)
+    sets = lambda active, n: [{int(x) for x in rng.integers(0, 50, 5)} | ({50} if rng.random() < active else set()) for _ in range(n)]
+    positive, unlabelled = packed_rows(sets(1.0, 200)), packed_rows(sets(0.1, 1000))
+    part = lambda w: toxicity.part_of_risk(unlabelled, np.ones(1000), w)
+
+    def negative(w, bias):
+        v = np.r_[w, bias]
+        return part(v)[0] / 1000 - 0.1 * np.logaddexp(0, positive.dot(v) + bias).mean()
+
+    w, bias = toxicity.fit_nnpu(positive, part, 1000, 51, 0.1)
+    assert w[50] + bias > 0 > bias and np.abs(w[:50]).max() < w[50]
+    assert negative(w, bias) > -1e-3
+    plain = toxicity.fit_nnpu(positive, part, 1000, 51, 0.1, beta=np.inf)  # without the correction the risk goes below
+    assert negative(*plain) < negative(w, bias)
 
-    def rows(active, n):
-        out = []
-        for _ in range(n):
-            f = sorted({int(x) for x in rng.integers(0, 50, 5)} | ({60} if rng.random() < active else set()))
-            packed = np.empty(len(f), toxicity.linear.COUNTED)
-            packed["f"], packed["n"] = f, 1
-            out.append(packed.tobytes())
-        return toxicity.linear.Rows(out)
 
-    weights, bias = toxicity.fit_nnpu(rows(1.0, 200), rows(0.1, 1000), 0.1)
-    assert weights[60] + bias > 0 > bias and np.abs(weights[:50]).max() < weights[60]
+def adam(gradient, w, steps, rate):
+    m, v = np.zeros_like(w), np.zeros_like(w)
+    for t in range(1, steps + 1):
+        g = gradient(w)
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    return w
+
+
+def sigma(z):
+    return 1 / (1 + np.exp(-z))
+
+
+@pytest.mark.parametrize("local", [toxicity.LOCAL_PATTERNS, 40])
+def test_toxicity_against_plain_numpy(spark, local, monkeypatch):
+    """Counts, choice of features, fit and scores over a dense matrix of all documents."""
+    if local == 40:  # summed by the executors; a few steps will do
+        monkeypatch.setattr(toxicity.fit_nnpu, "__defaults__", (12, *toxicity.fit_nnpu.__defaults__[1:]))
+    steps = toxicity.fit_nnpu.__defaults__[0]
+    docs, labels = table(spark, SF2, "documents"), table(spark, SF2, "labels")
+    rows, flags = docs.select("doc_id", "text").collect(), {}
+    for r in labels.collect():
+        if r.toxic is not None:
+            flags[r.doc_id] = max(r.toxic, flags.get(r.doc_id, 0))
+    hashed = lru_cache(None)(lambda w: tuple(int(x) for _, _, f in toxicity.features(pa.array([w])) for x in f))
+    sets = [{x for w in words(r.text) for x in hashed(w)} for r in rows]
+    toxic = [k for k, r in enumerate(rows) if flags.get(r.doc_id) == 1]
+    n, m, prior = len(toxic), len(rows), sum(flags.values()) / len(flags)
+    a, b = Counter(x for k in toxic for x in sets[k]), Counter(x for s in sets for x in s)
+    chosen = []
+    for x in sorted(a):
+        p, q, pool = a[x] / n, b[x] / m, (a[x] + b[x]) / (n + m)
+        if a[x] >= 3 and p - q >= 5 * math.sqrt(pool * (1 - pool) * (1 / n + 1 / m)) and prior * p >= 0.7 * q:
+            chosen.append(x)
+    x = np.array([[c in s for c in chosen] + [True] for s in sets], float)
+    assert chosen
+
+    def gradient(w):
+        gp, gu = x[toxic] @ w, x @ w
+        negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
+        down = x.T @ sigma(gu) / m - prior * x[toxic].T @ sigma(gp) / n
+        g = down - prior * x[toxic].T @ sigma(-gp) / n if negative >= 0 else -down
+        return g + 1e-5 * np.r_[w[:-1], 0]
+
+    w = adam(gradient, np.r_[np.zeros(len(chosen)), math.log(prior / (1 - prior))], steps, 0.05)
+    got = {r.doc_id: r.p_toxic for r in toxicity.toxicity(docs, labels, local_patterns=local).collect()}
+    assert [got[r.doc_id] for r in rows] == pytest.approx(list(sigma(x @ w)), abs=1e-4)
+
+
+def test_quality_against_plain_numpy(spark):
+    """Features, fit, calibration and scores over dense rows."""
+    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    u = quality.linear.share(F.col("doc_id"), 11) < 0.25
+    rows = docs.select("doc_id", "text", u.alias("late")).collect()
+    flags = {}
+    for r in labels.collect():
+        if r.quality is not None:
+            flags[r.doc_id] = min(r.quality, flags.get(r.doc_id, 1))
+
+    @lru_cache(None)
+    def hashed(kind, said):
+        ((_, _, found),) = quality.features(pa.array([said]))
+        return (kind << quality.BITS) | int(found[kind][0])
+
+    def features(t):
+        t = t or ""
+        w = re.findall("[0-9A-Za-z\u0080-\U0010ffff]+", t)
+        kinds = [Counter(hashed(0, t[i : i + 3]) for i in range(len(t) - 2)), Counter(hashed(1, x) for x in w), Counter(hashed(2, f"{x} {y}") if x != y else hashed(2, "a a") for x, y in zip(w, w[1:], strict=False))]
+        return {f: 10 * n / sum(c.values()) for c in kinds for f, n in c.items()}
+
+    every = {r.doc_id: features(r.text) for r in rows}
+    known = [r for r in rows if r.doc_id in flags and r.text is not None]
+    df = Counter(f for r in known for f in every[r.doc_id])
+    used = {f: k for k, f in enumerate(sorted(f for f, n in df.items() if n >= 2))}
+
+    def dense(r):
+        out = np.zeros(len(used) + 1)
+        out[-1] = 1
+        for f, v in every[r.doc_id].items():
+            if f in used:
+                out[used[f]] = v
+        return out
+
+    x, y = np.array([dense(r) for r in known]), np.array([flags[r.doc_id] for r in known], float)
+    late = np.array([r.late for r in known])
+    assert 0 < y[late].sum() < late.sum() and 0 < y[~late].sum() < (~late).sum()
+    weight = np.where(y[~late] == 1, 0.5 / y[~late].sum(), 0.5 / (1 - y[~late]).sum())
+    w = adam(lambda w: x[~late].T @ (weight * (sigma(x[~late] @ w) - y[~late])) + 1e-4 * np.r_[w[:-1], 0], np.zeros(len(used) + 1), 300, 0.1)
+    a, b = quality.platt(x[late] @ w, y[late])
+    got = {r.doc_id: r.p_good for r in quality.quality_rules(docs, labels).collect()}
+    assert [got[r.doc_id] for r in rows] == pytest.approx([sigma(a * (dense(r) @ w) + b) for r in rows], abs=1e-3)
+
+
+@pytest.mark.parametrize("copies", [1, 20])
+def test_probabilities_do_not_depend_on_the_number_of_labels(spark, copies):
+    rng = random.Random(12)
+    rows = [(k, " ".join(rng.choice("abcdefgh" if rng.random() < (0.8 if k % 7 else 0.4) else "stuvwxyz") * 3 for _ in range(12)), int(k % 7 > 0)) for k in range(1500 * copies)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    got = quality.quality_rules(df.select("doc_id", "text"), df.select("doc_id", "quality"), most_labelled=1000).toPandas()
+    assert abs(got.p_good.mean() - 6 / 7) < 0.04
 
 
 def test_quality_held_out_and_calibrated(spark):
@@ -422,10 +627,26 @@ def test_audit_finds_exactly_the_faults(spark):
     for r in got:
         assert r.level == 0 or any(x.level == r.level - 1 and x.node // warc.FANOUT == r.node for x in got)
     first = warc.records(make([(5, "u", "é")])).first()
-    said = "WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:5>\r\nWARC-Target-URI: u\r\nContent-Type: text/html\r\nContent-Length: 2\r\n\r\né\r\n\r\n".encode()
+    said = "WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:5>\r\nWARC-Date: 1970-01-01T00:00:00Z\r\nWARC-Target-URI: u\r\nContent-Type: text/html\r\nContent-Length: 2\r\n\r\né\r\n\r\n".encode()
     assert first.hash == hashlib.sha256(said).hexdigest() and (first.begin, first.end) == (0, len(said))
 
 
+def test_files_are_read_back_and_shifts_are_found(spark):
+    pages = spark.createDataFrame([(k, f"u{k}", "é\r\n\r\n" * (k % 7)) for k in [*range(0, 9000, 31), 31]], "page_id long, url string, html string")
+    laid, content = warc.records(pages), warc.files(pages)
+    assert sorted(map(tuple, warc.parsed(content).collect())) == sorted(map(tuple, laid.collect()))
+    assert warc.audit_records(laid, warc.parsed(content)).count() == 0
+    gap = F.when((F.col("file") == 1) & (F.col("page_id") >= 5000), F.lit(7)).otherwise(F.lit(0))  # junk between two records
+    moved = laid.withColumn("begin", F.col("begin") + gap).withColumn("end", F.col("end") + gap)
+    got = warc.audit_records(laid, moved).collect()
+    assert {r.state for r in got if r.level in (1, 2)} <= {"shifted", "damaged"} and "shifted" in {r.state for r in got}
+    assert not [r for r in got if r.level == 0] and len(got) < 6
+    cut = content.withColumn("content", F.expr("substring(content, 1, 1000)"))
+    assert {r.state for r in warc.audit_records(laid, warc.parsed(cut)).collect() if r.level == 0} == {"missing"}
+    with pytest.raises(Exception, match="negative"):
+        warc.records(spark.createDataFrame([(-1, "u", "h")], "page_id long, url string, html string")).collect()
+
+
 # 8
 
 

@@ -35,6 +35,12 @@ def within(a: Column, b: Column, most: int | Column) -> Column:
     return F.levenshtein(a, b) <= most
 
 
+def grams(a: Column, n: int = 3, pad: str = "$") -> Column:
+    """The distinct character n-grams of a text; with ``pad``, also those over its ends."""
+    padded = F.concat(F.lit(pad * (n - 1)), a, F.lit(pad * (n - 1))) if pad else a
+    return F.array_distinct(F.when(F.length(padded) >= n, F.transform(F.sequence(F.lit(1), F.length(padded) - (n - 1)), lambda k: F.substr(padded, k, F.lit(n)))).otherwise(F.array(padded)))
+
+
 def fuzzy_overlap(raw: list[str], candidate: list[str], least: float = 0.72) -> int:
     """How many raw words of three letters or more have a similar candidate word of their own, taken greedily in order."""
     used: set[int] = set()

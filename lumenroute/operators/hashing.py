@@ -18,6 +18,10 @@ from pyspark.sql import types as T
 SENTINEL = 999
 BITS = 256
 BROADCAST_PROBES = 20_000
+#: items of some 250 bytes
+BROADCAST_ITEMS = 200_000
+#: rows of one side in a cell of the grid
+CELL_ROWS = 20_000
 
 
 def normalised_hex(h: Column) -> Column:
@@ -39,6 +43,17 @@ def hamming(a: Column, b: Column) -> Column:
     return F.coalesce(bits, F.lit(SENTINEL))
 
 
+def longs(words: Column, name: str) -> list[Column]:
+    """An array of eight words as four 64-bit columns, name0 to name3: distances of plain columns are generated code, those of arrays aren't."""
+    return [F.shiftleft(words[2 * k], 32).bitwiseOR(words[2 * k + 1]).alias(f"{name}{k}") for k in range(4)]
+
+
+def long_hamming(a: str, b: str) -> Column:
+    """Bits in which two hashes, as the columns of ``longs``, differ; the sentinel if either is null."""
+    bits = [F.bit_count(F.col(f"{a}{k}").bitwiseXOR(F.col(f"{b}{k}"))) for k in range(4)]
+    return F.coalesce(bits[0] + bits[1] + bits[2] + bits[3], F.lit(SENTINEL))
+
+
 def word_hamming(a: Column, b: Column) -> Column:
     """Bits in which two integers differ."""
     return F.bit_count(a.bitwiseXOR(b))
@@ -58,18 +73,25 @@ def few(probes: DataFrame, most: int = BROADCAST_PROBES) -> bool:
     return probes.limit(most + 1).count() <= most
 
 
-def threshold_join(probes: DataFrame, items: DataFrame, distance: Column, most: float) -> DataFrame:
+def threshold_join(probes: DataFrame, items: DataFrame, distance: Column, most: float, first: Column | None = None, broadcast_probes: int = BROADCAST_PROBES, broadcast_items: int = BROADCAST_ITEMS, cell: int = CELL_ROWS) -> DataFrame:
     """Probes and items at a total distance of at most ``most``; the columns of the two must differ.
 
-    Few probes are broadcast. Many are spread over a grid with the items: each
-    row of probes meets each piece of the items once, in a shuffled equi-join.
+    ``first`` is a part of the distance that is cheaper to compute and tested
+    first. The probes are broadcast if they are few, else the items if those
+    are; the other side isn't shuffled then. Where both are many, they are spread
+    over a grid of cells of about ``cell`` rows of each side, and a row meets
+    each piece of the other side once, in a shuffled equi-join.
     """
-    if few(probes):
-        return items.join(F.broadcast(probes), distance <= most, "inner")
-    pieces = 32
-    left = probes.withColumn("_piece", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))))
-    right = items.withColumn("_piece", F.pmod(F.xxhash64(*items.columns), F.lit(pieces)).cast("int"))
-    return right.join(left, "_piece").where(distance <= most).drop("_piece")
+    near = distance <= most if first is None else (first <= most) & (distance <= most)
+    if few(probes, broadcast_probes):
+        return items.join(F.broadcast(probes), near, "inner")
+    if few(items, broadcast_items):
+        return probes.join(F.broadcast(items), near, "inner").select(*items.columns, *probes.columns)
+    rows, columns = (max(1, -(-side.count() // cell)) for side in (probes, items))
+    number = lambda side, n: F.pmod(F.xxhash64(*side.columns), F.lit(n)).cast("int")
+    left = probes.withColumn("_y", number(probes, rows)).withColumn("_x", F.explode(F.sequence(F.lit(0), F.lit(columns - 1))))
+    right = items.withColumn("_x", number(items, columns)).withColumn("_y", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
+    return right.join(left, ["_x", "_y"]).where(near).select(*items.columns, *probes.columns)
 
 
 def banded_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, left_hash: str, right_hash: str, bits: int, most: int) -> DataFrame:
@@ -91,10 +113,16 @@ def banded_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str
 def nearest(probes: DataFrame, items: DataFrame, probe: str, item: str, a: str, b: str) -> DataFrame:
     """(probe, item, l2): each probe's nearest item by Euclidean distance, itself excluded; ties go to the lower item."""
     squared = F.aggregate(F.zip_with(F.col(a), F.col(b), lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
-    pairs = items.join(F.broadcast(probes), F.col(probe) != F.col(item)) if few(probes) else items.crossJoin(probes).where(F.col(probe) != F.col(item))
+    pairs = threshold_join(probes, items, squared, float("inf")).where(F.col(probe) != F.col(item))
     return pairs.withColumn("_d", squared).groupBy(probe).agg(F.min_by(F.struct(item, "_d"), F.struct("_d", item)).alias("m")).select(probe, f"m.{item}", F.sqrt("m._d").alias("l2"))
 
 
+def with_names(distances: DataFrame, catalogue: DataFrame, probe: str = "probe_id", most: int = 10) -> DataFrame:
+    """Each probe's ``most`` nearest items with their names, null where the catalogue lacks them."""
+    nearest_few = top_k(distances, probe, [F.col("distance").asc(), F.col("product_id").asc()], most)
+    return nearest_few.join(catalogue.select("product_id", "name").dropDuplicates(["product_id"]), "product_id", "left")
+
+
 def top_k(matches: DataFrame, by: str, order: list[Column], k: int) -> DataFrame:
     """The first k rows of each group, with their rank."""
     return matches.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("rank") <= k)

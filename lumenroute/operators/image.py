@@ -6,7 +6,7 @@ plug-ins (see ``sources.plugins``). These functions take decoded pixels.
 
 from __future__ import annotations
 
-from collections import deque
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -23,28 +23,54 @@ def _shifted(mask: np.ndarray, grow: bool) -> np.ndarray:
     return np.logical_or.reduce(views) if grow else np.logical_and.reduce(views)
 
 
+def _row_runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The runs of set pixels in each row, in order: row, first column, column after the last."""
+    edges = np.diff(np.pad(mask.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+    row, first = np.nonzero(edges == 1)
+    return row, first, np.nonzero(edges == -1)[1]
+
+
+def _touching(row: np.ndarray, first: np.ndarray, stop: np.ndarray, height: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of runs in neighbouring rows that touch, also by a corner."""
+    begin = np.searchsorted(row, np.arange(height + 2))
+    wide = int(stop.max()) + 2
+    at, end = row * wide + first, row * wide + stop
+    # of the runs in the row below: the first that ends at this one's beginning or later, up to the last that begins at its end or earlier
+    low = np.maximum(np.searchsorted(end, (row + 1) * wide + first), begin[row + 1])
+    high = np.minimum(np.searchsorted(at, (row + 1) * wide + stop, "right"), begin[row + 2])
+    n = np.maximum(high - low, 0)
+    upper = np.repeat(np.arange(len(row)), n)
+    return upper, np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+
 def largest_component(mask: np.ndarray) -> tuple[np.ndarray | None, int, tuple[int, int, int, int]]:
-    """The largest 8-connected region, its area and its box (x, y, width, height)."""
-    label = np.zeros(mask.shape, np.int32)
-    best, count = (0, 0, (0, 0, 0, 0)), 0
-    for y0, x0 in zip(*np.nonzero(mask), strict=True):
-        if label[y0, x0]:
-            continue
-        count += 1
-        label[y0, x0] = count
-        todo, area, box = deque([(y0, x0)]), 0, [x0, y0, x0, y0]
-        while todo:
-            y, x = todo.popleft()
-            area += 1
-            box = [min(box[0], x), min(box[1], y), max(box[2], x), max(box[3], y)]
-            for b in range(max(y - 1, 0), min(y + 2, mask.shape[0])):
-                for a in range(max(x - 1, 0), min(x + 2, mask.shape[1])):
-                    if mask[b, a] and not label[b, a]:
-                        label[b, a] = count
-                        todo.append((b, a))
-        if area > best[1]:
-            best = (count, area, (box[0], box[1], box[2] - box[0] + 1, box[3] - box[1] + 1))
-    return (label == best[0] if count else None), best[1], best[2]
+    """The largest 8-connected region, its area and its box (x, y, width, height); of equal ones the first from the top left.
+
+    Runs of rows are the nodes; their least labels spread along touching runs, halving paths, until nothing changes.
+    """
+    row, first, stop = _row_runs(mask)
+    if not len(row):
+        return None, 0, (0, 0, 0, 0)
+    a, b = _touching(row, first, stop, mask.shape[0])
+    label = np.arange(len(row))
+    while True:
+        least = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, label[a], least)
+        np.minimum.at(new, label[b], least)
+        new = new[new]
+        new = np.minimum(new, new[label])
+        if (new == label).all():
+            break
+        label = new
+    area = np.bincount(label, stop - first)
+    best = int(area.argmax())
+    mine = np.flatnonzero(label == best)
+    region = np.zeros(mask.shape, bool)
+    for r, c, d in zip(row[mine], first[mine], stop[mine], strict=True):
+        region[r, c:d] = True
+    x, y = int(first[mine].min()), int(row[mine].min())
+    return region, int(area[best]), (x, y, int(stop[mine].max()) - x, int(row[mine].max()) - y + 1)
 
 
 def foreground(image: np.ndarray, white: int = 244) -> np.ndarray:
@@ -66,29 +92,82 @@ def foreground(image: np.ndarray, white: int = 244) -> np.ndarray:
 
 def trim(image: np.ndarray, white: int = 244, padding: int = 6) -> tuple[int, int, int, int]:
     """The rectangle (x1, y1, x2, y2), inclusive, of the foreground with padding; the whole image if over 97 % would stay."""
+    kept = _extent(foreground(image, white))
     h, w = image.shape[:2]
-    ys, xs = np.nonzero(foreground(image, white))
-    if not len(xs):
-        return 0, 0, w - 1, h - 1
-    x1, x2, y1, y2 = int(xs.min()), int(xs.max()), int(ys.min()), int(ys.max())
-    if (x2 - x1 + 1) * (y2 - y1 + 1) > 0.97 * w * h:
+    if kept is None or _share(kept, image) > 0.97:
         return 0, 0, w - 1, h - 1
+    (left, right), (top, bottom) = kept
     pad = max(0, padding)
-    return max(0, x1 - pad), max(0, y1 - pad), min(w - 1, x2 + pad), min(h - 1, y2 + pad)
+    return max(0, left - pad), max(0, top - pad), min(w - 1, right + pad), min(h - 1, bottom + pad)
+
+
+def _extent(mask: np.ndarray) -> tuple[tuple[int, int], tuple[int, int]] | None:
+    """The first and last column, and the first and last row, with a set pixel."""
+    found = tuple(np.flatnonzero(mask.any(axis)) for axis in (0, 1))
+    return None if not len(found[0]) else tuple((int(f[0]), int(f[-1])) for f in found)
+
+
+def _share(extent, image: np.ndarray) -> float:
+    (left, right), (top, bottom) = extent
+    return (right - left + 1) * (bottom - top + 1) / (image.shape[0] * image.shape[1])
 
 
 def trim_margins(image: np.ndarray, white: int = 244, least_shrink: float = 0.04, padding: int = 6) -> np.ndarray:
     """The image without white margins, if they take up enough of it and it isn't tiny."""
-    h, w = image.shape[:2]
-    if h < 40 or w < 40:
-        return image
-    ys, xs = np.nonzero((image < white) if image.ndim == 2 else (image < white).any(2))
-    if not len(xs):
+    inked = image < white
+    kept = _extent(inked if inked.ndim == 2 else inked.any(2))
+    if min(image.shape[:2]) < 40 or kept is None or 1 - _share(kept, image) < least_shrink:
         return image
-    x1, x2, y1, y2 = xs.min(), xs.max(), ys.min(), ys.max()
-    if 1 - (x2 - x1 + 1) * (y2 - y1 + 1) / (w * h) < least_shrink:
-        return image
-    return image[max(0, y1 - padding) : y2 + 1 + padding, max(0, x1 - padding) : x2 + 1 + padding]
+    (left, right), (top, bottom) = kept
+    return image[max(0, top - padding) : bottom + 1 + padding, max(0, left - padding) : right + 1 + padding]
+
+
+def reference_crop(rect: Column, width: Column, height: Column) -> Column:
+    """What a reference image's rectangle (x1, y1, x2, y2), inclusive, says: sizes, margins and aspect ratio."""
+    x1, y1, x2, y2 = (rect[k] for k in range(4))
+    w, h = x2 - x1 + 1, y2 - y1 + 1
+    named = {"orig_w": width, "orig_h": height, "crop_w": w, "crop_h": h, "x1": x1, "y1": y1, "x2": x2, "y2": y2, "left": x1, "top": y1, "right": width - 1 - x2, "bottom": height - 1 - y2}
+    return F.struct(*(c.cast("int").alias(k) for k, c in named.items()), (w / h).alias("aspect"))
+
+
+def brightness_factor(median: int, last: int | None, target: int = 128, alpha: float = 0.1) -> tuple[float, int]:
+    """By how much to scale a frame's brightness, and the smoothed median that is carried to the next frame."""
+    smooth = int(alpha * median + (1 - alpha) * (median if last is None else last))
+    return (target / smooth if smooth > 0 else 1.0), smooth
+
+
+def scaled(values: np.ndarray, factor: float) -> np.ndarray:
+    return np.clip(values.astype(np.float32) * factor, 0, 255).astype(np.uint8)
+
+
+def smoothed(before: np.ndarray | None, now: np.ndarray, alpha: float) -> np.ndarray:
+    """A frame blended with the one shown before."""
+    return now if before is None or alpha <= 0 else np.clip(np.rint(alpha * before.astype(np.float32) + (1 - alpha) * now), 0, 255).astype(np.uint8)
+
+
+def warped(pixels: np.ndarray, warp: Callable[[np.ndarray], np.ndarray | None] | None) -> np.ndarray:
+    """The card cut out by a ``warp`` plug-in, at most 745 x 1043, or the image where there is none or it finds nothing."""
+    found = warp(pixels) if warp is not None else None
+    return pixels if found is None or not found.size else found[:1043, :745]
+
+
+def text_hints(pixels: np.ndarray, top_band: Callable[[np.ndarray], dict], bottom_band: Callable[[np.ndarray], dict], warp: Callable[[np.ndarray], np.ndarray | None] | None = None) -> dict:
+    """What text recognition, two plug-ins, finds in the bands of a card cut out by its border; the bottom band's answers come last and win."""
+    card = warped(pixels, warp)
+    return {**top_band(card), **bottom_band(card)}
+
+
+def whole_text(text: Column) -> Column:
+    """A recognised full text as a rules text: at least 40 characters, and the first 1800 of them."""
+    return F.when(F.length(F.trim(text)) >= 40, F.substring(F.trim(text), 1, 1800))
+
+
+def circle_cost(pixels: np.ndarray, circles: Callable[[np.ndarray], int]) -> int | None:
+    """A cost by the number of circles, counted by a plug-in, in the top right of a card; only 1 to 12 are believed."""
+    h, w = pixels.shape[:2]
+    y, x = int(h * 0.02), int(w * 0.55)
+    n = circles(pixels[y : max(y + 1, int(h * 0.18)), x : max(x + 1, int(w * 0.96))])
+    return n if 1 <= n <= 12 else None
 
 
 @F.pandas_udf(T.ArrayType(T.IntegerType()))

@@ -66,6 +66,15 @@ def batch_stats(results: DataFrame) -> DataFrame:
     )
 
 
+def scan_stats(scans: DataFrame) -> DataFrame:
+    """One row over (seconds, cards_checked, cache_hit): scans, average time and cards checked, and the rate of cache hits in percent; 0 without scans."""
+    n = F.count("*")
+    per = lambda c: F.coalesce(c, F.lit(0)) / F.greatest(n, F.lit(1))
+    return scans.agg(
+        n.alias("scans"), per(F.sum("seconds")).alias("average_time"), per(F.sum("cards_checked")).alias("average_cards_checked"), (100.0 * per(F.count_if("cache_hit"))).alias("cache_hit_rate"),
+    )
+
+
 def review_reasons(confidence: Column, name_source: Column, agreement: Column, threshold: float = 75.0, least: float = 0.6) -> Column:
     """Reasons to look at a result, joined by ``;``; null without any. ``agreement`` is null where a name is missing."""
     reasons = F.array_compact(F.array(

@@ -8,10 +8,12 @@ only the question whether any name matched exactly needs a window.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.similarity import seq_ratio, within
+from ..functions.similarity import grams, seq_ratio, within
 from ..functions.values import as_int, colour_set, truthy
 
 WEIGHTS = {"name": 100, "color_identity": 30, "cmc": 70, "set": 80, "collector_number": 90, "type": 15, "subtype": 10}
@@ -28,6 +30,16 @@ def _names(name: Column, hint: Column, fuzzy_ratio: bool) -> tuple[Column, Colum
     return a == b, near
 
 
+def cost_fits(cmc: Column, hint: Column, narrow: Column) -> Column:
+    """Whether a cost is the hint's, or next to it unless set or number narrow the search too."""
+    return F.abs(as_int(cmc) - as_int(hint)) <= F.when(narrow, 0).otherwise(1)
+
+
+def _colours(hint: Column, color: Column) -> Column:
+    want, have = colour_set(hint), F.filter(colour_set(color), lambda c: c.isin(*"WUBRG"))
+    return F.when(want == F.array(F.lit("MULTI")), F.size(have) > 1).when(want == F.array(F.lit("COLORLESS")), F.size(have) == 0).when(F.size(want) == 0, True).otherwise(have == want)
+
+
 def apply(pairs: DataFrame, enabled: dict[str, bool] | None = None, group: tuple[str, ...] = ("probe_id",), fuzzy_ratio: bool = True) -> DataFrame:
     """pairs with ``score``, ``alive`` and ``filters`` (the applied ones).
 
@@ -45,13 +57,11 @@ def apply(pairs: DataFrame, enabled: dict[str, bool] | None = None, group: tuple
     exact, near = _names(F.col("name"), F.col("hint_name"), fuzzy_ratio)
     df = pairs.withColumns({"_exact": F.coalesce(exact, F.lit(False)), "_near": F.coalesce(near, F.lit(False))})
     df = df.withColumn("_any", F.max("_exact").over(Window.partitionBy(*group)))
-    want, have = colour_set(F.col("hint_color").cast("string")), F.filter(colour_set(F.col("color").cast("string")), lambda c: c.isin(*"WUBRG"))
     narrow = hinted["set"] | hinted["collector_number"]
-    cmc = as_int(F.col("cmc"))
     tests = {
         "name": F.when(F.col("_any"), F.col("_exact")).otherwise(F.col("_near")),
-        "color_identity": F.when(want == F.array(F.lit("MULTI")), F.size(have) > 1).when(want == F.array(F.lit("COLORLESS")), F.size(have) == 0).when(F.size(want) == 0, True).otherwise(have == want),
-        "cmc": F.abs(cmc - as_int(F.col("hint_cmc"))) <= F.when(narrow, 0).otherwise(1),
+        "color_identity": _colours(F.col("hint_color").cast("string"), F.coalesce(F.col("color").cast("string"), F.lit(""))),
+        "cmc": cost_fits(F.col("cmc"), F.col("hint_cmc"), narrow),
         "set": F.upper(F.trim("set_code")) == F.upper(F.trim("hint_set")),
         "collector_number": F.lower(F.trim(F.col("number").cast("string"))) == F.lower(F.trim(F.col("hint_number").cast("string"))),
         "type": F.lower("type").contains(F.lower(F.trim("hint_type"))),
@@ -69,6 +79,77 @@ def apply(pairs: DataFrame, enabled: dict[str, bool] | None = None, group: tuple
     return df.withColumns({"score": score.cast("int"), "alive": alive, "filters": filters}).drop("_exact", "_near", "_any")
 
 
+def usable_hints(enabled: dict[str, bool] | None = None) -> dict[str, Column]:
+    """For each enabled filter, whether a row of hints has something for it."""
+    on = {k: True for k in WEIGHTS} | (enabled or {})
+    columns = {"name": "hint_name", "color_identity": "hint_color", "set": "hint_set", "collector_number": "hint_number", "type": "hint_type", "subtype": "hint_subtype"}
+    tests = {k: truthy(F.trim(F.col(c).cast("string"))).isNotNull() for k, c in columns.items()} | {"cmc": as_int(F.col("hint_cmc")).isNotNull()}
+    return {k: t for k, t in tests.items() if on[k]}
+
+
+def hinted(enabled: dict[str, bool] | None = None) -> Column:
+    """Whether a row of hints has one that an enabled filter can use."""
+    tests = list(usable_hints(enabled).values())
+    return F.exists(F.array(*tests), lambda t: t) if tests else F.lit(False)
+
+
+def candidates(hints: DataFrame, catalogue: DataFrame, enabled: dict[str, bool] | None = None, probe: str = "probe_id") -> DataFrame:
+    """Pairs of hints and catalogue rows that hold every pair which ``apply`` leaves alive, for hints with anything to filter by.
+
+    Each probe is blocked by one of its hints, the first of name, number, set,
+    cost, subtype, type and colour that it has and that is enabled: an equi-join on the value, or, for a
+    name, on the distinct names that ``similar_names`` finds, and for types and
+    colours on the distinct values that pass.
+    """
+    text = lambda c: F.trim(F.col(c).cast("string"))
+    contains = lambda a, v: F.lower(v).contains(F.lower(F.trim(a)))
+    whole = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    # of each filter: what is made of the hint and of the row, to be equal
+    keys = {
+        "name": (F.lower(text("hint_name")), F.lower(F.trim("name"))), "collector_number": (F.lower(text("hint_number")), F.lower(text("number"))), "set": (F.upper(text("hint_set")), F.upper(F.trim("set_code"))),
+        "cmc": (as_int(F.col("hint_cmc")), as_int(F.col("cmc"))), "subtype": (F.col("hint_subtype").cast("string"), whole("subTypeName")), "type": (F.col("hint_type").cast("string"), whole("type")), "color_identity": (F.col("hint_color").cast("string"), whole("color")),
+    }
+    usable = {k: v for k, v in usable_hints(enabled).items() if k in keys}
+    blocked = hints.withColumn("_block", F.coalesce(*(F.when(usable[k], k) for k in keys if k in usable), F.lit(None).cast("string")))
+    rows = catalogue.withColumn("_item", F.struct(*catalogue.columns))
+    found = []
+    for k, (asked, value) in keys.items():
+        if k not in usable:
+            continue
+        mine = blocked.where(F.col("_block") == k).select(probe, asked.alias("_h"))
+        theirs = rows.select("_item", value.alias("_v")).where("_v IS NOT NULL")
+        values = theirs.select("_v").distinct()
+        if k == "name":
+            mine = mine.join(similar_names(mine.select("_h").distinct(), values), "_h")
+        elif k == "cmc":
+            mine = mine.withColumn("_v", F.explode(F.array(F.col("_h") - 1, F.col("_h"), F.col("_h") + 1)))
+        elif k in ("collector_number", "set"):
+            mine = mine.withColumn("_v", F.col("_h"))
+        else:  # few distinct values on both sides
+            passes = _colours if k == "color_identity" else contains
+            mine = mine.join(mine.select("_h").distinct().join(values, passes(F.col("_h"), F.col("_v"))), "_h")
+        found.append(mine.select(probe, "_v").join(theirs, "_v").select(probe, "_item"))
+    pairs = reduce(DataFrame.unionAll, found) if found else hints.select(probe).where(F.lit(False)).crossJoin(rows.select("_item").limit(0))
+    return hints.join(pairs, probe).select(*hints.columns, "_item.*")
+
+
+def similar_names(asked: DataFrame, names: DataFrame) -> DataFrame:
+    """(_h, _v): of distinct names in lower case, the pairs that may pass the name filter.
+
+    Names within the allowed edits, or over the similarity ratio, share a
+    padded 3-gram, since what they differ in is too little to break all of
+    their runs; only names under five letters need not, and these meet all of
+    about their length.
+    """
+    most = F.greatest(F.lit(2), F.least(F.lit(4), F.floor(F.length("_h") / 6))).cast("int")
+    a, b = F.length("_h"), F.length("_v")
+    near = within(F.col("_h"), F.col("_v"), most) | (2 * F.least(a, b) >= FUZZY_RATIO * (a + b))
+    asked = asked.where(truthy(F.col("_h")).isNotNull())
+    shared = asked.select("_h", F.explode(grams(F.col("_h"))).alias("_g")).join(names.select("_v", F.explode(grams(F.col("_v"))).alias("_g")), "_g").select("_h", "_v").distinct()
+    short = asked.where(a < 5).select("_h", F.explode(F.sequence(F.greatest(a - 2, F.lit(0)), a + 2)).alias("_l")).join(names.select("_v", b.alias("_l")), "_l").select("_h", "_v")
+    return shared.unionAll(short).where(near).distinct()
+
+
 def diagnostics(applied: DataFrame, group: tuple[str, ...] = ("probe_id",)) -> DataFrame:
     """For each probe: filters used, rows in and rows out."""
     return applied.groupBy(*group).agg(F.max(F.size("filters")).alias("filters_used"), F.max("filters").alias("applied_filters"), F.count("*").alias("input_count"), F.count_if("alive").alias("output_count"))

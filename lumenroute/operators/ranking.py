@@ -26,6 +26,12 @@ def with_outcome(rows: DataFrame, reason: Column) -> DataFrame:
     return rows.withColumns({"fallback_reason": reason, "distance": pick(0), "confidence": pick(1), "metadata_match_score": pick(2), "confidence_level": pick(3), "manual_review_required": pick(4)})
 
 
+def identity(product_id: Column, game: Column, name: Column, number: Column, set_code: Column) -> Column:
+    """What tells items apart: the product's id, else game, name, number and set together."""
+    parts = (F.coalesce(c.cast("string"), F.lit("")) for c in (game, name, number, set_code))
+    return F.coalesce(F.concat(F.lit("id:"), product_id.cast("string")), F.concat(F.lit("row:"), F.to_json(F.array(*parts))))
+
+
 def dedupe(matches: DataFrame, keys: list[str], distance: str, tie: str) -> DataFrame:
     """The nearest match for each key; ties go to the lower tie-break."""
     w = Window.partitionBy(*keys).orderBy(F.col(distance).asc_nulls_last(), F.col(tie).asc_nulls_last())
@@ -97,3 +103,9 @@ def metadata_score(name: Column, resolved: Column, raw: Column, number: Column,
     same = lambda a, b: F.coalesce(F.lower(F.trim(a)) == F.lower(F.trim(b)), F.lit(False)) & (F.trim(b) != "")
     part = lambda test, x: F.when(test, x).otherwise(0)
     return part(same(name, resolved), 120) + part(same(name, raw), 80) + part(same(number, hint_number), 90) + part(same(set_code, hint_set), 85) + part(F.coalesce(cmc == hint_cmc, F.lit(False)), 70)
+
+
+def priority_first(rows: DataFrame, first: Column, others: Column, key: str, order: list[Column | str], n: int) -> DataFrame:
+    """A sample of n rows, each key once: those that pass the first test, then those that pass the other, in order."""
+    kept = rows.where(F.coalesce(first, F.lit(False)) | F.coalesce(others, F.lit(False))).dropDuplicates([key])
+    return kept.orderBy(F.when(first, 0).otherwise(1), *order).limit(n)

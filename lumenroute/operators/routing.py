@@ -128,3 +128,16 @@ def allocate_dynamic(items: DataFrame, label: str, order: list[str], trays: int
     ranked = claims.withColumn("_rank", F.row_number().over(Window.orderBy("_lead")))
     trays_of = ranked.select(label, "_part", F.when(F.col("_rank") <= trays, F.col("_rank")).cast("int").alias("tray"))
     return placed.join(trays_of, [label, "_part"], "left").drop("_part", "_lead")
+
+
+def guarded(commands: DataFrame, order: list[Column], machine: str = "machine", column: str = "command") -> DataFrame:
+    """commands with ``outcome``: trays sort only while the machine is started, manual controls work only while it is stopped.
+
+    The machine is stopped at first; its state is the last start or stop command before, in the given order.
+    """
+    manual = F.col(column).isin("CalibrateX1", "CalibrateX2", "CalibrateY1", "CalibrateY2", "HomeButton")
+    switch = F.when(F.col(column) == "StartMachine", True).when(F.col(column) == "StopMachine", False)
+    before = F.coalesce(F.last(switch, ignorenulls=True).over(Window.partitionBy(machine).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
+    return commands.withColumn("_on", before).withColumn(
+        "outcome", F.when(switch.isNotNull(), "switched").when(manual & F.col("_on"), "refused: started").when(~manual & ~F.col("_on"), "refused: stopped").otherwise("done")
+    ).drop("_on")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exploring, matching, recording, routing, texts  # noqa: F401
+from . import diagnosing, exploring, matching, recording, routing, texts  # noqa: F401
 from .registry import ORACLES, QUERIES, Query
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import ranking
 from ..sources import catalogue as source
 from ..sources import sinks
 from .registry import CARDS, cards, query, read
@@ -64,8 +65,7 @@ def overlay_union(spark, d):
 @query("priority_sample", f"WITH {CARDS} SELECT product_id, name FROM c WHERE lower(name) LIKE '%bolt%' OR lower(name) LIKE '%ring%' ORDER BY CASE WHEN lower(name) LIKE '%bolt%' THEN 0 ELSE 1 END, name, p_partkey LIMIT 100")
 def priority_sample(spark, d):
     bolt = F.lower("name").contains("bolt")
-    out = cards(spark, d).where(bolt | F.lower("name").contains("ring")).dropDuplicates(["product_id"])
-    return out.orderBy(F.when(bolt, 0).otherwise(1), "name", "p_partkey").limit(100).select("product_id", "name")
+    return ranking.priority_first(cards(spark, d), bolt, F.lower("name").contains("ring"), "product_id", ["name", "p_partkey"], 100).select("product_id", "name")
 
 
 @query("hash_sample", "SELECT p_partkey FROM part ORDER BY md5(p_partkey::VARCHAR), p_partkey LIMIT 50")

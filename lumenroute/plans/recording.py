@@ -93,14 +93,12 @@ def inventory_anti(spark, d):
 
 @query("running_avg", "SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 9) AS mean FROM events")
 def running_avg(spark, d):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return read(spark, d, "events").select("event_id", F.round(F.avg("value").over(w), 9).alias("mean"))
+    return gate.running_mean(read(spark, d, "events"), "user_id", "value", ["ts", "event_id"]).select("event_id", F.round("mean", 9).alias("mean"))
 
 
 @query("state_change", "SELECT event_id, event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events) WHERE p IS DISTINCT FROM event_type")
 def state_change(spark, d):
-    before = F.lag("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    return read(spark, d, "events").withColumn("p", before).where(~F.col("p").eqNullSafe(F.col("event_type"))).select("event_id", "event_type")
+    return gate.state_changes(read(spark, d, "events"), "user_id", "event_type", ["ts", "event_id"]).select("event_id", "event_type")
 
 
 _FRAMES = "(1, '<Sensors,xmin=1,xmax=0,home=1>'), (2, '<OK>'), (3, 'noise'), (4, '<Params,speed=250,accel=90>')"

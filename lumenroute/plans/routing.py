@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import values
 from ..operators import image, routing
+from ..streaming import gate
 from .registry import CARDS, cards, inline, query, read
 
 _COLOUR = "(1, 'Creature', 'Elf', 'G'), (2, 'Basic Land', 'Forest', ''), (3, 'Land', 'Mutavault', NULL), (4, 'Instant', 'Trophy', 'B,G'), (5, NULL, 'Ring', NULL), (6, 'Artifact', 'Ring', ''), (7, 'Sorcery', 'X', 'WU')"
@@ -110,10 +111,7 @@ def tray_first_fit(spark, d):
 
 @query("every_nth", "SELECT user_id, event_id, n AS up_count FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)::BIGINT AS n FROM events) WHERE n % 10 = 0")
 def every_nth(spark, d):
-    from pyspark.sql import Window
-
-    n = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("bigint")
-    return read(spark, d, "events").select("user_id", "event_id", n.alias("up_count")).where("up_count % 10 = 0")
+    return gate.every_nth(read(spark, d, "events"), "user_id", ["ts", "event_id"], 10).select("user_id", "event_id", "up_count")
 
 
 @query("preset_crop", """SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN round_even((100 + doc_id % 900) * 0.08::DOUBLE, 0)::BIGINT ELSE -1 END AS x1, CASE WHEN doc_id % 5 = 0 THEN round_even((100 + doc_id % 900) * 0.92::DOUBLE, 0)::BIGINT ELSE -1 END AS x2 FROM documents""")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text, values
@@ -15,21 +14,19 @@ _OCR = """(1, 'Dower Sink'), (2, 'Dee sey'), (3, '  the DEE  river '), (4, 'Urza
 
 @query("name_exact_ci", f"WITH {CARDS} SELECT product_id, name FROM c WHERE lower(name) = lower('RED Widget')")
 def name_exact_ci(spark, d):
-    return cards(spark, d).where(F.lower("name") == F.lower(F.lit("RED Widget"))).select("product_id", "name")
+    return resolve.exact_names(cards(spark, d), "RED Widget").select("product_id", "name")
 
 
 @query("name_token_candidates", f"WITH {CARDS} SELECT DISTINCT name FROM c WHERE lower(name) LIKE '%bolt%' ORDER BY name LIMIT 80")
 def name_token_candidates(spark, d):
-    return cards(spark, d).where(F.lower("name").contains("bolt")).select("name").distinct().orderBy("name").limit(80)
+    return resolve.names_with(cards(spark, d), "bolt", 80)
 
 
 @query("token_block_join", f"""WITH {CARDS}, n AS (SELECT DISTINCT name FROM c), t AS (SELECT name, unnest(string_split(name, ' ')) AS tok FROM n), q AS (SELECT p_partkey, unnest(string_split(name, ' ')) AS tok FROM c WHERE p_partkey % 100 = 0)
 SELECT p_partkey, name, count(DISTINCT q.tok)::BIGINT AS shared FROM q JOIN t USING (tok) GROUP BY ALL""")
 def token_block_join(spark, d):
     c = cards(spark, d)
-    names = c.select("name").distinct().select("name", F.explode(F.split("name", " ")).alias("tok"))
-    asked = c.where("p_partkey % 100 = 0").select("p_partkey", F.explode(F.split("name", " ")).alias("tok"))
-    return asked.join(names, "tok").groupBy("p_partkey", "name").agg(F.countDistinct("tok").alias("shared"))
+    return resolve.shared_words(c.where("p_partkey % 100 = 0").select("p_partkey", F.col("name").alias("said")), c, "p_partkey", "said")
 
 
 @query("top_tokens", f"""WITH w AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z'']{{4,}}'))) AS w FROM documents WHERE lang = 'en'), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length(w) DESC, w) AS n FROM w)
@@ -84,11 +81,8 @@ def mana_to_cmc(spark, d):
 @query("ocr_candidate_pick", """WITH t AS (SELECT doc_id % 50 AS grp, doc_id, left(text, 40) AS s FROM documents), u AS (SELECT grp, doc_id, length(regexp_replace(s, '[^A-Za-z]', '', 'g')) AS l, length(regexp_replace(s, '[^A-Za-z]', '', 'g')) / greatest(length(s), 1) AS r FROM t)
 SELECT grp, doc_id, l::BIGINT AS letters FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY r DESC, l DESC, doc_id) AS n FROM u WHERE l >= 4 AND r >= 0.4) WHERE n = 1""")
 def ocr_candidate_pick(spark, d):
-    s = F.substring("text", 1, 40)
-    count = F.length(F.regexp_replace(s, "[^A-Za-z]", ""))
-    t = read(spark, d, "documents").select((F.col("doc_id") % 50).alias("grp"), "doc_id", count.cast("bigint").alias("letters"), (count / F.greatest(F.length(s), F.lit(1))).alias("r"))
-    w = Window.partitionBy("grp").orderBy(F.desc("r"), F.desc("letters"), "doc_id")
-    return t.where("letters >= 4 AND r >= 0.4").withColumn("n", F.row_number().over(w)).where("n = 1").select("grp", "doc_id", "letters")
+    t = read(spark, d, "documents").select((F.col("doc_id") % 50).alias("grp"), "doc_id", F.substring("text", 1, 40).alias("s"))
+    return resolve.best_readings(t, "grp", "s", "doc_id").select("grp", "doc_id", "letters")
 
 
 @query("sanitize_filename", """SELECT id::BIGINT AS id, coalesce(nullif(trim(regexp_replace(s, '[<>:"/\\\\|?*]', '_', 'g')), ''), 'unnamed_file') AS file FROM (VALUES (1, 'a<b>:c'), (2, ''), (3, '  '), (4, 'x/y|z?*.jpg'), (5, 'plain.png')) AS t(id, s)""")
@@ -123,9 +117,10 @@ def color_normalize(spark, d):
 @query("cf_name_fuzzy", f"WITH {CARDS}, q AS (SELECT DISTINCT name AS said FROM c WHERE p_partkey < 40) SELECT DISTINCT said, name FROM q, c WHERE levenshtein(lower(said), lower(name)) <= greatest(2, least(4, length(said) // 6))")
 def cf_name_fuzzy(spark, d):
     c = cards(spark, d)
-    said = c.where("p_partkey < 40").select(F.col("name").alias("said")).distinct()
-    most = F.greatest(F.lit(2), F.least(F.lit(4), F.floor(F.length("said") / 6))).cast("int")
-    return c.select("name").distinct().join(F.broadcast(said), within(F.lower("said"), F.lower("name"), most))
+    said = c.where("p_partkey < 40").select(F.lower("name").alias("_h")).distinct()
+    most = F.greatest(F.lit(2), F.least(F.lit(4), F.floor(F.length("_h") / 6))).cast("int")
+    pairs = metafilter.similar_names(said, c.select(F.lower("name").alias("_v")).distinct())
+    return pairs.where(within(F.col("_h"), F.col("_v"), most)).select(F.col("_h").alias("said"), F.col("_v").alias("name"))
 
 
 def _hinted(spark, d):
@@ -156,22 +151,24 @@ def cf_diagnostics(spark, d):
 
 @query("cf_cmc_tolerance", f"WITH {CARDS} SELECT product_id, abs(cmc - 7) <= 1 AS loose, cmc = 7 AS strict FROM c WHERE abs(cmc - 7) <= 3")
 def cf_cmc_tolerance(spark, d):
-    n = F.abs(values.as_int(F.col("cmc")) - 7)
-    return cards(spark, d).where(n <= 3).select("product_id", (n <= 1).alias("loose"), (n == 0).alias("strict"))
+    fits = lambda narrow: metafilter.cost_fits(F.col("cmc"), F.lit(7), F.lit(narrow))
+    return cards(spark, d).where("abs(cmc - 7) <= 3").select("product_id", fits(False).alias("loose"), fits(True).alias("strict"))
 
 
-@query("known_set_codes", f"WITH {CARDS} SELECT code FROM (VALUES ('Brand#1'), (' brand#2 '), ('B#3'), ('BRAND'), ('')) AS v(code) WHERE length(trim(code)) BETWEEN 2 AND 7 AND upper(trim(code)) IN (SELECT upper(trim(set_code)) FROM c)")
+_CODES = "('B#11'), (' b#2 '), ('B#3'), ('B#13'), ('B#1234'), ('B#12345'), ('BRAND'), ('B'), ('')"
+
+
+@query("known_set_codes", f"WITH {CARDS} SELECT code FROM (VALUES {_CODES}) AS v(code) WHERE length(trim(code)) BETWEEN 2 AND 6 AND upper(trim(code)) IN (SELECT upper('b' || substr(set_code, 6)) FROM c)")
 def known_set_codes(spark, d):
-    codes = inline(spark, "('Brand#1'), (' brand#2 '), ('B#3'), ('BRAND'), ('')", "code")
-    known = cards(spark, d).select(F.upper(F.trim("set_code")).alias("k")).distinct()
-    return codes.where(F.length(F.trim("code")).between(2, 7)).join(known, F.upper(F.trim("code")) == F.col("k"), "left_semi")
+    c = cards(spark, d).withColumn("set_code", F.concat(F.lit(" b"), F.substring("set_code", 6, 10)))
+    return resolve.known_codes(inline(spark, _CODES, "code"), c)
 
 
 @query("stage1_semi", f"WITH {CARDS} SELECT vec_id, label FROM embeddings WHERE vec_id::VARCHAR IN (SELECT product_id FROM c WHERE type = 'PROMO')")
 def stage1_semi(spark, d):
-    keep = cards(spark, d).where("type = 'PROMO'").select("product_id")
+    applied = cards(spark, d).select(F.lit(1).alias("probe_id"), "product_id", (F.col("type") == "PROMO").alias("alive"))
     e = read(spark, d, "embeddings").select("vec_id", "label").withColumn("product_id", F.col("vec_id").cast("string"))
-    return e.join(keep, "product_id", "left_semi").select("vec_id", "label")
+    return metafilter.prefilter(e, applied).select("vec_id", "label")
 
 
 @query("enrich_left", f"""WITH {CARDS}, r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY p_partkey DESC) AS n FROM c), m AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'red bolt' WHEN event_id % 3 = 1 THEN 'no part' ELSE 'small ring' END AS nm, 'old' AS set_code FROM events WHERE event_id < 300)
@@ -205,6 +202,25 @@ def resolve_names(spark, d):
     return resolve.resolve_names(said, c, "p_partkey", "said")
 
 
+@query("resolve_names_exact", f"WITH {CARDS} SELECT p_partkey, name AS resolved FROM c WHERE p_partkey % 40 = 0 AND p_partkey % 80 <> 0")
+def resolve_names_exact(spark, d):
+    """Names in capitals, resolved; nonsense isn't."""
+    c = cards(spark, d)
+    said = F.when(F.col("p_partkey") % 80 == 0, "qqqq zzzz").otherwise(F.upper("name"))
+    return resolve.resolve_names(c.where("p_partkey % 40 = 0").select("p_partkey", said.alias("said")), c, "p_partkey", "said")
+
+
+@query("similar_words", f"""WITH {CARDS}, w AS (SELECT DISTINCT unnest(string_split(name, ' ')) AS w FROM c), t AS (SELECT DISTINCT substr(w, 2) AS t FROM w UNION SELECT w || 's' FROM w)
+SELECT t AS token, w AS word FROM t, w WHERE length(t) >= 3 AND length(w) >= 3 AND (contains(w, t) OR contains(t, w) OR levenshtein(t, w) <= 2)
+  AND len(list_intersect(list_transform(range(1, length(t) - 1), lambda k: substr(t, k, 3)), list_transform(range(1, length(w) - 1), lambda k: substr(w, k, 3)))) > 0""")
+def similar_words(spark, d):
+    """Words that lost their first letter or gained one, with the catalogue's words they may stand for."""
+    words = cards(spark, d).select(F.explode(F.split("name", " ")).alias("_w")).distinct().where("length(_w) >= 3")
+    every = cards(spark, d).select(F.explode(F.split("name", " ")).alias("_w")).distinct()
+    tokens = every.select(F.expr("substring(_w, 2)").alias("_t")).union(every.select(F.concat("_w", F.lit("s")))).distinct().where("length(_t) >= 3")
+    return resolve.similar_words(tokens, words).select(F.col("_t").alias("token"), F.col("_w").alias("word"))
+
+
 @query("resolve_metadata", f"""WITH {CARDS}, q AS (SELECT p_partkey AS k, name AS resolved, set_code AS hs, cmc AS hc FROM c WHERE p_partkey % 20 = 0),
 s AS (SELECT k, product_id, max(200 + CASE WHEN lower(c.set_code) = lower(hs) THEN 85 ELSE 0 END + CASE WHEN cmc = hc THEN 70 ELSE 0 END)::BIGINT AS score FROM q JOIN c ON lower(resolved) = lower(name) WHERE cmc = hc GROUP BY ALL), t AS (SELECT *, max(score) OVER (PARTITION BY k) AS top FROM s)
 SELECT k, min(product_id) AS product_id, min(score) AS score FROM t WHERE score = top GROUP BY k HAVING count(*) = 1 AND min(score) >= 190""")

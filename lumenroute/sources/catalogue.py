@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,7 +77,7 @@ def with_tables(game_rows: DataFrame, mapping: DataFrame | None = None) -> DataF
     """The table of each game by the mapping, which drops games it lacks; without one, by the id."""
     if mapping is None:
         return game_rows.withColumn("table_name", F.concat(F.lit("cards_"), F.col("id").cast("string")))
-    return game_rows.join(F.broadcast(mapping.select(F.col("game_name").alias("name"), "table_name")), "name")
+    return game_rows.join(mapping.select(F.col("game_name").alias("name"), "table_name"), "name")
 
 
 def indexed_games(game_rows: DataFrame, files: DataFrame, pattern: str = r"index_(\d+)") -> DataFrame:
@@ -84,8 +86,48 @@ def indexed_games(game_rows: DataFrame, files: DataFrame, pattern: str = r"index
     return game_rows.join(ids, "id", "left_semi")
 
 
+def index_files(spark: SparkSession, folder: str, pattern: str = "index_*") -> DataFrame:
+    """(path) of the index files or folders in a folder, by a glob pattern."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{pattern}")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
+    return spark.createDataFrame([(x.getPath().toString(),) for x in found], "path string")
+
+
+def metadata(catalogue: DataFrame, custom: DataFrame | None = None, game_id: int = 0, game: str = "") -> DataFrame:
+    """The columns that hints are matched with, of rows that have a product id, with the overlay's items; to be persisted by a caller who reuses it."""
+    rows = conform(catalogue)
+    rows = rows if custom is None else with_overlay(rows, custom, game_id, game)
+    return rows.where(F.col("product_id").isNotNull()).select("product_id", "name", "color", "cmc", "set_code", "number", "type", "subTypeName")
+
+
+def preloaded(index: DataFrame) -> DataFrame:
+    """The index rows that have hashes, kept in the executors' memory and disk for repeated scans."""
+    return index.where(F.col("r_phash").isNotNull()).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def index_rows(index: DataFrame) -> DataFrame:
+    """The columns of an index, in the canonical names, that are there; only those are read."""
+    wanted = [x for x in CATALOGUE if x.name in ("product_id", "name", "number", "set_code", "rarity", "subTypeName", "market_price", "low_price", "game") or x.name.endswith("_phash")]
+    return conform(index, tuple(wanted))
+
+
+def sampled_mapping(tables: dict[str, DataFrame]) -> DataFrame:
+    """(table_name, game) by one row of each table, the first by its product id."""
+    firsts = [conform(t).select(F.lit(name).alias("table_name"), "game", "product_id").orderBy("product_id").limit(1).select("table_name", "game") for name, t in sorted(tables.items())]
+    return reduce(DataFrame.unionAll, firsts)
+
+
+def counts_like(tables: dict[str, DataFrame], pattern: str) -> DataFrame:
+    """(table_name, n): the rows of each table whose name holds a pattern, in any case; 0 where none does."""
+    held = [conform(t).select(F.lit(name).alias("table_name"), F.coalesce(F.lower("name").contains(pattern.lower()), F.lit(False)).alias("hit")) for name, t in sorted(tables.items())]
+    return reduce(DataFrame.unionAll, held).groupBy("table_name").agg(F.count_if("hit").alias("n"))
+
+
 def overlay(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON list of custom items."""
+    """A JSON list of custom items; a file whose top level is no list has none."""
+    whole = spark.read.text(path, wholetext=True).where(F.col("value").rlike(r"^\s*\["))
+    if whole.isEmpty():
+        return spark.createDataFrame([], "product_id string, name string, game_id string, game string")
     return spark.read.option("multiLine", True).option("mode", "PERMISSIVE").json(path)
 
 
@@ -102,25 +144,26 @@ def with_overlay(catalogue: DataFrame, custom: DataFrame, game_id: int, game: st
 
 
 def images(spark: SparkSession, folder: str, recursive: bool = False) -> DataFrame:
-    """(path, length, modificationTime, content) of image files by suffix; a missing folder is an error."""
+    """(path, length, modificationTime, content) of image files by suffix, sorted by name; a missing folder is an error."""
     read = spark.read.format("binaryFile").option("recursiveFileLookup", recursive)
-    return read.load(folder).where(F.regexp_extract(F.lower("path"), r"(\.[a-z]+)$", 1).isin(*IMAGE_SUFFIXES))
+    return read.load(folder).where(F.regexp_extract(F.lower("path"), r"(\.[a-z]+)$", 1).isin(*IMAGE_SUFFIXES)).orderBy("path")
 
 
 def to_fetch(remote: DataFrame, local: DataFrame) -> DataFrame:
     """Remote files (file_id, name, length) that no local file has by name and size; an unknown size fits any."""
-    known = local.select(F.col("name").alias("_n"), F.col("length").alias("_l"))
+    known = local.select(F.col("name").alias("_n"), F.col("length").alias("_l")).distinct()
     wanted = F.concat_ws("_", "file_id", F.regexp_replace("name", r'[<>:"/\\|?*]', "_"))
-    fits = ((F.col("_n") == wanted) | (F.col("_n") == F.col("name"))) & (F.col("length").isNull() | (F.col("length") == F.col("_l")))
-    return remote.join(known, fits, "left_anti")
+    asked = remote.select("file_id", "name", "length", F.explode(F.array(wanted, F.col("name"))).alias("_n"))
+    there = asked.join(known, "_n").where(F.col("length").isNull() | (F.col("length") == F.col("_l"))).select("file_id", F.col("name").alias("_name")).distinct()
+    return remote.join(there, (remote["file_id"] == there["file_id"]) & remote["name"].eqNullSafe(there["_name"]), "left_anti")
 
 
 def collection(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A stored collection; an unreadable or missing one is empty."""
+    """A stored collection; a missing one is empty, and of a corrupt one the rows that can't be read are left out."""
     from pyspark.errors import AnalysisException
 
     try:
-        return spark.read.schema(schema).json(path)
+        return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
     except AnalysisException:
         return spark.createDataFrame([], schema)
 

@@ -64,13 +64,39 @@ def required_confirmations(fallback_reason: Column, review: Column) -> Column:
     return F.when(relaxed | F.coalesce(review, F.lit(False)), 3).otherwise(2)
 
 
-def runs(observations: DataFrame, camera: str, key: str, ts: str, tie: str, timeout: float) -> DataFrame:
-    """observations with ``run_position``: the count of the gate, by window functions alone."""
+def runs(observations: DataFrame, camera: str, key: str, ts: str, tie: str, timeout: float, manual: str | None = None) -> DataFrame:
+    """observations with ``run_position``: the count of the gate, by window functions alone.
+
+    Rows without a key count 0 and manual ones 1; neither ends a run.
+    """
+    by_hand = F.coalesce(F.col(manual), F.lit(False)) if manual else F.lit(False)
+    counts = truthy(F.col(key)).isNotNull() & ~by_hand
     w = Window.partitionBy(camera).orderBy(ts, tie)
+    keyed = observations.where(counts)
     gap = F.unix_micros(F.col(ts).cast("timestamp")) - F.lag(F.unix_micros(F.col(ts).cast("timestamp"))).over(w)
     new = F.coalesce((F.col(key) != F.lag(key).over(w)) | (gap > F.lit(int(timeout * 1_000_000))), F.lit(True))
-    marked = observations.withColumn("_run", F.sum(new.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return marked.withColumn("run_position", F.row_number().over(Window.partitionBy(camera, "_run").orderBy(ts, tie))).drop("_run")
+    marked = keyed.withColumn("_run", F.sum(new.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    placed = marked.withColumn("run_position", F.row_number().over(Window.partitionBy(camera, "_run").orderBy(ts, tie))).drop("_run")
+    return placed.unionByName(observations.where(~counts).withColumn("run_position", F.when(by_hand, 1).otherwise(0)))
+
+
+def state_changes(observations: DataFrame, camera: str, state: str, order: list[str]) -> DataFrame:
+    """The observations whose state isn't that of the one before."""
+    before = F.lag(state).over(Window.partitionBy(camera).orderBy(*order))
+    started = F.row_number().over(Window.partitionBy(camera).orderBy(*order)) == 1
+    return observations.withColumns({"_before": before, "_started": started}).where(F.col("_started") & F.col(state).isNotNull() | ~F.col("_before").eqNullSafe(F.col(state))).drop("_before", "_started")
+
+
+def every_nth(observations: DataFrame, camera: str, order: list[str], n: int, count: str = "up_count") -> DataFrame:
+    """Every n-th observation of a camera, with its number."""
+    number = F.row_number().over(Window.partitionBy(camera).orderBy(*order)).cast("bigint")
+    return observations.withColumn(count, number).where(F.col(count) % n == 0)
+
+
+def running_mean(observations: DataFrame, camera: str, value: str, order: list[str], mean: str = "mean") -> DataFrame:
+    """observations with the mean of the values up to each."""
+    w = Window.partitionBy(camera).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return observations.withColumn(mean, F.avg(value).over(w))
 
 
 def _decide(frame: pd.DataFrame, state: State, timeout: float, cooldown: float) -> tuple[pd.DataFrame, State]:
@@ -87,13 +113,24 @@ _OUT = "obs_id long, camera string, ts timestamp, key string, accepted boolean,
 
 
 def fold(observations: DataFrame, timeout: float = 8.0, cooldown: float = 12.0) -> DataFrame:
-    """Decisions on (obs_id, camera, ts, key, required, manual), the whole history of a camera in one group."""
+    """Decisions on (obs_id, camera, ts, key, required, manual).
+
+    After a pause between keyed observations that is longer than both timeout
+    and cooldown nothing is left of the state, so a camera's history is cut
+    there, and each stretch is a group of its own.
+    """
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         out, _ = _decide(frame, State(), timeout, cooldown)
         return out[["obs_id", "camera", "ts", "key", "accepted", "count"]]
 
-    return observations.groupBy("camera").applyInPandas(run, _OUT)
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    keyed = truthy(F.col("key")).isNotNull() & ~F.coalesce(F.col("manual"), F.lit(False))
+    w = Window.partitionBy("camera").orderBy("ts", "obs_id")
+    before = F.last(F.when(keyed, at), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    new = F.coalesce(keyed & (at - before > int(max(timeout, cooldown) * 1_000_000)), F.lit(False))
+    cut = observations.withColumn("_new", new).withColumn("_stretch", F.sum(F.col("_new").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return cut.groupBy("camera", "_stretch").applyInPandas(run, _OUT)
 
 
 class GateProcessor(StatefulProcessor):

@@ -1,3 +1,4 @@
+import os
 import sys
 from pathlib import Path
 
@@ -5,6 +6,7 @@ import pytest
 from pyspark.sql import SparkSession
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+os.environ["PYTHONPATH"] = os.pathsep.join([str(Path(__file__).resolve().parent), *filter(None, [os.environ.get("PYTHONPATH")])])  # workers import plug-ins for tests
 
 
 @pytest.fixture(scope="session")

@@ -78,3 +78,26 @@ def test_first_seen_on_a_stream(spark, tmp_path):
     q = gate.first_seen_stream(stream, ["camera", "key"]).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(str(tmp_path / "out"))
     q.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == df.select("camera", "key").distinct().count()
+
+
+def test_rows_without_a_key_and_manual_ones_do_not_end_a_run(spark):
+    rows = [(1, "c", 0, "a", False), (2, "c", 1, None, False), (3, "c", 2, "a", False), (4, "c", 3, "b", True), (5, "c", 4, "a", False), (6, "c", 30, "a", False), (7, "c", 31, "", False)]
+    df = spark.createDataFrame(rows, "obs_id long, camera string, at int, key string, manual boolean").withColumn("ts", F.timestamp_seconds("at"))
+    got = {r.obs_id: r.run_position for r in gate.runs(df, "camera", "key", "ts", "obs_id", 8.0, "manual").collect()}
+    want = {r.obs_id: r["count"] for r in gate.fold(df.withColumn("required", F.lit(2))).collect()}
+    assert got == want == {1: 1, 2: 0, 3: 2, 4: 1, 5: 3, 6: 1, 7: 0}
+
+
+def test_cutting_a_history_at_pauses_changes_nothing(spark):
+    rng = random.Random(3)
+    rows, at = [], 0.0
+    for k in range(300):
+        at += rng.choice([0.5, 1, 3, 9, 11, 13, 40])
+        rows.append((k, "c", at, rng.choice(["a", "b", None]), rng.random() < 0.1, 2))
+    df = spark.createDataFrame(rows, "obs_id long, camera string, at double, key string, manual boolean, required int").withColumn("ts", F.timestamp_seconds("at"))
+    got = {r.obs_id: (r.accepted, r["count"]) for r in gate.fold(df).collect()}
+    state, want = gate.State(), {}
+    for k, _, t, key, manual, required in rows:
+        state, ok, n = gate.step(state, key, required, t, manual)
+        want[k] = (ok, n)
+    assert got == want

@@ -33,3 +33,12 @@ def test_nearest_prefers_the_lower_item(spark):
     p = spark.createDataFrame([(1, [0.0, 0.0])], "probe int, pe array<float>")
     i = spark.createDataFrame([(3, [1.0, 0.0]), (2, [0.0, 1.0]), (4, [5.0, 5.0])], "item int, e array<float>")
     assert hashing.nearest(p, i, "probe", "item", "e", "pe").collect() == [(1, 2, 1.0)]
+
+
+def test_all_ways_of_the_threshold_join_agree(spark):
+    rng = spark.range(300)
+    items = rng.select(F.col("id").alias("item"), F.xxhash64("id").alias("h"))
+    probes = rng.where("id < 90").select(F.col("id").alias("probe"), F.xxhash64(F.col("id") + 7).alias("p"))
+    d = hashing.word_hamming(F.col("h"), F.col("p"))
+    got = [sorted(map(tuple, hashing.threshold_join(probes, items, d, 24, first=d, **ways).select("item", "probe").collect())) for ways in ({}, {"broadcast_probes": 5}, {"broadcast_probes": 5, "broadcast_items": 5, "cell": 20})]
+    assert got[0] == got[1] == got[2] and len(got[0]) > 90

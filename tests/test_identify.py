@@ -23,7 +23,8 @@ def test_branches(spark):
         (3, None, "Sol Rinq", None, None),  # two of this name: the name alone
         (4, None, "lightning bolt", None, None),  # a unique name
         (5, None, None, None, None),  # nothing
-        (6, A, "Nothing Like It", None, None),  # the filter leaves nothing
+        (6, A, "Nothing Like It", None, None),  # the filter leaves nothing, and the name is no item's
+        (7, C, "x1 ##", None, None),  # no name either
     ]
     got = {}
     for r in identify(*setup(spark, probes)).orderBy("probe_id", "rank").collect():
@@ -34,7 +35,10 @@ def test_branches(spark):
     assert {r.fallback_reason for r in got[2]} == {"no_match_at_strict_threshold"} and all(r.manual_review_required and r.confidence_level == "low" for r in got[2])
     assert got[3][0].fallback_reason == "ocr_name_only" and got[3][0].confidence == 55 and got[3][0].manual_review_required
     assert got[4][0].fallback_reason == "ocr_metadata_unique" and got[4][0].distance == 998 and got[4][0].confidence == 97
-    assert 5 not in got and 6 not in got
+    assert 5 not in got
+    assert [(r.product_id, r.name, r.fallback_reason) for r in got[6]] == [(None, "Nothing Like It", "ocr_name_only")]
+    assert [(r.product_id, r.name, r.fallback_reason, r.confidence) for r in got[7]] == [(None, "x1 ##", "ocr_name_only_noisy", 45)]
+    assert got[3][0].product_id is None and got[3][0].name == "Sol Ring"
 
 
 def test_filters_pass_unknown_values(spark):
@@ -47,3 +51,40 @@ def test_hints_narrow_the_hashes(spark):
     p, catalogue, index = setup(spark, [(1, B, None, "M10", None)])
     rows = identify(p, catalogue, index).collect()
     assert [(r.product_id, r.metadata_match_score) for r in rows] == [("1", 80)]
+
+
+def test_ways_in(spark):
+    probes = [(1, A, "lightning bolt", None, None), (2, A, "Sol Rinq", None, None), (3, A, None, None, None)]
+    p, catalogue, index = setup(spark, probes)
+    reasons = lambda rows: {r.probe_id: r.fallback_reason for r in rows.where("rank = 1").collect()}
+    assert reasons(identify(p, catalogue, index, Options(mode="file"))) == {1: "ocr_fast_path", 2: "ocr_name_only", 3: None}
+    assert reasons(identify(p, catalogue, index, Options(mode="live"))) == {1: "ocr_fast_path_live", 2: "ocr_name_primary_live", 3: None}
+    two = catalogue.withColumn("game", F.col("product_id"))
+    said = "Whenever this creature deals combat damage draw a card then discard a card"
+    told = p.withColumn("rules_text", F.when(F.col("probe_id") == 3, said))
+    described = two.withColumn("description", F.when(F.col("product_id") == "2", said + ".").otherwise("Something else altogether that shares nothing much with the other"))
+    assert reasons(identify(told, described, index, Options(mode="live"))) == {1: "ocr_fast_path_live", 2: "ocr_name_only_live", 3: "ocr_rules_text_live"}
+
+
+def test_a_close_name_or_a_hint_gives_the_item(spark):
+    p, catalogue, index = setup(spark, [(1, None, "Sol Ring", None, None), (2, None, "Sol Rinq", None, 1), (3, None, "Sol Ring", "CMM", None)])
+    got = {r.probe_id: (r.fallback_reason, r.product_id, r.confidence) for r in identify(p, catalogue, index).collect()}
+    assert got == {1: ("metadata_name_only", "3", 60), 2: ("metadata_name_only", "3", 60), 3: ("ocr_metadata_unique", "3", 97)}
+
+
+def test_grey_mode_and_fetched_hashes(spark):
+    p, catalogue, index = setup(spark, [(1, A, None, None, None)])
+    grey = index.withColumn("grayscale_phash", F.when(F.col("product_id") == "2", A))
+    assert [r.product_id for r in identify(p, catalogue, grey, Options(grayscale=True)).collect()] == ["2"]
+    p, catalogue, index = setup(spark, [(1, A, "Sol Rinq", None, None)])
+    pictured = catalogue.withColumn("image_url", F.concat(F.lit("u"), "product_id"))
+    assert [r.fallback_reason for r in identify(p, catalogue, index.limit(0)).collect()] == ["ocr_name_only"]
+    assert sorted(r.product_id for r in identify(p, pictured, index.limit(0), Options(fetch="plugins_for_tests:hashes_of")).collect()) == ["3", "4"]
+
+
+def test_a_lost_first_letter_is_found(spark):
+    from lumenroute.operators.resolve import resolve_names
+
+    catalogue = spark.createDataFrame([("Thunderbolt",), ("Counterspell",)], "name string")
+    said = spark.createDataFrame([(1, "hunderbolt"), (2, "thunderbol"), (3, "ounterspell"), (4, "zzz yyy")], "k int, said string")
+    assert {r.k: r.resolved for r in resolve_names(said, catalogue, "k", "said").collect()} == {1: "Thunderbolt", 2: "Thunderbolt", 3: "Counterspell"}

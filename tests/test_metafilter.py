@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from lumenroute.operators import metafilter
@@ -60,3 +62,26 @@ def test_toggle(spark):
 def test_no_match(spark):
     rows = run(spark, name="Definitely Not A Card")
     assert alive(rows) == [] and all(len(r.filters) >= 1 for r in rows.values())
+
+
+def test_blocked_pairs_leave_what_all_pairs_leave(spark):
+    """Random hints of every kind, names with edits included, against the cross join."""
+    rng = random.Random(5)
+    names = ["Bolt", "Lightning Bolt", "Lightning Blot", "Sol Ring", "Counterspell", "Ring", "Soul Ring of Sols", "Ab", "abc", "Assassin's Trophy", None, ""]
+    cards = [(str(k), rng.choice(names), rng.choice(["W", "U,B", None, "", "Colorless"]), rng.choice(["1", "2", "x", None]), rng.choice(["M10", "7ed", None]), rng.choice(["1", "1A", None]), rng.choice(["Instant", "Basic Land", None]), rng.choice(["Foil", "Normal", None])) for k in range(60)]
+    df = spark.createDataFrame(cards, "product_id string, name string, color string, cmc string, set_code string, number string, type string, subTypeName string")
+
+    def edited(n):
+        if n and rng.random() < 0.6:
+            k = rng.randrange(len(n))
+            n = n[:k] + rng.choice(["", "z", n[k] + "y"]) + n[k + 1 :]
+        return n
+
+    some = lambda v, p=0.3: v if rng.random() < p else None
+    hints = [(k, some(edited(rng.choice(names)), 0.5), some(rng.choice(["W", "multi", "colorless", "??", " "])), some(rng.randrange(4)), some(rng.choice(["m10", "7ED", "no"])), some(rng.choice(["1", "1a"])), some(rng.choice(["land", "INST", ""])), some("foil")) for k in range(80)]
+    asked = spark.createDataFrame(hints, "probe_id int, hint_name string, hint_color string, hint_cmc int, hint_set string, hint_number string, hint_type string, hint_subtype string")
+    for enabled in (None, {"name": False, "cmc": False}):
+        usable = asked.where(metafilter.hinted(enabled))
+        pick = lambda pairs: {(r.probe_id, r.product_id, r.score, tuple(r.filters)) for r in metafilter.apply(pairs, enabled).where("alive").collect()}  # noqa: B023, E731
+        assert pick(metafilter.candidates(usable, df, enabled)) == pick(usable.crossJoin(df))
+    assert metafilter.candidates(asked, df, dict.fromkeys(metafilter.WEIGHTS, False)).count() == 0

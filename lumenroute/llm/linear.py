@@ -29,8 +29,6 @@ def share(key: Column, salt: int) -> Column:
 
 
 PACKED = np.dtype([("f", "<u4"), ("v", "<f4")])
-#: entries worked on at a time, so that what a step of a fit needs besides the rows is small
-_CHUNK = 1 << 20
 
 
 def featured(docs: DataFrame, features: Features, kept: str, value: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
@@ -82,15 +80,23 @@ def restricted(rows: DataFrame, chosen: Broadcast, kept: str) -> DataFrame:
     return rows.mapInArrow(run, f"{kept}, f binary")
 
 
+#: entries that a step of a fit works on at a time
+_CHUNK = 1 << 19
+
+
 class Rows:
-    """Sparse rows of feature values."""
+    """Sparse rows of feature values, from the bytes of packed rows and their offsets."""
 
-    def __init__(self, blobs: list[bytes]):
-        self.n = len(blobs)
-        self.ends = np.cumsum([0, *(len(b) // PACKED.itemsize for b in blobs)])
-        packed = np.frombuffer(b"".join(blobs), PACKED)
+    def __init__(self, raw: np.ndarray, at: np.ndarray):
+        packed = raw.view(PACKED)
+        self.n = len(at) - 1
+        self.ends = at // PACKED.itemsize
         self.index, self.value = packed["f"].astype(np.int32), packed["v"].copy()
 
+    @staticmethod
+    def of(blobs: list[bytes]) -> Rows:
+        return Rows(np.frombuffer(b"".join(blobs), np.uint8), np.cumsum([0, *map(len, blobs)]))
+
     def _chunks(self) -> Iterator[tuple[int, int, slice]]:
         i = 0
         while i < self.n:
@@ -99,19 +105,33 @@ class Rows:
             i = j
 
     def dot(self, w: np.ndarray) -> np.ndarray:
-        out = np.empty(self.n)
+        out, w = np.empty(self.n), w.astype(np.float32)
         for i, j, at in self._chunks():
-            row = np.repeat(np.arange(j - i), np.diff(self.ends[i : j + 1]))
-            out[i:j] = np.bincount(row, w[self.index[at]] * self.value[at], j - i)
+            out[i:j] = _sums(w[self.index[at]] * self.value[at], np.diff(self.ends[i : j + 1]))
         return out
 
     def back(self, g: np.ndarray, dims: int) -> np.ndarray:
-        out = np.zeros(dims)
+        out, g = np.zeros(dims), g.astype(np.float32)
         for i, j, at in self._chunks():
             out += np.bincount(self.index[at], np.repeat(g[i:j], np.diff(self.ends[i : j + 1])) * self.value[at], dims)
         return out
 
 
+def collected(rows: DataFrame) -> tuple[Rows, pa.Table]:
+    """A bounded table of packed rows ``f`` on the driver: the rows, and the other columns."""
+    table = rows.toArrow()
+    return Rows(*kernel.utf8(table["f"])), table.drop_columns(["f"])
+
+
+def _sums(x: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The sums of successive stretches of x of these sizes."""
+    out = np.zeros(len(size))
+    some = size > 0
+    if some.any():
+        out[some] = np.add.reduceat(x, (np.cumsum(size) - size)[some], dtype=np.float64)
+    return out
+
+
 class Adam:
     def __init__(self, dims: int, rate: float):
         self.m, self.v, self.t, self.rate = np.zeros(dims), np.zeros(dims), 0, rate
@@ -129,11 +149,7 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 
 def sums(weights: np.ndarray, sizes: np.ndarray, f: np.ndarray) -> np.ndarray:
     """The sum of the weights of each document's features."""
-    out = np.zeros(len(sizes))
-    some = sizes > 0
-    if some.any():
-        out[some] = np.add.reduceat(weights[f], (np.cumsum(sizes) - sizes)[some], dtype=np.float64)
-    return out
+    return _sums(weights[f], sizes)
 
 
 def scored(docs: DataFrame, score: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], p_name: str) -> DataFrame:

@@ -160,17 +160,19 @@ def train(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, most_label
     sample = linear.featured(chosen, _labelled, "doc_id long, quality int, u double", _averages).checkpoint()
     used = linear.document_counts(sample, least_documents)[:, 0].astype(np.uint32)
     known = spark.sparkContext.broadcast(used)
-    rows = linear.restricted(sample, known, "doc_id long, quality int, u double").orderBy("doc_id").toPandas()
-    y, late = rows["quality"].to_numpy(np.float64), rows["u"].to_numpy() < held_out
-    if min(y[~late].sum(), (1 - y[~late]).sum(), late.sum()) < 1:
-        late = np.zeros(len(y), bool)
-    if min(y[~late].sum(), (1 - y[~late]).sum()) < 1:
+    rows = linear.restricted(sample, known, "doc_id long, quality int, u double").checkpoint()
+    per_class = {(r["late"], r["quality"]): r["count"] for r in rows.groupBy((F.col("u") < held_out).alias("late"), "quality").count().collect()}
+    both = lambda late: all(per_class.get((late, y)) for y in (0, 1))
+    fit_on = F.col("u") >= held_out if both(False) and any(late for late, _ in per_class) else F.lit(True)
+    if not all(any(per_class.get((late, y)) for late in (False, True)) for y in (0, 1)):
         return Scorer(None, threshold)
-    w, bias = fit_logistic(linear.Rows(list(rows.loc[~late, "f"])), y[~late], len(used))
-    if not (late.any() and 0 < y[late].sum() < late.sum()):
-        late = np.ones(len(y), bool)
+    part, facts = linear.collected(rows.where(fit_on).orderBy("doc_id"))
+    w, bias = fit_logistic(part, facts["quality"].to_numpy().astype(np.float64), len(used))
+    del part
+    part, facts = linear.collected(rows.where(F.col("u") < held_out if both(True) and both(False) else F.lit(True)).orderBy("doc_id"))
+    y = facts["quality"].to_numpy().astype(np.float64)
     # the classes are sampled at different rates, the probabilities are those of all labelled rows
-    a, b = platt(linear.Rows(list(rows.loc[late, "f"])).dot(w) + bias, y[late], weight=np.where(y[late] == 1, 1 / rate[1], 1 / rate[0]))
+    a, b = platt(part.dot(w) + bias, y, weight=np.where(y == 1, 1 / rate[1], 1 / rate[0]))
     weights = np.zeros(KINDS << BITS, np.float32)
     weights[used] = w
     return Scorer(spark.sparkContext.broadcast((weights, bias, a, b)), threshold)

@@ -142,8 +142,8 @@ def unlabelled_risk(table: DataFrame, local: int) -> Callable[[np.ndarray], np.n
     spark = table.sparkSession
     size = table.count()
     if size <= local:
-        rows = table.orderBy("f").toPandas()
-        held, count = linear.Rows(list(rows["f"])), rows["n"].to_numpy(np.float64)
+        held, facts = linear.collected(table.orderBy("f"))
+        count = facts["n"].to_numpy().astype(np.float64)
         return lambda w: part_of_risk(held, count, w)
     spread = table.repartition(-(-size // max(local, 1)), "f").checkpoint()
 
@@ -152,7 +152,7 @@ def unlabelled_risk(table: DataFrame, local: int) -> Callable[[np.ndarray], np.n
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                part = part_of_risk(linear.Rows(batch.column("f").to_pylist()), batch.column("n").to_numpy().astype(np.float64), known.value)
+                part = part_of_risk(linear.Rows(*kernel.utf8(batch.column("f"))), batch.column("n").to_numpy().astype(np.float64), known.value)
                 yield pa.record_batch([pa.array([part.tobytes()], pa.binary())], ["part"])
 
         out = sum((np.frombuffer(r["part"], np.float64) for r in spread.mapInArrow(run, "part binary").toLocalIterator()), np.zeros(len(w) + 1))
@@ -217,9 +217,9 @@ def train(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, prior: flo
     texts = base.select("text")
     total = texts.count()
     chosen = wanted[informative(a, document_frequencies(texts, wanted), positives, total, prior, min_z, min_toxic)]
-    of = linear.restricted(positive, spark.sparkContext.broadcast(chosen.astype(np.uint32)), "doc_id long").orderBy("doc_id").toPandas()
+    of, _ = linear.collected(linear.restricted(positive, spark.sparkContext.broadcast(chosen.astype(np.uint32)), "doc_id long").orderBy("doc_id"))
     risk = unlabelled_risk(patterns(texts, chosen).checkpoint(), local_patterns)
-    w, bias = fit_nnpu(linear.Rows(list(of["f"])), risk, total, len(chosen), prior)
+    w, bias = fit_nnpu(of, risk, total, len(chosen), prior)
     weights = np.zeros(1 << BITS, np.float32)
     weights[chosen] = w
     return Scorer(spark.sparkContext.broadcast((weights, bias)), threshold)

@@ -419,7 +419,7 @@ def packed_rows(sets):
         packed = np.empty(len(f), toxicity.linear.PACKED)
         packed["f"], packed["v"] = sorted(f), 1
         out.append(packed.tobytes())
-    return toxicity.linear.Rows(out)
+    return toxicity.linear.Rows.of(out)
 
 
 def test_negative_part_of_the_risk_stays_non_negative():

@@ -8,8 +8,6 @@ only the question whether any name matched exactly needs a window.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -102,35 +100,33 @@ def candidates(hints: DataFrame, catalogue: DataFrame, enabled: dict[str, bool]
     colours on the distinct values that pass.
     """
     text = lambda c: F.trim(F.col(c).cast("string"))
-    contains = lambda a, v: F.lower(v).contains(F.lower(F.trim(a)))
     whole = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    # of each filter: what is made of the hint and of the row, to be equal
+    # of each filter: what is made of the hint and of the row, as texts; they are to be equal, or for the last three to pass
     keys = {
         "name": (F.lower(text("hint_name")), F.lower(F.trim("name"))), "collector_number": (F.lower(text("hint_number")), F.lower(text("number"))), "set": (F.upper(text("hint_set")), F.upper(F.trim("set_code"))),
-        "cmc": (as_int(F.col("hint_cmc")), as_int(F.col("cmc"))), "subtype": (F.col("hint_subtype").cast("string"), whole("subTypeName")), "type": (F.col("hint_type").cast("string"), whole("type")), "color_identity": (F.col("hint_color").cast("string"), whole("color")),
+        "cmc": (as_int(F.col("hint_cmc")).cast("string"), as_int(F.col("cmc")).cast("string")), "subtype": (F.col("hint_subtype").cast("string"), whole("subTypeName")), "type": (F.col("hint_type").cast("string"), whole("type")),
+        "color_identity": (F.col("hint_color").cast("string"), whole("color")),
     }
-    usable = {k: v for k, v in usable_hints(enabled).items() if k in keys}
-    blocked = hints.withColumn("_block", F.coalesce(*(F.when(usable[k], k) for k in keys if k in usable), F.lit(None).cast("string")))
-    rows = catalogue.withColumn("_item", F.struct(*catalogue.columns))
-    found = []
-    for k, (asked, value) in keys.items():
-        if k not in usable:
-            continue
-        mine = blocked.where(F.col("_block") == k).select(probe, asked.alias("_h"))
-        theirs = rows.select("_item", value.alias("_v")).where("_v IS NOT NULL")
-        values = theirs.select("_v").distinct()
-        if k == "name":
-            mine = mine.join(similar_names(mine.select("_h").distinct(), values), "_h")
-        elif k == "cmc":
-            mine = mine.withColumn("_v", F.explode(F.array(F.col("_h") - 1, F.col("_h"), F.col("_h") + 1)))
-        elif k in ("collector_number", "set"):
-            mine = mine.withColumn("_v", F.col("_h"))
-        else:  # few distinct values on both sides
-            passes = _colours if k == "color_identity" else contains
-            mine = mine.join(mine.select("_h").distinct().join(values, passes(F.col("_h"), F.col("_v"))), "_h")
-        found.append(mine.select(probe, "_v").join(theirs, "_v").select(probe, "_item"))
-    pairs = reduce(DataFrame.unionAll, found) if found else hints.select(probe).where(F.lit(False)).crossJoin(rows.select("_item").limit(0))
-    return hints.join(pairs, probe).select(*hints.columns, "_item.*")
+    usable = usable_hints(enabled)
+    used = [k for k in keys if k in usable]
+    if not used:
+        return hints.where(F.lit(False)).crossJoin(catalogue.limit(0))
+    block = F.coalesce(*(F.when(usable[k], F.struct(F.lit(k).alias("k"), keys[k][0].alias("h"))) for k in used))
+    asked = hints.select(probe, block.alias("b")).where("b IS NOT NULL").select(probe, "b.k", "b.h")
+    values = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), keys[k][1].alias("v")) for k in used)))
+    rows = catalogue.select(F.struct(*catalogue.columns).alias("_item"), values.alias("e")).select("_item", "e.k", "e.v").where("v IS NOT NULL")
+    # few distinct values of types and colours on both sides meet by the filter
+    passes = F.when(F.col("k") == "color_identity", _colours(F.col("h"), F.col("v"))).otherwise(F.lower("v").contains(F.lower(F.trim("h"))))
+    loose = F.col("k").isin("subtype", "type", "color_identity")
+    fits = asked.where(loose).select("k", "h").distinct().join(rows.where(loose).select("k", "v").distinct(), "k").where(passes)
+    cost = F.col("h").cast("bigint")
+    same = F.when(F.col("k") == "cmc", F.transform(F.array(cost - 1, cost, cost + 1), lambda n: n.cast("string"))).otherwise(F.array("h"))
+    keyed = asked.where(loose).join(fits, ["k", "h"]).select(probe, "k", "v").unionAll(asked.where(~loose & (F.col("k") != "name")).select(probe, "k", F.explode(same).alias("v")))
+    if "name" in used:
+        said = asked.where(F.col("k") == "name")
+        near = similar_names(said.select(F.col("h").alias("_h")).distinct(), rows.where(F.col("k") == "name").select(F.col("v").alias("_v")).distinct())
+        keyed = keyed.unionAll(said.join(near, F.col("h") == F.col("_h")).select(probe, "k", F.col("_v").alias("v")))
+    return hints.join(keyed.join(rows, ["k", "v"]).select(probe, "_item"), probe).select(*hints.columns, "_item.*")
 
 
 def similar_names(asked: DataFrame, names: DataFrame) -> DataFrame:

@@ -113,35 +113,37 @@ def _by_hash(probes: DataFrame, catalogue: DataFrame, index: DataFrame, o: Optio
     return ranking.relaxed(best, "probe_id", "distance", o.threshold, wide)
 
 
+#: the order in which branches count, by reason; hash matches have no reason
+_ORDER = {
+    "image": ("ocr_metadata_unique", None, "metadata_name_only", "ocr_name_only", ranking.RELAXED, "ocr_name_only_noisy"), "file": ("ocr_fast_path", None, "metadata_name_only", "ocr_name_only", ranking.RELAXED, "ocr_name_only_noisy"),
+    "live": ("ocr_fast_path_live", "ocr_name_primary_live", "ocr_name_only_live", "ocr_rules_text_live", None, ranking.RELAXED),
+}
+
+
 def _by_name(probes: DataFrame, catalogue: DataFrame, o: Options) -> list[DataFrame]:
-    """The branches of recognised names, each of outcomes: unique, item of the name, name, noisy name; or those of live mode."""
-    hints = probes.select("probe_id", *HINTS, *(["rules_text"] if "rules_text" in probes.columns else []))
+    """The outcomes of recognised names and texts: a unique item, and the best that the name alone is good for."""
+    hints = probes.select("probe_id", *HINTS)
     named = hints.where(truthy(F.trim("hint_name")).isNotNull())
     resolved = resolve.resolve_names(named.select("probe_id", "hint_name"), catalogue, "probe_id", "hint_name")
     facts = resolved.join(hints, "probe_id").select("probe_id", "resolved", F.trim("hint_name").alias("raw_name"), "hint_number", "hint_set", F.col("hint_cmc").cast("int").alias("hint_cmc"))
     typed = catalogue.withColumn("cmc", F.col("cmc").cast("string").try_cast("double").try_cast("int"))
-    unique = resolve.resolve_metadata(facts, typed, "probe_id").drop("score")
-    reason = {"image": "ocr_metadata_unique", "file": "ocr_fast_path", "live": "ocr_fast_path_live"}[o.mode]
-    branches = [ranking.with_outcome(unique, F.lit(reason))]
+    unique = ranking.with_outcome(resolve.resolve_metadata(facts, typed, "probe_id").drop("score"), F.lit(_ORDER[o.mode][0]))
     items = catalogue.select(F.lower("name").alias("_name"), "name", "product_id", F.coalesce("game", F.lit("")).alias("_game"))
     first = items.groupBy("_name").agg(F.min_by(F.struct("product_id", "name"), F.struct("_game", "product_id")).alias("_item"), F.countDistinct("_game").alias("_games"))
-    with_item = named.join(resolved, "probe_id", "left").withColumn("_name", F.lower("resolved")).join(first, "_name", "left")
-    name = F.coalesce("resolved", F.trim("hint_name")).alias("_said")
+    rows = named.join(resolved, "probe_id", "left").withColumn("_name", F.lower("resolved")).join(first, "_name", "left").withColumn("_said", F.coalesce("resolved", F.trim("hint_name")))
     if o.mode == "live":
-        alone = with_item.where("resolved IS NOT NULL AND _games = 1").select("probe_id", "_item.product_id", name)
-        several = with_item.where("resolved IS NOT NULL AND _games <> 1").select("probe_id", F.lit(None).cast("string").alias("product_id"), name)
-        branches += [ranking.with_outcome(alone, F.lit("ocr_name_primary_live")), ranking.with_outcome(several, F.lit("ocr_name_only_live"))]
-        if "rules_text" in probes.columns:
-            branches.append(ranking.with_outcome(resolve.resolve_rules(hints, catalogue, "probe_id", "rules_text").select("probe_id", "product_id"), F.lit("ocr_rules_text_live")))
-        return branches
-    given = truthy(F.col("hint_number")).isNotNull() | truthy(F.col("hint_set")).isNotNull() | F.col("hint_cmc").isNotNull()
-    close = with_item.withColumn("_close", F.when(F.col("resolved").isNotNull(), seq_ratio(F.lower(F.trim("hint_name")), F.lower("resolved"))))
-    known = close.where(F.col("_item").isNotNull() & (given | (F.col("_close") >= 0.90))).select("probe_id", "_item.product_id", name)
-    only = with_item.select("probe_id", F.lit(None).cast("string").alias("product_id"), name, text.title_signal(F.trim("hint_name")).alias("_signal"))
-    return [
-        *branches, ranking.with_outcome(known, F.lit("metadata_name_only")), ranking.with_outcome(only.where("_signal").drop("_signal"), F.lit("ocr_name_only")),
-        ranking.with_outcome(only.drop("_signal"), F.lit("ocr_name_only_noisy")),
-    ]
+        reason = F.when(F.col("_games") == 1, "ocr_name_primary_live").otherwise("ocr_name_only_live")
+        by_name = rows.where("resolved IS NOT NULL").withColumn("_reason", reason)
+    else:
+        close = F.when(F.col("resolved").isNotNull(), seq_ratio(F.lower(F.trim("hint_name")), F.lower("resolved"))) >= 0.90
+        given = truthy(F.col("hint_number")).isNotNull() | truthy(F.col("hint_set")).isNotNull() | F.col("hint_cmc").isNotNull()
+        known = F.col("_item").isNotNull() & (given | F.coalesce(close, F.lit(False)))
+        by_name = rows.withColumn("_reason", F.when(known, "metadata_name_only").when(text.title_signal(F.trim("hint_name")), "ocr_name_only").otherwise("ocr_name_only_noisy"))
+    item = F.when(F.col("_reason").isin("metadata_name_only", "ocr_name_primary_live"), F.col("_item.product_id")).alias("product_id")
+    found = [unique, ranking.with_outcome(by_name.select("probe_id", item, "_said", "_reason"), F.col("_reason")).drop("_reason")]
+    if o.mode == "live" and "rules_text" in probes.columns:
+        found.append(ranking.with_outcome(resolve.resolve_rules(probes, catalogue, "probe_id", "rules_text").select("probe_id", "product_id"), F.lit("ocr_rules_text_live")))
+    return found
 
 
 def identify(probes: DataFrame, catalogue: DataFrame, index: DataFrame, options: Options | None = None) -> DataFrame:
@@ -155,11 +157,8 @@ def identify(probes: DataFrame, catalogue: DataFrame, index: DataFrame, options:
     missing = [c for c in HINTS if c not in probes.columns]
     probes = probes.withColumns({c: F.lit(None).cast("int" if c == "hint_cmc" else "string") for c in missing}) if missing else probes
     catalogue = catalogue if "game" in catalogue.columns else catalogue.withColumn("game", F.lit(""))
-    hashed = _by_hash(probes, catalogue, index, o)
-    names = _by_name(probes, catalogue, o)
-    strict, relaxed = hashed.where("fallback_reason IS NULL"), hashed.where("fallback_reason IS NOT NULL")
-    branches = [*names, strict, relaxed] if o.mode == "live" else [names[0], strict, names[1], names[2], relaxed, names[3]]
-    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (b.withColumn("_branch", F.lit(k)) for k, b in enumerate(branches)))
+    order = F.coalesce(*(F.when(F.col("fallback_reason").eqNullSafe(F.lit(reason)), k) for k, reason in enumerate(_ORDER[o.mode])))
+    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [_by_hash(probes, catalogue, index, o), *_by_name(probes, catalogue, o)]).withColumn("_branch", order)
     chosen = every.withColumn("_first", F.min("_branch").over(Window.partitionBy("probe_id"))).where("_branch = _first").drop("_first")
 
     rich = chosen.join(catalogue.select("product_id", *_FACTS).dropDuplicates(["product_id"]), "product_id", "left").withColumn("name", F.coalesce("name", "_said")).drop("_said")

@@ -1,4 +1,4 @@
-"""Groups of near duplicates: connected components of the pairs of the n-gram join."""
+"""Groups of near duplicates: connected components of the pairs of the n-gram join, and every document's group and links."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernel
-from .ngram_join import ngram_jaccard_join
+from .ngram_join import Sizes, ngram_jaccard_join, ngram_links
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -31,6 +31,20 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return edges.select(F.col("v").alias("node"), F.col("u").alias("component")).unionAll(edges.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct())
 
 
+def similarity_classes(docs: DataFrame, n: int = 3, threshold: float = 0.6, cut: Sizes = Sizes()) -> DataFrame:
+    """(doc_id, class_id, links) of every document: its group, and in how many pairs of the n-gram join it is.
+
+    A group is what those pairs connect, named by its lowest id. Documents in no
+    pair, as those of null or empty text, are a class of their own with no links.
+    Repeated ids have one row; rows with a null id are left out, as by the join.
+    """
+    edges, links = ngram_links(docs, n, threshold, cut)
+    groups = components(edges, "doc_a", "doc_b").withColumnRenamed("node", "doc_id")
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct()
+    found = ids.join(groups, "doc_id", "left").join(links, "doc_id", "left")
+    return found.select("doc_id", F.coalesce("component", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
+
+
 def drop_near_duplicates(docs: DataFrame, n: int = 3, threshold: float = 0.6) -> DataFrame:
     """docs without the documents whose group holds a lower id.
 

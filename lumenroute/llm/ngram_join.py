@@ -31,6 +31,10 @@ two n-grams is about 10^-8. Equal sets are told apart by 128 bits.
    once; every other one's are derived from the pivot's by the n-grams in
    which the two differ. Sets far from the pivot become pivots themselves.
 
+The number of pairs grows with the square of the size of a group of copies.
+``ngram_links`` verifies the same pairs of sets, but adds them up where they are
+found, to how many pairs each document is in and to a spanning forest of them.
+
 Edge cases: null and empty texts, and texts without a word, are empty sets and
 pair with nothing. A text of fewer than n words has one n-gram, all its words.
 Very long texts are sets like any other, of all their n-grams.
@@ -46,6 +50,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -429,17 +434,20 @@ class Home:
         self.label = np.arange(len(order))
         self.alone = True
 
-    def meet(self, sets: list[bytes], docs: list[np.ndarray]) -> Iterator[Pairs]:
-        """The pairs with these sets, and, the first time, those within the block."""
-        other, ids = [np.frombuffer(x, U64) for x in sets], list(docs)
+    def compared(self, docs: list) -> list:
+        """What the block is compared with: these, and, the first time, its own sets before them."""
+        return self.docs + docs if self.alone else docs
+
+    def similar(self, sets: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each set of the block which of those compared are similar, by how much, and, with ``forest``, which of them it takes to connect them."""
+        other = [np.frombuffer(x, U64) for x in sets]
         own = len(self.sets) if self.alone else 0
         self.alone = False
         if own:
-            other, ids = self.sets + other, self.docs + ids
+            other = self.sets + other
         if not other or (own == 1 and len(other) == 1):
             return
-        size, copies = np.array([len(x) for x in other]), np.array([len(d) for d in ids])
-        flat, at = np.concatenate(ids), np.cumsum(copies) - copies
+        size = np.array([len(x) for x in other])
         m = len(self.sets)
         label = np.r_[self.label, m + np.arange(len(other) - own)]  # of the block's sets and those passing by
         place = np.r_[np.arange(own), np.arange(m, m + len(other) - own)]
@@ -448,39 +456,103 @@ class Home:
             if own:
                 jac[: k + 1] = 0
             hit = np.flatnonzero(jac >= self.t - 1e-12)
+            tree = hit
             if self.forest:
-                hit = hit[label[place[hit]] != label[k]]
-                hit = hit[np.unique(label[place[hit]], return_index=True)[1]]
-                label[np.isin(label, label[place[hit]])] = label[k]
+                tree = hit[label[place[hit]] != label[k]]
+                tree = tree[np.unique(label[place[tree]], return_index=True)[1]]
+                label[np.isin(label, label[place[tree]])] = label[k]
+            if len(hit):
+                yield k, hit, jac, tree
+        self.label = label[:m]
+
+    def meet(self, sets: list[bytes], docs: list[np.ndarray]) -> Iterator[Pairs]:
+        """The pairs with these sets, and, the first time, those within the block."""
+        ids = self.compared(docs)
+        copies = np.array([len(d) for d in ids], np.int64)
+        flat, at = np.concatenate([*ids, np.zeros(0, np.int64)]), np.cumsum(copies) - copies
+        for k, _, jac, hit in self.similar(sets):
             if len(hit):
                 n = copies[hit]
                 y = flat[np.repeat(at[hit] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
                 yield from _products(self.docs[k], y, np.repeat(jac[hit], n), self.piece)
-        self.label = label[:m]
 
 
-def _verify(t: float, forest: bool, sizes: Sizes):
-    """Pairs from sets sorted by home and block, a block's own sets first."""
+class Holders(NamedTuple):
+    """The documents of a set: its cluster and hash, their least id, how many they are, and the ids that have other sets too."""
+
+    c: int
+    s: int
+    least: int
+    copies: int
+    several: np.ndarray
 
-    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[Pairs]:
+
+#: rows that Links makes: an edge of the forest between ids a and b; links of each document of set (a, b); links of the id a
+EDGE, OF_SET, OF_ID = 0, 1, 2
+
+
+class Links(Home):
+    """A block of a home cluster that counts its pairs instead of listing them.
+
+    Two similar sets give each document of the one as many links as the other
+    has documents. An id that has both is not its own partner, on either side.
+    """
+
+    def meet(self, sets: list[bytes], docs: list[Holders]) -> Iterator[tuple[np.ndarray, ...]]:
+        met = self.compared(docs)
+        copies, least = np.array([d.copies for d in met], np.int64), np.array([d.least for d in met], np.int64)
+        several = np.array([len(d.several) > 0 for d in met], bool)
+        mine, theirs = np.zeros(len(self.docs), np.int64), np.zeros(len(met), np.int64)
+        ends: list[tuple[np.ndarray, np.ndarray]] = []
+        for k, hit, _, tree in self.similar(sets):
+            one = self.docs[k]
+            mine[k] += copies[hit].sum()
+            theirs[hit] += one.copies
+            if len(tree):
+                ends.append((np.full(len(tree), one.least), least[tree]))
+            if len(one.several):
+                for j in hit[several[hit]]:
+                    both = np.intersect1d(one.several, met[j].several)
+                    yield _links(OF_ID, both, both, -2)
+        if ends:
+            yield _links(EDGE, *map(np.concatenate, zip(*ends, strict=True)), 0)
+        for of, links in ((self.docs, mine), (met, theirs)):
+            some = np.flatnonzero(links)
+            yield _links(OF_SET, np.array([of[k].c for k in some], np.int64), np.array([of[k].s for k in some], np.int64), links[some])
+
+
+def _links(what: int, a: np.ndarray, b: np.ndarray, links) -> tuple[np.ndarray, ...]:
+    return np.full(len(a), what, np.int32), a, b, np.broadcast_to(np.asarray(links, np.int64), len(a))
+
+
+def _verify(t: float, kind: str, sizes: Sizes):
+    """Pairs, or links, from sets sorted by home and block, a block's own sets first."""
+    block, pack = (Links, _counted) if kind == "links" else (Home, _pairs)
+    forest = kind != "pairs"
+
+    def holders(batch: pa.RecordBatch) -> Iterator[np.ndarray | Holders]:
+        ids = batch.column("ids")
+        flat, at = ids.flatten().to_numpy(), np.r_[0, np.cumsum(pc.list_value_length(ids).to_numpy())]
+        listed = (flat[at[k] : at[k + 1]].copy() for k in range(batch.num_rows))
+        return map(Holders, *(batch.column(c).to_pylist() for c in ("c", "s", "least", "copies")), listed) if kind == "links" else listed
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
         key = home = last = None
         sets: list[bytes] = []
-        docs: list[np.ndarray] = []
+        docs: list = []
         waiting, filling = 0, True
 
         def settle():
             nonlocal home, sets, docs, waiting
             if filling:
-                home = Home(sets, docs, t, forest, sizes.pairs)
+                home = block(sets, docs, t, forest, sizes.pairs)
                 sets, docs = [], []
             yield from home.meet(sets, docs)
             sets, docs, waiting = [], [], 0
 
         for batch in batches:
-            ids = batch.column("ids")
-            flat, at = ids.flatten().to_numpy(), np.r_[0, np.cumsum(pc.list_value_length(ids).to_numpy())]
             grams = batch.column("grams")
-            for k, (h, i, own, s) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("home", "i", "own", "s")), strict=True)):
+            for k, (h, i, own, s, held) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("home", "i", "own", "s")), holders(batch), strict=True)):
                 if last == (h, i, own, s):  # of a repeated row
                     continue
                 last = h, i, own, s
@@ -489,10 +561,10 @@ def _verify(t: float, forest: bool, sizes: Sizes):
                         yield from settle()
                     key, filling = (h, i), True
                 if filling and not own:
-                    home, filling = Home(sets, docs, t, forest, sizes.pairs), False
+                    home, filling = block(sets, docs, t, forest, sizes.pairs), False
                     sets, docs, waiting = [], [], 0
                 sets.append(grams[k].as_py())
-                docs.append(flat[at[k] : at[k + 1]].copy())
+                docs.append(held)
                 waiting += len(sets[-1])
                 if not filling and waiting > sizes.passing:
                     yield from settle()
@@ -505,14 +577,18 @@ def _verify(t: float, forest: bool, sizes: Sizes):
             held.append(piece)
             rows += len(piece[0])
             if rows > sizes.pairs:
-                yield _pairs(held)
+                yield pack(held)
                 held, rows = [], 0
         if rows:
-            yield _pairs(held)
+            yield pack(held)
 
     return run
 
 
+def _counted(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], ["what", "a", "b", "links"])
+
+
 def _pairs(held: list[Pairs]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], ["doc_a", "doc_b", "jaccard"])
 
@@ -541,12 +617,8 @@ def _copies(size: int, piece: int):
     return run
 
 
-def ngram_jaccard_join(docs: DataFrame, n: int = 3, threshold: float = 0.6, forest: bool = False, cut: Sizes = Sizes()) -> DataFrame:
-    """All pairs (doc_a < doc_b, jaccard) at or over the threshold.
-
-    With ``forest``, only enough of the pairs to connect each group of
-    documents. See the module for the method and the edge cases.
-    """
+def _compared(docs: DataFrame, n: int, threshold: float, kind: str, cut: Sizes) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What ``kind`` asks for of the pairs of different sets ("pairs", "forest" or "links"), every document's sets, and all sets."""
     if not 0 < threshold <= 1 or n < 1:
         raise ValueError("threshold must be in (0, 1] and n at least 1")
     spark: SparkSession = docs.sparkSession
@@ -568,16 +640,17 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 3, threshold: float = 0.6, fore
         .select("a", "b")
         .checkpoint()
     )
-    members = base.mapInArrow(_members(n), "c long, s long, size long, doc_id long").checkpoint()
-    # a forest needs one id of equal sets, and is spared the list of all of them
-    ids = F.array(F.min("doc_id")) if forest else F.collect_set("doc_id")
-    sets = members.groupBy("c", "s").agg(F.min("size").alias("size"), F.min("doc_id").alias("least"), ids.alias("ids")).checkpoint()
-    if forest:
-        equal = members.join(sets.select("c", "s", "least"), ["c", "s"]).where("doc_id > least").select(F.col("least").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard")).distinct()
+    members = base.mapInArrow(_members(n), "c long, s long, size long, doc_id long")
+    # a forest needs one id of equal sets, and is spared the list of all of them; links need their number, and the ids that have several sets
+    if kind == "links":
+        members = members.distinct().checkpoint()
+        several = members.groupBy("doc_id").count().where("count > 1").select("doc_id", F.lit(True).alias("several"))
+        known = members.join(several, "doc_id", "left")
+        ids = [F.collect_list(F.when(F.col("several"), F.col("doc_id"))).alias("ids"), F.count("*").alias("copies")]
     else:
-        several = sets.where("size(ids) > 1").select("ids")
-        many = several.where(F.size("ids") > cut.copies).select("ids", F.explode(F.sequence(F.lit(0), F.size("ids") - 1, F.lit(cut.copies))).alias("first")).repartition("first", "ids")
-        equal = several.where(F.size("ids") <= cut.copies).select("ids", F.lit(0).alias("first")).unionAll(many).mapInArrow(_copies(cut.copies, cut.pairs), "doc_a long, doc_b long, jaccard double")
+        known = members = members.checkpoint()
+        ids = [(F.array(F.min("doc_id")) if kind == "forest" else F.collect_set("doc_id")).alias("ids"), F.lit(None).cast("long").alias("copies")]
+    sets = known.groupBy("c", "s").agg(F.min("size").alias("size"), F.min("doc_id").alias("least"), *ids).checkpoint()
 
     clusters = sets.groupBy("c").agg(F.count("*").alias("k"), F.sum("size").alias("size"))
     sized = (
@@ -594,7 +667,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 3, threshold: float = 0.6, fore
     shipped = (
         goes.join(sets, "c").withColumn("own", F.col("home") == F.col("c"))
         .withColumn("i", F.explode(F.sequence(F.lit(0), F.when(F.col("own"), block).otherwise(F.col("blocks") - 1))))
-        .select("c", "s", "least", "size", "ids", "home", "i", (F.col("own") & (F.col("i") == block)).alias("own"))
+        .select("c", "s", "least", "size", "ids", "home", "i", (F.col("own") & (F.col("i") == block)).alias("own"), "copies")
         .checkpoint()
     )
     wanted = spark.sparkContext.broadcast(kernel.bloom(shipped.select(F.col("s").bitwiseXOR(F.col("least")).alias("k")).distinct().checkpoint()))
@@ -604,7 +677,41 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 3, threshold: float = 0.6, fore
         .join(shipped.withColumnRenamed("least", "doc_id"), ["c", "s", "doc_id"])
         .repartition(max(least, -(-total * 8 // cut.part)), "home", "i")
         .sortWithinPartitions("home", "i", F.desc("own"), "s")
-        .select("home", "i", "own", "s", "ids", "grams")
-        .mapInArrow(_verify(threshold, forest, cut), "doc_a long, doc_b long, jaccard double")
+        .select("home", "i", "own", "s", "ids", "grams", "c", F.col("doc_id").alias("least"), "copies")
+        .mapInArrow(_verify(threshold, kind, cut), "what int, a long, b long, links long" if kind == "links" else "doc_a long, doc_b long, jaccard double")
     )
+    return found, members, sets
+
+
+def _equal(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of equal sets the pairs of the least id with all others."""
+    return members.join(sets.select("c", "s", "least"), ["c", "s"]).where("doc_id > least").select(F.col("least").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard")).distinct()
+
+
+def ngram_jaccard_join(docs: DataFrame, n: int = 3, threshold: float = 0.6, forest: bool = False, cut: Sizes = Sizes()) -> DataFrame:
+    """All pairs (doc_a < doc_b, jaccard) at or over the threshold.
+
+    With ``forest``, only enough of the pairs to connect each group of
+    documents. See the module for the method and the edge cases.
+    """
+    found, members, sets = _compared(docs, n, threshold, "forest" if forest else "pairs", cut)
+    if forest:
+        return found.unionAll(_equal(members, sets))
+    several = sets.where("size(ids) > 1").select("ids")
+    many = several.where(F.size("ids") > cut.copies).select("ids", F.explode(F.sequence(F.lit(0), F.size("ids") - 1, F.lit(cut.copies))).alias("first")).repartition("first", "ids")
+    equal = several.where(F.size("ids") <= cut.copies).select("ids", F.lit(0).alias("first")).unionAll(many).mapInArrow(_copies(cut.copies, cut.pairs), "doc_a long, doc_b long, jaccard double")
     return found.unionAll(equal)
+
+
+def ngram_links(docs: DataFrame, n: int = 3, threshold: float = 0.6, cut: Sizes = Sizes()) -> tuple[DataFrame, DataFrame]:
+    """Pairs (doc_a, doc_b) that connect each group of documents, and (doc_id, links): in how many rows of the join each id is.
+
+    The links are of every id with a set, also those that are in none. No pair is left out of the count; none is listed for it.
+    """
+    found, members, sets = _compared(docs, n, threshold, "links", cut)
+    found = found.checkpoint()
+    edges = found.where(F.col("what") == EDGE).select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b")).unionAll(_equal(members, sets).drop("jaccard"))
+    other = found.where(F.col("what") == OF_SET).groupBy(F.col("a").alias("c"), F.col("b").alias("s")).agg(F.sum("links").alias("other"))
+    each = sets.join(other, ["c", "s"], "left").select("c", "s", (F.col("copies") - 1 + F.coalesce("other", F.lit(0))).alias("links"))
+    links = members.join(each, ["c", "s"]).select("doc_id", "links").unionAll(found.where(F.col("what") == OF_ID).select("a", "links"))
+    return edges, links.groupBy("doc_id").agg(F.sum("links").alias("links"))

@@ -58,6 +58,14 @@ def test_ngram_join(odd):
         ngram_join.ngram_jaccard_join(odd, threshold=0)
 
 
+def test_similarity_classes(odd):
+    got = sorted(tuple(r) for r in components.similarity_classes(odd).collect())
+    assert got == [(1, 1, 1), (2, 1, 1), (3, 3, 0), (4, 4, 0), (5, 5, 0), (6, 6, 0), (7, 7, 1), (8, 7, 1), (10, 10, 0), (11, 11, 0), (12, 12, 0)]
+    assert components.similarity_classes(odd.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        components.similarity_classes(odd, threshold=0)
+
+
 def test_near_duplicates(odd):
     left = components.drop_near_duplicates(odd)
     assert left.columns == odd.columns

@@ -307,8 +307,48 @@ def test_long_lists_are_cut_into_blocks(spark, monkeypatch):
 
 def test_query_joins_bigrams_at_seven_tenths(spark, docs):
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
-    got = {(r.doc_a, r.doc_b): r.jaccard for r in queries.op2_ngram_jaccard_join(spark, SF).collect()}
-    assert got == pytest.approx(brute_pairs(rows, 2, 0.7)) and got
+    pairs = brute_pairs(rows, 2, 0.7)
+    got = [tuple(r) for r in queries.op2_ngram_jaccard_join(spark, SF).collect()]
+    assert sorted(got) == classes([d for d, _ in rows], pairs) and pairs
+
+
+def classes(ids, pairs):
+    """(id, least id of its group, number of pairs it is in) of every id, in order."""
+    group, links = {d: {d} for d in ids}, Counter(d for p in pairs for d in p)
+    for a, b in pairs:
+        if group[a] is not group[b]:
+            both = group[a] | group[b]
+            group.update(dict.fromkeys(both, both))
+    return [(d, min(group[d]), links[d]) for d in sorted(group)]
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_classes_and_links_are_those_of_all_pairs(spark, small):
+    rows = varied(7) + [(1000 + k, varied(7)[0][1]) for k in range(30)] + [(2000, None), (2001, "")]
+    df = spark.createDataFrame(rows + rows[:40] + [(None, rows[0][1])], "doc_id long, text string")
+    cut = ngram_join.Sizes(part=5000, home=600, passing=900, pairs=7) if small else ngram_join.Sizes()
+    got = sorted(tuple(r) for r in components.similarity_classes(df, 2, 0.5, cut).collect())
+    assert got == classes([d for d, _ in rows], brute_pairs(rows, 2, 0.5))
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_ids_with_several_texts_link_by_each_of_them_and_never_with_themselves(spark, small):
+    rows = varied(5) + [(1000 + k, varied(5)[0][1]) for k in range(4)]
+    df = spark.createDataFrame([(d // 3, x) for d, x in rows], "doc_id long, text string")
+    cut = ngram_join.Sizes(part=5000, home=600, passing=900, pairs=7) if small else ngram_join.Sizes()
+    pairs = [(r.doc_a, r.doc_b) for r in ngram_join.ngram_jaccard_join(df, 2, 0.5).collect()]
+    assert len(pairs) > len(set(pairs)) and any(a // 3 == b // 3 for a, b in brute_pairs(rows, 2, 0.5))  # by more than one text, and within an id
+    assert sorted(tuple(r) for r in components.similarity_classes(df, 2, 0.5, cut).collect()) == classes({d // 3 for d, _ in rows}, pairs)
+
+
+def test_rows_of_the_query_are_as_many_as_documents(spark, tmp_path):
+    """20,000 equal documents and 300 near copies of another, all different: 200 million pairs, but a row for each document."""
+    base = [f"w{k}" for k in range(300)]
+    rows = [(30_000 + k, " ".join([*base[:k], f"other{k}", *base[k + 1 :]])) for k in range(300)]
+    same = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit(" ".join(f"v{k}" for k in range(300))).alias("text"))
+    same.unionAll(spark.createDataFrame(rows, "doc_id long, text string")).write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op2_ngram_jaccard_join(spark, str(tmp_path)).groupBy("class_id", "links").count().collect()
+    assert sorted(map(tuple, got)) == [(0, 19_999, 20_000), (30_000, 299, 300)]
 
 
 def test_clusters_of_mixed_sizes_keep_their_pairs():

@@ -42,3 +42,29 @@ def test_all_ways_of_the_threshold_join_agree(spark):
     d = hashing.word_hamming(F.col("h"), F.col("p"))
     got = [sorted(map(tuple, hashing.threshold_join(probes, items, d, 24, first=d, **ways).select("item", "probe").collect())) for ways in ({}, {"broadcast_probes": 5}, {"broadcast_probes": 5, "broadcast_items": 5, "cell": 20})]
     assert got[0] == got[1] == got[2] and len(got[0]) > 90
+
+
+def test_nearest_over_blocks_equals_brute_force(spark, monkeypatch):
+    """In many blocks, with copies, nulls, NaN, an infinity and a short vector, every row against every other; a fold of generated rows took minutes at 100,000."""
+    import numpy as np
+
+    from lumenroute.operators import blocks
+
+    rng = np.random.default_rng(3)
+    x = [[float(v) for v in row] for row in rng.integers(-3, 4, (300, 6)).astype("float32")]
+    x += [x[5], x[5], x[7], [None] * 6, [float("nan")] + [0.0] * 5, [float("inf")] + [0.0] * 5, [1.0, None, 2.0, 0.0, 0.0, 1.0], [1.0, 2.0], None, [1e25] * 6]
+    e = spark.createDataFrame([(k, v) for k, v in enumerate(x)], "item int, e array<float>")
+
+    def key(a, b):
+        parts = [(p - q) * (p - q) for p, q in zip(a or [], b or [], strict=False) if p is not None and q is not None]
+        d = sum(parts) if parts else None
+        return (2, 0.0) if d is None else (1, 0.0) if d != d else (0, d)
+
+    f = [None if v is None else [None if c is None else float(np.float32(c)) for c in v] for v in x]
+    want = {k: min((*key(f[k], f[j]), j) for j in range(len(f)) if j != k) for k in range(len(f))}
+    monkeypatch.setattr(blocks, "IN_TASK", 2)
+    small = blocks.packed
+    monkeypatch.setattr(blocks, "packed", lambda rows, name, size=0: small(rows, name, 40))
+    got = {r.probe: r for r in hashing.nearest(e.select(F.col("item").alias("probe"), F.col("e").alias("pe")), e, "probe", "item", "e", "pe").collect()}
+    assert {k: r.item for k, r in got.items()} == {k: m[2] for k, m in want.items()}
+    assert all((r.l2 is None) == (want[k][0] == 2) and (want[k][0] or r.l2 == want[k][1] ** 0.5) for k, r in got.items())

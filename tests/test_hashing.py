@@ -68,3 +68,10 @@ def test_nearest_over_blocks_equals_brute_force(spark, monkeypatch):
     got = {r.probe: r for r in hashing.nearest(e.select(F.col("item").alias("probe"), F.col("e").alias("pe")), e, "probe", "item", "e", "pe").collect()}
     assert {k: r.item for k, r in got.items()} == {k: m[2] for k, m in want.items()}
     assert all((r.l2 is None) == (want[k][0] == 2) and (want[k][0] or r.l2 == want[k][1] ** 0.5) for k, r in got.items())
+
+
+def test_nn_l2_answers_for_every_row(spark):
+    from lumenroute.plans import catalogue
+
+    got = catalogue.queries()["nn_l2"](spark, "/root/testdata/sf0.001")
+    assert got.count() == spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").count()

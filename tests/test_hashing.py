@@ -75,3 +75,25 @@ def test_nn_l2_answers_for_every_row(spark):
 
     got = catalogue.queries()["nn_l2"](spark, "/root/testdata/sf0.001")
     assert got.count() == spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").count()
+
+
+def first_of(spark, monkeypatch, k, most, score=None, group=None):
+    """What ``first_matches`` has for 400 items (copies and nulls among them) in small blocks, and the matches of brute force."""
+    from lumenroute.operators import blocks
+
+    monkeypatch.setattr(blocks, "IN_TASK", 2)
+    small = blocks.packed
+    monkeypatch.setattr(blocks, "packed", lambda rows, name, size=0: small(rows, name, 30))
+    items = spark.range(400).select(F.col("id").alias("item_id"), F.when(F.col("id") != 9, F.xxhash64(F.col("id") % 150)).alias("w"), F.when(F.col("id") % 4 > 0, F.concat(F.lit("l"), F.col("id") % 4)).alias("label"))
+    got = hashing.first_matches(items.where("item_id % 10 = 0").select(F.col("item_id").alias("probe_id"), "w"), items, k, most, score, group).collect()
+    rows = [r for r in items.collect() if r.w is not None]
+    pairs = [(p.item_id, r.item_id, (total := ((p.w ^ r.w) & (2**64 - 1)).bit_count()), r.label) for p in rows if p.item_id % 10 == 0 for r in rows if p.item_id != r.item_id]
+    return got, [x for x in pairs if x[2] <= most]
+
+
+def test_first_matches_by_distance(spark, monkeypatch):
+    """Few rows of each part of the items reach the window; all pairs did, sorted."""
+    got, pairs = first_of(spark, monkeypatch, 5, 64)
+    for p in range(0, 400, 10):
+        assert sorted((r.total, r.item_id) for r in got if r.probe_id == p)[:5] == sorted(x[2:0:-1] for x in pairs if x[0] == p)[:5]
+    assert len(got) <= 40 * 5 * 7 < len(pairs)

@@ -97,3 +97,15 @@ def test_first_matches_by_distance(spark, monkeypatch):
     for p in range(0, 400, 10):
         assert sorted((r.total, r.item_id) for r in got if r.probe_id == p)[:5] == sorted(x[2:0:-1] for x in pairs if x[0] == p)[:5]
     assert len(got) <= 40 * 5 * 7 < len(pairs)
+
+
+def test_first_match_of_each_group(spark, monkeypatch):
+    got, pairs = first_of(spark, monkeypatch, 1, 28, group="label")
+    least = {}
+    for r in got:
+        least[r.probe_id, r.label] = min(least.get((r.probe_id, r.label), (99, 0)), (r.total, r.item_id))
+    want = {}
+    for p, i, total, label in pairs:
+        want[p, label] = min(want.get((p, label), (99, 0)), (total, i))
+    assert least == want and len({label for _, label in least}) == 4
+    assert len(got) <= 40 * 4 * 7

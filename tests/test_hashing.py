@@ -109,3 +109,10 @@ def test_first_match_of_each_group(spark, monkeypatch):
         want[p, label] = min(want.get((p, label), (99, 0)), (total, i))
     assert least == want and len({label for _, label in least}) == 4
     assert len(got) <= 40 * 4 * 7
+
+
+def test_first_matches_by_score(spark, monkeypatch):
+    got, pairs = first_of(spark, monkeypatch, 10, 28, score=F.expr("item_id % 3 * 30"))
+    for p in range(0, 400, 10):
+        assert sorted((-r.score, r.total, r.item_id) for r in got if r.probe_id == p)[:10] == sorted((-(i % 3 * 30), total, i) for q, i, total, _ in pairs if q == p)[:10]
+    assert len(got) <= 40 * 10 * 7

@@ -144,3 +144,43 @@ def test_metadata_among_many_copies_of_one_name(spark):
     began = time.time()
     assert {r.product_id for r in resolve.resolve_metadata(asked, many, "k").collect()} == set()
     assert time.time() - began < 60
+
+
+def test_rules_bonus_of_phrases(spark):
+    some = ["remove it from the game", "an instant or sorcery of the same name", "instant", "sorcery game", "shuffles the game and removes an instant sorcery", "none", "remove"]
+    pairs = spark.createDataFrame([(a, b) for a in some for b in some], "a string, b string")
+    has = lambda t: frozenset(w for w in text.RULES_PHRASES if w in t)
+    assert all(r.n == text.rules_bonus_of(has(r.a), has(r.b)) for r in pairs.select("a", "b", text.rules_bonus(F.col("a"), F.col("b")).alias("n")).collect())
+
+
+def test_rules_score_only_what_can_decide(spark, monkeypatch):
+    """The result is that of all pairs' scores, copies and texts under 0.5 included; few of the pairs are scored."""
+    import random
+
+    import pyarrow as pa
+
+    from lumenroute.operators import rules
+
+    rng = random.Random(5)
+    vocabulary = ["".join(rng.choice("abcdefghilmnoprstu") for _ in range(rng.randint(4, 9))) for _ in range(60)] + ["remove", "instant", "sorcery", "game"]
+    described = [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(8, 30))) for _ in range(150)]
+    described += [described[3], described[4] + " more", described[5].replace("a", "e")]
+    said = [(k, described[k][: 60 + k]) for k in range(40)] + [(100 + k, " ".join(rng.choice(vocabulary) for _ in range(12))) for k in range(10)]
+    catalogue = spark.createDataFrame([(str(k), d) for k, d in enumerate(described)], "product_id string, description string")
+    strong = lambda q: sorted({w for w in q.split(" ") if len(w) >= 4} - set(text.COMMON_RULES), key=lambda w: (-len(w), w))[:6]
+    has = lambda t: frozenset(w for w in text.RULES_PHRASES if w in t)
+    want, pairs = {}, 0
+    said = [(k, q.strip()) for k, q in said]
+    for k, q in said:
+        scores = sorted(((similarity.ratio(q, d) + text.rules_bonus_of(has(q), has(d)), -j) for j, d in enumerate(described) if set(strong(q)) & set(d.split(" "))), reverse=True)
+        pairs += len(scores)
+        second = scores[1][0] if len(scores) > 1 else 0.0
+        if len(q) >= 40 and scores and scores[0][0] >= 0.5 and (second <= 0 or scores[0][0] - second >= 0.05):
+            want[k] = (str(-scores[0][1]), scores[0][0])
+    got = {r.k: (r.product_id, r.score) for r in resolve.resolve_rules(spark.createDataFrame(said, "k int, said string"), catalogue, "k", "said").collect()}
+    assert got == want and 3 not in got and len(got) > 20
+    calls = []
+    matcher = rules.SequenceMatcher
+    monkeypatch.setattr(rules, "SequenceMatcher", lambda *x: calls.append(x) or matcher(*x))
+    rules.compare(rules.Asked(pa.table({"k": [k for k, _ in said], "q": [q for _, q in said], "t": [strong(q) for _, q in said]})), rules.Described(pa.table({"p": [str(k) for k in range(len(described))], "d": described})))
+    assert len(calls) < pairs / 3
